@@ -133,7 +133,7 @@ class Packer:
                 self.sequence += 1
                 at += part
             rest -= take
-        fine = sum(powers(FINE), [])
+        fine = powers(FINE)
         for k in [k for k, p in enumerate(pieces) if p[2] > FINE][: self.room // self.capacity // 2]:
             doc, start, size = pieces[k]
             pieces[k] = (doc, start, size - FINE)
