@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, packing, quality, simhash, substrings, topk
+from . import annforest, maintext, packing, quality, simhash, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text", "text_hash")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op4_ann_forest": op4_ann_forest,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }

@@ -185,7 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id; rows with a null id stay."""
+    """``docs`` with one document of each near-duplicate group, the one with the smallest id; rows with a null id stay.
+
+    Rows that repeat an id stay or go together.
+    """
     groups = near_duplicates(docs, id_col, text_col, radius)
     gone = groups.where(F.col(id_col) > F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

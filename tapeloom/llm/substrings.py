@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix, words_of
 
-CHUNKS = "chunk long, ids binary, sizes binary, words binary, codes binary, n_words long"
+CHUNKS = "chunk long, ids binary, marks binary, sizes binary, words binary, codes binary, n_words long"
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -31,28 +31,29 @@ def _unzip(x: bytes, kind: str | None = None):
 def _chunks(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
     """Documents as chunks of about ``at_least`` words: the chunk's distinct words and a code for each word."""
     number = TaskContext.get().partitionId() << 32
-    ids, sizes, parts, code = [], [], [], {}
+    ids, marks, sizes, parts, code = [], [], [], [], {}
     total = 0
 
     def made() -> pa.RecordBatch:
         codes = np.concatenate(parts).astype("<i4") if parts else np.empty(0, "<i4")
-        row = [number, _zip(np.array(ids, "<i8")), _zip(np.array(sizes, "<i8")), _zip(b" ".join(code)), _zip(codes), len(codes)]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["chunk", "ids", "sizes", "words", "codes", "n_words"])
+        row = [number, _zip(np.array(ids, "<i8")), _zip(np.array(marks, "<i8")), _zip(np.array(sizes, "<i8")), _zip(b" ".join(code)), _zip(codes), len(codes)]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 5, pa.int64()))], ["chunk", "ids", "marks", "sizes", "words", "codes", "n_words"])
 
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for key, text, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             words = words_of(text.as_py())
             for w in words:
                 if w not in code:
                     code[w] = len(code)
             parts.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
             ids.append(key)
+            marks.append(mark)
             sizes.append(len(words))
             total += len(words)
             if total >= at_least:
                 yield made()
                 number += 1
-                ids, sizes, parts, code, total = [], [], [], {}, 0
+                ids, marks, sizes, parts, code, total = [], [], [], [], {}, 0
     if ids:
         yield made()
 
@@ -128,7 +129,8 @@ def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, chunk_words: int = 1 << 20, bucket_hashes: int = 1 << 17) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256 and text, the kept words joined by blanks.
+    """One row per document: id, text_hash (xxhash64 of the input text), n_words, n_removed, kept_sha256 and text, the kept
+    words joined by blanks.
 
     A window of ``min_words`` words is removed if its words also start earlier (smaller id, or earlier in the same
     document); windows are judged on the input. Windows of half the length are compared first, at anchors that any two equal
@@ -145,7 +147,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_words < 2 or min_words % 2:
         raise ValueError("min_words is twice the first level's length")
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     chunks, chunks_path = materialise(source.where("id is not null").mapInArrow(lambda it: _chunks(it, chunk_words), CHUNKS), "chunks", "uncompressed")
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 << max(3, (n_words // 6 // bucket_hashes).bit_length())
@@ -234,19 +236,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 np.add.at(gone, at + min_words, -1)
             keep = np.cumsum(gone)[: len(c.codes)] == 0
             before = 0
-            for key, end in zip(c.ids.tolist(), c.end.tolist()):
+            for key, mark, end in zip(c.ids.tolist(), _unzip(r["marks"], "<i8").tolist(), c.end.tolist()):
                 stay = c.codes[before:end][keep[before:end]]
                 text = b" ".join([c.words[i] for i in stay])
-                rows.append((key, end - before, end - before - len(stay), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass")))
+                rows.append((key, mark, end - before, end - before - len(stay), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass")))
                 before = end
-        return _rows(rows, ["id", "n_words", "n_removed", "kept_sha256", "text"])
+        return _rows(rows, ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "text"])
 
     sent = chunks.mapInArrow(halves, "bucket int, chunk long, hashes binary")
     more, more_path = materialise(sent.groupBy("bucket").applyInPandas(in_several, "chunk long, hashes binary"), "half-windows")
     whole = chunks.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInPandas(wholes, "bucket int, chunk long, hashes binary, ids binary, places binary")
     late, _ = materialise(whole.groupBy("bucket").applyInPandas(not_first, "chunk long, hashes binary"), "windows")
     discard(spark, more_path)
-    result = "id long, n_words long, n_removed long, kept_sha256 string, text string"
+    result = "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, text string"
     out = chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInPandas(kept, result)
     without = source.where("id is null").mapInArrow(_unjudged, result)
     return out.union(without).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
@@ -256,4 +258,4 @@ def _unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words = [words_of(t.as_py()) for t in b.column(1)]
         text = [b" ".join(w) for w in words]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in text]), pa.array([t.decode("utf-8", "surrogatepass") for t in text], pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in text]), pa.array([t.decode("utf-8", "surrogatepass") for t in text], pa.string())], ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "text"])
