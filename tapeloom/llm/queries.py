@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, lmscore, maintext, packing, quality, simhash, substrings, topk
+from . import annforest, common, lmscore, maintext, packing, quality, simhash, substrings, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -39,6 +36,12 @@ def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/tapeloom-tokens-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return tokenfile.read(spark, path, with_ids=False)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text", "text_hash")
 
@@ -52,6 +55,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_lm_score": op3_lm_score,
     "op4_ann_forest": op4_ann_forest,
+    "op6_token_file": op6_token_file,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
