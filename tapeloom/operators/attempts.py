@@ -20,7 +20,7 @@ def first_success(attempts: DataFrame, strategies: tuple[str, ...] = STRATEGIES)
     rank = F.array_position(F.array(*map(F.lit, strategies)), F.col("strategy"))
     rows = attempts.withColumn("_rank", rank).where("_rank > 0")
     g = rows.groupBy("job_id").agg(F.min(F.when(F.col("ok"), F.col("_rank"))).alias("w"), F.max(F.struct("_rank", "error")).alias("last"), F.count_distinct("_rank").alias("n"))
-    return g.select("job_id", F.element_at(F.array(*map(F.lit, strategies)), F.col("w").cast("int")).alias("winner"), F.coalesce(F.col("w") - 1, F.col("n")).alias("failovers"), F.when(F.col("w").isNull(), F.col("last.error")).alias("error"))
+    return g.select("job_id", F.when(F.col("w").isNotNull(), F.element_at(F.array(*map(F.lit, strategies)), F.col("w").cast("int"))).alias("winner"), F.coalesce(F.col("w") - 1, F.col("n")).alias("failovers"), F.when(F.col("w").isNull(), F.col("last.error")).alias("error"))
 
 
 def retry_outcome(attempts: DataFrame, most: int = MAX_ATTEMPTS, backoff_ms: int = BACKOFF_MS) -> DataFrame:

@@ -21,9 +21,8 @@ OUT = "job_id {kind}, message string, progress double, step string, transcript s
 class _Fold(StatefulProcessor):
     """The last value of each field by sequence number, whatever order events come in.
 
-    A first error may come after later events have been folded, which then must not count: so pending values are kept by
-    sequence number until no earlier error can change them, which is never known; each field therefore keeps its
-    history of (seq, value) as a list that an error cuts.
+    An error may come after later events have been folded, which then must not count. No watermark bounds how late it can be, so
+    each field keeps its values by sequence number; an error cuts them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -48,8 +47,6 @@ class _Fold(StatefulProcessor):
             if stop is not None and seq > stop:
                 gone.append((field, seq))
             elif field not in best or seq > best[field][0]:
-                if field in best:
-                    gone.append((field, best[field][0])) if stop is not None else None
                 best[field] = (seq, value)
         for k in gone:
             self.history.removeKey(k)
