@@ -25,7 +25,7 @@ _encoders: dict[str, "UnitEncoder"] = {}
 class UnitEncoder:
     """Encodes texts unit by unit. Two generations of units are kept; the older goes when the newer holds ``limit``, which bounds memory, not results."""
 
-    def __init__(self, spec: str, limit: int = 600_000):
+    def __init__(self, spec: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
