@@ -171,8 +171,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, metadata: Sequence[str] = ("n_chars",), sample: int = 6_000) -> DataFrame:
-    """``docs`` with score and predicted, from a model that has learnt only from labels of rows that are not held out."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, metadata: Sequence[str] = ("n_chars",), sample: int = 6_000, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with score and predicted, from a model that has learnt only from labels of rows that are not held out.
+
+    Columns of these names are replaced; metadata columns that ``docs`` lacks are left out.
+    """
     given = [c for c in metadata if c in docs.columns]
     model = train(docs, labels.where(~held_out()), metadata=given, sample=sample)
-    return score(docs, model, metadata=given).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(docs, model, metadata=given, score_col=score_col).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
