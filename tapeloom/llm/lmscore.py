@@ -171,7 +171,7 @@ class Slice:
         return tuple(np.add.reduceat(x, t.start) for x in (known, base, model))
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 9.0, types_power: float = 0.9, max_bytes: int = 384 << 20, batch_chars: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 9.0, types_power: float = 0.9, max_bytes: int = 384 << 20, batch_chars: int = 4_000_000) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text, from the rows where ``training`` holds.
 
     base_score: add-one unigram log10 probability by exact counts. score: log10 of interpolated bigram probabilities

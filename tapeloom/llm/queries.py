@@ -75,6 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS s FROM d WHERE len(ws) >= 20)),
+        firsts AS (SELECT k, min({'doc_id': doc_id, 's': s}) AS f FROM win GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM win JOIN firsts USING (k) WHERE {'doc_id': doc_id, 's': s} > f),
+        w AS (SELECT doc_id, p, ws[p + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM d)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op2_exact_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from tapeloom.llm import substrings
+import duckdb
+
+from tapeloom.llm import queries, substrings
 
 
 def brute(rows, n):
@@ -47,3 +49,14 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed, r.text) for r in substrings.remove_repeats(df).collect())
     assert got == [(1, 0, w), (1, 0, w), (2, 30, "")]
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_whole_table_matches_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.op7_substring_dedup(spark, sf)
+    want = con.sql(queries.ORACLE["op7_substring_dedup"])
+    assert got.columns == want.columns and [str(x) for x in want.types] == ["BIGINT", "BIGINT", "BIGINT", "VARCHAR"]
+    rows = want.fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows) and sum(r[2] > 0 for r in rows) > 50
