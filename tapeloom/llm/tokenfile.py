@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-MAGIC = b"TLR1"
+MAGIC = b"TLR2"
 HEAD = struct.Struct("<4sBIII")  # magic, shift, ids in a block, ids, blocks
 LOW32 = np.uint64(0xFFFFFFFF)
-W32 = np.uint64(32)
-SLOTS1, SLOTS2 = 2048, 4096
-CONTEXTS = 32
-GAIN = 24
+W32, HALF = np.uint64(32), np.uint64(2**32)
+SLOTS1, SLOTS2, CONTEXTS = 1024, 2048, 32
+#: Bits of the mixed division of the range, and of order 0's counts: both and the ids of a range of 2**12 fit 32 bits.
+MIX_BITS, COUNT_BITS = 12, 13
+BUCKETS = 1024
+KINDS = np.array([0, 4062 << 16, 4062], np.int64)  # order 0, order 1, order 2
+LANES16 = np.int64(0x0FFF0FFF)
 
 
 class Models:
     """The predictions of each lane, a lane being one block; all start alike, so a block needs no other.
 
     Order 2 and order 1 each remember the id that followed a context last, and how often in a row it came true. Order 0
-    counts ids by ranges of 2**shift. How far orders 2 and 1 are trusted is learnt for each pair of their confidences and for
-    whether they agree: these weights mix the three into one division of the coder's range.
+    counts the ids that neither foresaw, by ranges of 2**shift. How far orders 2 and 1 are trusted is learnt for each pair
+    of their confidences and for whether they agree: these weights mix the three into one division of the coder's range.
     """
 
     def __init__(self, lanes: int, shift: int, ids_end: int):
@@ -36,45 +39,49 @@ class Models:
         lane = np.arange(lanes)
         self.at1, self.at2, self.at_mix, self.at0 = lane * SLOTS1, lane * SLOTS2, lane * CONTEXTS, lane * (self.buckets + 1)
         self.seen1, self.seen2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        right = np.array([[512, 8192, 24576, 49152][k // 8] for k in range(CONTEXTS)], np.int32)
-        self.mix2 = np.tile(right, lanes)
-        self.mix1 = np.tile(np.array([[512, 4096, 16384, 32768][k // 2 % 4] for k in range(CONTEXTS)], np.int32), lanes)
-        self.count = np.ones((lanes, self.buckets), np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.next, self.gap = 16, 16
-        self.renew(lanes)
-
-    def renew(self, n: int) -> None:
-        """Order 0's cumulative counts, as of now."""
-        self.total = np.zeros((n, self.buckets + 1), np.int64)
-        np.cumsum(self.count[:n], axis=1, out=self.total[:, 1:])
-        self.sum = self.total[:, -1].copy()
+        trust2, trust1 = (512, 6000, 16384, 40000), (512, 4096, 10000, 20000)
+        self.mix = np.tile(np.array([trust2[k // 8] | trust1[k // 2 % 4] << 16 for k in range(CONTEXTS)], np.int64), lanes)
+        self.count = np.zeros(lanes * (self.buckets + 1), np.int32)
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.next, self.gap, self.lanes = 16, 16, lanes
+        self.renew()
+
+    def renew(self) -> None:
+        """Order 0's cumulative counts as of now, scaled to 2**COUNT_BITS with one at least for each range."""
+        grid = self.count.reshape(self.lanes, self.buckets + 1)
+        total = np.zeros(grid.shape, np.int64)
+        np.cumsum(grid[:, :-1], axis=1, out=total[:, 1:])
+        whole = np.maximum(1, total[:, -1:])
+        spread = np.arange(self.buckets + 1) * ((1 << COUNT_BITS) - self.buckets) // self.buckets
+        learnt = total * ((1 << COUNT_BITS) - self.buckets) // whole
+        seen = np.minimum(7, whole // 16)  # eighths: how much of the division counts decide
+        self.total = (np.arange(self.buckets + 1) + (learnt * seen + spread * (8 - seen)) // 8).astype(np.int32).ravel()
+        self.version = self.next
 
     def predict(self, t: int, n: int) -> None:
         if t == self.next:
             self.gap = min(512, self.gap * 2)
             self.next += self.gap
-            self.renew(n)
-        last, before = self.last[:n], self.before[:n]
-        self.k1 = self.at1[:n] + ((last * 40503 >> 4) & (SLOTS1 - 1))
-        self.k2 = self.at2[:n] + (((last * 40503 + before * 60493) >> 3) & (SLOTS2 - 1))
-        e1, e2 = self.seen1[self.k1], self.seen2[self.k2]
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        self.mixed = self.at_mix[:n] + (self.c2 * 8 + self.c1 * 2 + (self.p1 == self.p2))
-        self.w2 = self.mix2[self.mixed]
-        self.w1 = ((65536 - self.w2) * self.mix1[self.mixed].astype(np.int64) >> 16).astype(np.int32)
-
-    def learn(self, ids: np.ndarray) -> None:
+            self.renew()
+        last = self.last[:n]
+        self.k1 = self.at1[:n] + (last & (SLOTS1 - 1))
+        self.k2 = self.at2[:n] + ((last ^ (self.before[:n] << 4)) & (SLOTS2 - 1))
+        self.e1, self.e2 = self.seen1[self.k1], self.seen2[self.k2]
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.mixed = self.at_mix[:n] + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.p1 == self.p2))
+        self.weights = m = self.mix[self.mixed]
+        self.w2 = ((m & 0xFFFF) >> 16 - MIX_BITS) + 1
+        self.both = self.w2 + (m >> 32 - MIX_BITS) + 1
+
+    def learn(self, ids: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
+        """kind: 2, 1 or 0, the order that foresaw the id; new: where it is 0."""
         n = len(ids)
-        hit2, hit1 = self.p2 == ids, self.p1 == ids
-        m1 = self.mix1[self.mixed]
-        self.mix2[self.mixed] = np.minimum(65000, np.maximum(128, self.w2 + (((hit2 * 65536) - self.w2) >> 4)))
-        self.mix1[self.mixed] = np.where(hit2, m1, np.minimum(65000, np.maximum(128, m1 + (((hit1 * 65536) - m1) >> 4))))
+        m = self.weights
+        self.mix[self.mixed] = m - ((m >> 4) & LANES16) + KINDS[kind]
         fresh = ids << 2
-        self.seen2[self.k2] = np.where(hit2, fresh | np.minimum(3, self.c2 + 1), np.where(self.c2 > 1, (self.p2 << 2) | (self.c2 - 1), fresh))
-        self.seen1[self.k1] = np.where(hit1, fresh | np.minimum(3, self.c1 + 1), np.where(self.c1 > 1, (self.p1 << 2) | (self.c1 - 1), fresh))
-        self.count[np.arange(n), ids >> self.shift] += GAIN
+        self.seen2[self.k2] = np.where(kind == 2, np.minimum(self.e2 + 1, self.e2 | 3), fresh)
+        self.seen1[self.k1] = np.where(self.p1 == ids, np.minimum(self.e1 + 1, self.e1 | 3), fresh)
+        self.count[self.at0[new] + (ids[new] >> self.shift)] += 1
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -85,10 +92,10 @@ def _lanes(n_ids: int, block: int) -> np.ndarray:
     return np.array([block] * full + [rest] * (rest > 0), np.int64)
 
 
-def encode(ids: np.ndarray, block: int = 8192) -> bytes:
-    """Ids (under 2**22) as one record of blocks (of 16,384 ids at most), which are coded side by side."""
-    if len(ids) and int(np.max(ids)) >= 1 << 22 or block > 1 << 14:
-        raise ValueError("ids are under 2**22 and blocks hold 16,384 ids at most")
+def encode(ids: np.ndarray, block: int = 2048) -> bytes:
+    """Ids (under 2**22) as one record of blocks, which are coded side by side."""
+    if len(ids) and int(np.max(ids)) >= 1 << 22:
+        raise ValueError("ids are under 2**22")
     ids = np.ascontiguousarray(ids, np.int32)
     sizes = _lanes(len(ids), block)
     lanes, end = len(sizes), int(ids.max()) + 1 if len(ids) else 1
@@ -100,50 +107,73 @@ def encode(ids: np.ndarray, block: int = 8192) -> bytes:
     grid = np.ascontiguousarray(grid.T)
     m = Models(lanes, shift, end)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, used = np.zeros((lanes, 2 * block + 4), np.uint32), np.zeros(lanes, np.int64)
-
-    def settle() -> None:
-        small = np.flatnonzero(span <= LOW32)
-        if len(small):
-            l = low[small]
-            out[small, used[small]] = l >> W32
-            used[small] += 1
-            l &= LOW32
-            span[small] = np.minimum(span[small], np.uint64(2**32) - l) << W32
-            low[small] = l << W32
-
+    width_out = 2 * block + 4
+    out, used = np.zeros(lanes * width_out, np.uint32), np.arange(lanes) * width_out
+    full, mask = 1 << MIX_BITS, (1 << shift) - 1
+    mix_bits, count_bits = np.uint64(MIX_BITS), np.uint64(COUNT_BITS + shift)
     for t in range(int(sizes[0])):
         n = lanes if t < sizes[-1] else lanes - 1
         x = grid[t, :n]
         m.predict(t, n)
         is2 = m.p2 == x
-        is1 = (m.p1 == x) & ~is2
-        w2, w1 = m.w2, m.w1
-        both = w2 + w1
-        start = np.where(is2, 0, np.where(is1, w2, both))
-        width = np.where(is2, w2, np.where(is1, w1, 65536 - both))
-        part = span[:n] >> np.uint64(16)
-        low[:n] += part * start.astype(np.uint64)
-        span[:n] = part * width.astype(np.uint64)
-        settle()
-        new = np.flatnonzero(~(is1 | is2))
+        kind = np.where(is2, 2, m.p1 == x)
+        w2, both = m.w2, m.both
+        start = np.where(is2, 0, np.where(kind, w2, both))
+        width = np.where(is2, w2, np.where(kind, both, full) - start)
+        s = span[:n]
+        s >>= mix_bits
+        low[:n] += s * start.view(np.uint64)
+        s *= width.view(np.uint64)
+        new = np.flatnonzero(kind == 0)
         if len(new):
             y = x[new]
-            b = y >> shift
-            first = m.total[new, b]
-            freq = m.total[new, b + 1] - first
-            part = span[new] // (m.sum[new] << shift).astype(np.uint64)
-            low[new] += part * ((first << shift) + (y & ((1 << shift) - 1)) * freq).astype(np.uint64)
-            span[new] = part * freq.astype(np.uint64)
-            settle()
-        m.learn(x)
-    lane = np.arange(lanes)
-    out[lane, used] = low >> W32
-    out[lane, used + 1] = low & LOW32
-    used += 2
+            b = m.at0[new] + (y >> shift)
+            first = m.total[b].astype(np.int64)
+            freq = m.total[b + 1] - first
+            part = s[new] >> count_bits
+            low[new] += part * ((first << shift) + (y & mask) * freq).view(np.uint64)
+            s[new] = part * freq.view(np.uint64)
+        small = np.flatnonzero(s <= LOW32)
+        if len(small):
+            l = low[small]
+            at = used[small]
+            out[at] = l >> W32
+            used[small] = at + 1
+            l &= LOW32
+            s[small] = np.minimum(s[small], HALF - l) << W32
+            low[small] = l << W32
+        m.learn(x, kind, new)
+    out[used] = low >> W32
+    out[used + 1] = low & LOW32
+    sizes_out = used + 2 - np.arange(lanes) * width_out
     raw = ids.astype("<u4")
     sums = np.array([zlib.crc32(raw[k * block : (k + 1) * block]) for k in range(lanes)], "<u4")
-    return b"".join([HEAD.pack(MAGIC, shift, block, len(ids), lanes), struct.pack("<I", end), used.astype("<u4").tobytes(), sums.tobytes(), *(out[k, : used[k]].astype("<u4").tobytes() for k in range(lanes))])
+    return b"".join([HEAD.pack(MAGIC, shift, block, len(ids), lanes), struct.pack("<I", end), sizes_out.astype("<u4").tobytes(), sums.tobytes(), *(out[k * width_out : k * width_out + z].astype("<u4").tobytes() for k, z in enumerate(sizes_out.tolist()))])
+
+
+class _Finder:
+    """The range of ids that holds a place in order 0's division: from a table by the place's leading bits, then by steps."""
+
+    STEP = 3  # bits of a cell
+
+    def __init__(self, m: Models):
+        self.m, self.version = m, None
+
+    def find(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        m = self.m
+        cells = (1 << COUNT_BITS - self.STEP) + 1
+        if self.version != m.version:
+            grid = m.total.reshape(m.lanes, -1) >> self.STEP
+            hits = np.bincount((grid + np.arange(m.lanes)[:, None] * cells).ravel(), minlength=m.lanes * cells).reshape(m.lanes, cells)
+            before = np.cumsum(hits, axis=1) - hits - 1
+            self.table = np.maximum(before, 0).astype(np.int16).ravel()
+            self.version = m.version
+        b = m.at0[lanes] + self.table[lanes * cells + (place >> self.STEP)]
+        on = np.flatnonzero(m.total[b + 1] <= place)
+        while len(on):
+            b[on] += 1
+            on = on[m.total[b[on] + 1] <= place[on]]
+        return b
 
 
 def decode(record: bytes) -> np.ndarray:
@@ -157,59 +187,55 @@ def decode(record: bytes) -> np.ndarray:
     at = HEAD.size + 4
     used = np.frombuffer(record, "<u4", lanes, at).astype(np.int64)
     sums = np.frombuffer(record, "<u4", lanes, at + 4 * lanes)
-    words = np.concatenate([np.frombuffer(record, "<u4", offset=at + 8 * lanes), np.zeros(4, np.uint32)]).astype(np.uint64)
+    # a damaged block may ask for more words than it has; the checksum then tells
+    words = np.concatenate([np.frombuffer(record, "<u4", offset=at + 8 * lanes), np.zeros(2 * block + 8, np.uint32)])
     place = np.cumsum(used) - used
-    stop = place + used
     sizes = _lanes(n_ids, block)
     m = Models(lanes, shift, end)
+    finder = _Finder(m)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = (words[place] << W32) | words[place + 1]
+    code = (words[place].astype(np.uint64) << W32) | words[place + 1]
     place += 2
     grid = np.zeros((block, lanes), np.int32)
-    offset = np.arange(lanes, dtype=np.int64) << 40
-
-    def settle() -> None:
-        small = np.flatnonzero(span <= LOW32)
-        if len(small):
-            l = low[small] & LOW32
-            span[small] = np.minimum(span[small], np.uint64(2**32) - l) << W32
-            low[small] = l << W32
-            p = place[small]
-            code[small] = (code[small] << W32) | np.where(p < stop[small], words[np.minimum(p, len(words) - 1)], 0).astype(np.uint64)
-            place[small] += 1
-
-    flat, made = np.empty(0, np.int64), None
+    full = 1 << MIX_BITS
+    mix_bits, count_bits = np.uint64(MIX_BITS), np.uint64(COUNT_BITS + shift)
+    most = (1 << COUNT_BITS + shift) - 1
     for t in range(int(sizes[0])):
         n = lanes if t < sizes[-1] else lanes - 1
         m.predict(t, n)
-        if made is not m.total:
-            made = m.total
-            flat = (made + offset[: len(made), None]).ravel()
-        w2 = m.w2
-        both = w2 + m.w1
-        part = span[:n] >> np.uint64(16)
-        v = ((code[:n] - low[:n]) // part).astype(np.int64)
-        is2, is0 = v < w2, v >= both
+        w2, both = m.w2, m.both
+        s = span[:n]
+        s >>= mix_bits
+        v = ((code[:n] - low[:n]) // s).view(np.int64)
+        is2 = v < w2
+        kind = np.where(is2, 2, v < both)
+        start = np.where(is2, 0, np.where(kind, w2, both))
+        width = np.where(is2, w2, np.where(kind, both, full) - start)
         x = np.where(is2, m.p2, m.p1)
-        start = np.where(is2, 0, np.where(is0, both, w2))
-        width = np.where(is2, w2, np.where(is0, 65536 - both, m.w1))
-        low[:n] += part * start.astype(np.uint64)
-        span[:n] = part * width.astype(np.uint64)
-        settle()
-        new = np.flatnonzero(is0)
+        low[:n] += s * start.view(np.uint64)
+        s *= width.view(np.uint64)
+        new = np.flatnonzero(kind == 0)
         if len(new):
-            part = span[new] // (m.sum[new] << shift).astype(np.uint64)
-            v = ((code[new] - low[new]) // part).astype(np.int64)
-            b = np.searchsorted(flat, offset[new] + (v >> shift), side="right") - 1 - new * (m.buckets + 1)
-            first = made[new, b]
-            freq = made[new, b + 1] - first
+            l = low[new]
+            part = s[new] >> count_bits
+            v = np.minimum(((code[new] - l) // part).view(np.int64) & (2**62 - 1), most)
+            b = finder.find(new, v >> shift)
+            first = m.total[b].astype(np.int64)
+            freq = m.total[b + 1] - first
             rest = (v - (first << shift)) // freq
-            x[new] = (b << shift) + rest
-            low[new] += part * ((first << shift) + rest * freq).astype(np.uint64)
-            span[new] = part * freq.astype(np.uint64)
-            settle()
+            x[new] = ((b - m.at0[new]) << shift) + rest
+            low[new] = l + part * ((first << shift) + rest * freq).view(np.uint64)
+            s[new] = part * freq.view(np.uint64)
+        small = np.flatnonzero(s <= LOW32)
+        if len(small):
+            l = low[small] & LOW32
+            p = place[small]
+            s[small] = np.minimum(s[small], HALF - l) << W32
+            low[small] = l << W32
+            code[small] = (code[small] << W32) | words[p]
+            place[small] = p + 1
         grid[t, :n] = x
-        m.learn(x)
+        m.learn(x, kind, new)
     ids = np.ascontiguousarray(grid.T).ravel()[:n_ids].astype("<u4")
     for k in range(lanes):
         if zlib.crc32(ids[k * block : (k + 1) * block]) != sums[k]:
@@ -220,7 +246,7 @@ def decode(record: bytes) -> np.ndarray:
 ROWS = "part int, seq int, n_ids long, doc_sizes array<long>, record binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block: int = 8192, segment: int = 6_000_000) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block: int = 2048, segment: int = 6_000_000) -> None:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending id order (null ids first).
 
     Texts are range-partitioned by id; each task writes one file of records of about ``segment`` ids of whole documents.

@@ -1,4 +1,5 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ def test_files_in_order(spark):
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 30, 400])))) for i in rnd.sample(range(-50, 1000), 150)]
     rows += [(2000, None), (2001, ""), (2002, "long " * 20000), (None, "null id")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int").repartition(5)
-    path = f"{shared_dir(spark)}/tokens-test-{rnd.random()}"
+    path = f"{shared_dir(spark)}/tokens-test-{uuid.uuid4().hex}"
     tokenfile.write(df, path, PATH, segment=2000, block=128)
     got = tokenfile.read(spark, path).collect()
     t = Tokenizer.from_file(PATH)
