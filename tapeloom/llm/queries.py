@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, common, lmscore, maintext, packing, quality, simhash, substrings, tokenfile, topk
+from . import annforest, common, lmscore, maintext, packing, pieces, quality, simhash, substrings, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    shown = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return shown.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/tapeloom-tokens-{uuid.uuid4().hex}"
     tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_lm_score": op3_lm_score,
     "op4_ann_forest": op4_ann_forest,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_file": op6_token_file,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_main_text": op8_main_text,

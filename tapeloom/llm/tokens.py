@@ -22,26 +22,29 @@ DROPS_SPACE = re.compile(r"[^\t-\r ]+")
 _encoders: dict[str, "UnitEncoder"] = {}
 
 
-class UnitEncoder:
+class UnitCache:
     """Encodes texts unit by unit. Two generations of units are kept; the older goes when the newer holds ``limit``, which bounds memory, not results."""
 
-    def __init__(self, spec: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.units = DROPS_SPACE if '"Removed"' in json.dumps(json.loads(spec)["pre_tokenizer"]) else KEEPS_SPACE
+    def __init__(self, limit: int = 400_000):
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
 
+    def split(self, text: str) -> list[str]:
+        """Units whose ids, joined, are the text's."""
+        raise NotImplementedError
+
+    def fresh(self, units: list[str]) -> Iterable[bytes]:
+        """The ids of units that are not in the cache."""
+        raise NotImplementedError
+
     def encode(self, texts: Iterable[str | None], chars: int = 1 << 20) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
         out: list[bytes] = []
         some: list[list[str]] = []
         size = 0
         for text in texts:
-            some.append(self.units.findall(text or ""))
+            some.append(self.split(text or ""))
             size += len(text or "")
             if size >= chars:
                 out += self._some(some)
@@ -59,11 +62,25 @@ class UnitEncoder:
                 self.cache[unit] = known
             else:
                 ask.append(unit)
-        for unit, got in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            self.cache[unit] = array("I", got.ids).tobytes()
+        self.cache.update(zip(ask, self.fresh(ask)))
         return [b"".join(map(self.cache.__getitem__, units)) for units in texts]
 
 
+class UnitEncoder(UnitCache):
+    """A tokenizer file of the tokenizers library, by units of words and white space."""
+
+    def __init__(self, spec: str, limit: int = 400_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.encode_special_tokens = True
+        self.split = (DROPS_SPACE if '"Removed"' in json.dumps(json.loads(spec)["pre_tokenizer"]) else KEEPS_SPACE).findall
+
+    def fresh(self, units: list[str]) -> Iterable[bytes]:
+        return (array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(units, add_special_tokens=False))
+
+
 def share(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file's text for all executors; a vocabulary file's size does not depend on the input."""
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
