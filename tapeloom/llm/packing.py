@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,37 +30,44 @@ def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
     n = len(sizes)
     if ways == 1 or n == 0:
         return np.zeros(n, np.int64)
-    left, right = np.full(2 * n, -1), np.full(2 * n, -1)
-    made = n
-    heap = [(-int(s), i, np.array([int(s)]), np.array([i])) for i, s in enumerate(sizes)]  # spread, tie, sums from the largest, nodes
+    below: list[tuple[int, int]] = []  # the two nodes that node n + k joins
+    # spread, tie, ways in use as (sum, node) from the smallest
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     tie = n
     while len(heap) > 1:
-        _, _, a, an = heapq.heappop(heap)
-        _, _, b, bn = heapq.heappop(heap)
-        both = max(0, len(a) + len(b) - ways)  # a's smallest meet b's smallest only where no way is empty
-        if both:
-            alone = ways - len(a)  # the largest of b take the empty ways
-            free, freen = b[:alone], bn[:alone]
-            on, onn = b[alone:], bn[alone:]
-            k = len(on)
-            tail = np.arange(len(a) - k, len(a))
-            sums = np.concatenate([a[: len(a) - k], a[tail][::-1] + on, free])
-            node = np.arange(made, made + k)
-            left[node], right[node] = an[tail][::-1], onn
-            made += k
-            nodes = np.concatenate([an[: len(a) - k], node, freen])
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        alone = ways - len(a)
+        if len(b) <= alone:
+            if len(b) == 1:
+                insort(a, b[0])
+            else:
+                a = sorted(a + b)
         else:
-            sums, nodes = np.concatenate([a, b]), np.concatenate([an, bn])
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        spread = int(sums[0] - (sums[-1] if len(sums) == ways else 0))
-        heapq.heappush(heap, (-spread, tie, sums, nodes))
+            # the largest of b take the empty ways; of the rest the largest meets the smallest of a
+            rest = b[: len(b) - alone]
+            free = b[len(b) - alone :]
+            k = len(rest)
+            joined = []
+            for (x, i), (y, j) in zip(a[:k], reversed(rest)):
+                joined.append((x + y, n + len(below)))
+                below.append((i, j))
+            if k == 1 and not free:
+                a = a[1:]
+                insort(a, joined[0])
+            else:
+                a = sorted(a[k:] + joined + free)
+        heapq.heappush(heap, ((a[0][0] if len(a) == ways else 0) - a[-1][0], tie, a))
         tie += 1
-    way = np.full(made, -1)
-    way[heap[0][3]] = np.arange(len(heap[0][3]))
-    for node in range(made - 1, n - 1, -1):
-        way[left[node]] = way[right[node]] = way[node]
+    way = np.full(n + len(below), -1)
+    for w, (_, node) in enumerate(reversed(heap[0][2])):
+        way[node] = w
+    for k in range(len(below) - 1, -1, -1):
+        i, j = below[k]
+        way[i] = way[j] = way[n + k]
     return way[:n]
 
 
