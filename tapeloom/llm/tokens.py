@@ -25,7 +25,7 @@ _encoders: dict[str, "UnitEncoder"] = {}
 class UnitCache:
     """Encodes texts unit by unit. Two generations of units are kept; the older goes when the newer holds ``limit``, which bounds memory, not results."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 600_000):
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
@@ -69,7 +69,7 @@ class UnitCache:
 class UnitEncoder(UnitCache):
     """A tokenizer file of the tokenizers library, by units of words and white space."""
 
-    def __init__(self, spec: str, limit: int = 400_000):
+    def __init__(self, spec: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
