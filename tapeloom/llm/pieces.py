@@ -132,7 +132,7 @@ def occurrences(text: np.ndarray, order: np.ndarray, chars: np.ndarray) -> tuple
 class PieceEncoder(UnitCache):
     """Encodes batches of distinct units: all pieces are found in one suffix array, and edges are relaxed by position."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
         super().__init__(limit)
         self.v = vocabulary
         self.single = set(self.v.chars[self.v.chars[:, 1] == 0, 0].tolist()) if self.v.chars.shape[1] > 1 else set(self.v.chars[:, 0].tolist())
@@ -173,30 +173,32 @@ class PieceEncoder(UnitCache):
             return []
         v, n = self.v, len(self.v.pieces)
         # code points + 1, a 0 after each unit
-        raw = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        raw = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
         size = np.array([len(u) for u in units], np.int64)
         stop = np.cumsum(size + 1) - 1
         begin = stop - size
-        text = np.append(raw + 1, 0)
+        text = np.append(raw + 1, np.int32(0))
         text[stop] = 0
-        order = suffix_array(text, v.chars.shape[1])
+        order = suffix_array(text, v.chars.shape[1]).astype(np.int32)
         low, high = occurrences(text, order, v.chars)
         found = high - low
         place = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)
-        start, piece, width = order[place], np.repeat(v.edges, found), np.repeat(self.size, found)
+        start, piece, width = order[place], np.repeat(v.edges.astype(np.int32), found), np.repeat(self.size.astype(np.int32), found)
+        del place
         known = np.zeros(len(text), bool)
         known[start[width == 1]] = True
-        odd = np.flatnonzero(~known & (text > 0))
-        start, piece, width = np.concatenate([start, odd]), np.concatenate([piece, n + text[odd] - 1]), np.concatenate([width, np.ones(len(odd), np.int64)])
-        base = np.repeat(begin, size + 1)
+        odd = np.flatnonzero(~known & (text > 0)).astype(np.int32)
+        start, piece, width = np.concatenate([start, odd]), np.concatenate([piece, n + text[odd] - 1]), np.concatenate([width, np.ones(len(odd), np.int32)])
+        base = np.repeat(begin, size + 1).astype(np.int32)
         end = start + width
         step = end - base[start]
         by = np.argsort(step.astype(np.int16) if step.max() < 2**15 else step, kind="stable")
         start, piece, end, step = start[by], piece[by], end[by], step[by]
+        del by, width, known
         cut = np.searchsorted(step, np.arange(1, step[-1] + 2))
         last, back = np.full(len(text), -1), np.zeros(len(text), np.int64)
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            s, p, e = start[i:j], piece[i:j], end[i:j]
+            s, p, e = start[i:j], piece[i:j].astype(np.int64), end[i:j]
             before = last[s]
             open_ = s == base[s]
             ok = open_.copy()
@@ -231,12 +233,11 @@ _encoders: dict[int, PieceEncoder] = {}
 
 
 def _encoder(shared: Broadcast) -> PieceEncoder:
-    """This worker's encoder, kept between its tasks."""
-    v = shared.value
-    if id(v) not in _encoders:
-        _encoders.clear()
-        _encoders[id(v)] = PieceEncoder(v)
-    return _encoders[id(v)]
+    """This worker's encoder, kept between its tasks and queries of the same model."""
+    key = zlib.crc32(b"\0".join(shared.value.pieces))
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(shared.value)
+    return _encoders[key]
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -247,10 +248,11 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return shown.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, ids, n_tokens): the ids of every whole text as little-endian 32-bit integers; a null or empty text has none.
 
-    One narrow stage; the model, of fixed size, is broadcast. Repeated rows and null ids stay; other columns are ignored.
+    with_text adds the text that the ids decode to, from the same worker. One narrow stage; the model, of fixed size, is
+    broadcast. Repeated rows and null ids stay; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -261,9 +263,13 @@ def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", tex
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
                 ids = enc.encode(some.column(1).to_pylist(), chars=2 << 20)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["id", "ids", "n_tokens"])
+                columns = {"id": some.column(0), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                if with_text:
+                    columns["text"] = pa.array([decode_ids(enc.v, np.frombuffer(x, "<u4")) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, n_tokens long").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids binary, n_tokens long" + ", text string" * with_text
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

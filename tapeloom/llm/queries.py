@@ -37,9 +37,8 @@ def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load(tokenizer_path("piece_bpe_32k.model"))
-    shown = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
-    return shown.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+    got = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_text=True)
+    return got.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,4 +59,6 @@ def test_edge_rows(spark, vocabulary):
     enc = pieces.encode(df, vocabulary)
     got = sorted(((str(r.doc_id), r.n_tokens, r.text) for r in pieces.decode(enc, vocabulary).collect()))
     assert got == [("1", 0, ""), ("2", 0, ""), ("3", 1, "w"), ("3", 50001, "w " * 50000), ("None", 1, "a")]
+    both = pieces.encode(df, vocabulary, with_text=True)
+    assert sorted((str(r.doc_id), r.n_tokens, r.text) for r in both.collect()) == got
     assert pieces.encode(df.limit(0), vocabulary).count() == 0
