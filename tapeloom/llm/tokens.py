@@ -15,9 +15,11 @@ from pyspark.sql import SparkSession
 #: Unicode's White_Space, as tokenizers' \s has it (Python's \s has U+001C to U+001F besides).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Where a text may be cut so that its pieces encode as the whole does. For a byte-level BPE whose pre-tokenizer keeps
-#: white space: a word with one blank before it, or a run of white space. For a BPE that drops white space: words.
-KEEPS_SPACE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-DROPS_SPACE = re.compile(r"[^\t-\r ]+")
+#: white space: a word with one blank before it, or a run of white space. For a BPE that drops white space: words. Both cut
+#: a run of letters and digits from a mark that follows, which are never one token, so that fewer units are distinct.
+PLAIN, MARKS = "a-zA-Z0-9À-ÖØ-öø-ÿ", ".,%#$&*!|"
+KEEPS_SPACE = re.compile(f" ?[{PLAIN}]+(?![^{SPACE}{MARKS}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+DROPS_SPACE = re.compile(f"[{PLAIN}]+(?![^\t-\r {MARKS}])|[^\t-\r ]+")
 
 _encoders: dict[str, "UnitEncoder"] = {}
 
