@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(?!(?:noscript|template|svg|iframe|object)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*/>)(script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^<>]*+>",
     re.IGNORECASE | re.DOTALL,
@@ -26,6 +26,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav footer aside form dialog menu head button select label datalist canvas audio video".split())
 NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright dialog disqus disclaimer footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert overlay paywall".split())
 OUTER_NAMES = frozenset("header".split())
+#: Words that may stand beside these in a compound name; any other ("no-sidebar", "has-menu") makes it a name of its own.
+BESIDE = frozenset("main top bottom left right site page primary secondary global mobile box block list section area container wrapper bar".split())
 #: Frequent function words.
 STOP_WORDS = frozenset(
     "the of and to in is that it for was with as on be by are this from at or an not have which but they has had were all".split()
@@ -45,27 +47,37 @@ class Block:
     kind: str = ""
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part that holds no main text."""
-    if tag in ASIDE or tag == "header" and not in_article:
-        return True
+def _names(value: str, names: frozenset) -> bool:
+    """Whether a class, id or role has one of the names, alone or in a compound of such names and words beside them."""
+    for whole in value.split():
+        parts = set(re.findall("[a-z]+", whole))
+        if parts & names and parts <= names | BESIDE:
+            return True
+    return False
+
+
+def _marked(tag: str, attributes: str, in_article: bool, spare: int = 0) -> int:
+    """Whether an element is a part that holds no main text (1) or is hidden (2)."""
+    mark = int(tag in ASIDE and not (spare > 1 and tag == "form") or tag == "header" and not in_article)
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return mark
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape("".join(values)).lower()
         if name in ("class", "id", "role"):
-            names = set(re.split(r"[^a-z]+", value))
-            if names & NAMES or not in_article and names & OUTER_NAMES:
-                return True
+            if spare < 2 and _names(value, NAMES if in_article else NAMES | OUTER_NAMES):
+                mark = 1
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return mark
+
 
+def blocks_of(html: str, spare: int = 0) -> list[Block]:
+    """The page's text blocks in order, without those in parts that never hold main text.
 
-def blocks_of(html: str) -> list[Block]:
-    """The page's text blocks in order, without those in parts that never hold main text."""
+    spare 1 keeps an article or main element inside such a part, 2 also forms and parts marked by name; hidden parts go.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, in a marked part, article
+    stack: list[tuple[str, int, int]] = []  # tag, in a marked part, article
     block, link, article, at = None, False, 0, 0
 
     def take(raw: str) -> None:
@@ -105,11 +117,12 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in BLOCKS and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()  # its end tag may be left out
-        _, out_of_text, inside = stack[-1] if stack else ("", False, 0)
+        _, out_of_text, inside = stack[-1] if stack else ("", 0, 0)
         if tag in ("article", "main"):
             article += 1
             inside = inside or article
-        marked = out_of_text or _marked(tag, attributes, bool(inside))
+            out_of_text = 0 if spare and out_of_text == 1 else out_of_text
+        marked = max(out_of_text, _marked(tag, attributes, bool(inside), spare))
         if marked or tag in BLOCKS:
             if tag in BLOCKS or not attributes.rstrip().endswith("/"):
                 stack.append((tag, marked, inside))
@@ -131,7 +144,7 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
         words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
         density = sum(w in STOP_WORDS for w in words) / len(words)
         size, linked = len(b.text), b.linked / max(1, len(b.text.replace(" ", "")))
-        if linked > links or "©" in b.text and size < long or b.linked and size < short and not b.zone:
+        if linked > links and not (b.heading and b.zone) or "©" in b.text and size < long or b.linked and size < short and not b.zone:
             b.kind = "bad"
         elif size < short:
             b.kind = "short"
@@ -167,8 +180,16 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
 
 
 def main_text(html: str | None) -> str:
-    """The main text: its blocks joined by an empty line, character references decoded, white space inside a block one blank."""
-    return "\n\n".join(b.text for b in classify(blocks_of(html or "")))
+    """The main text: its blocks joined by an empty line, character references decoded, white space inside a block one blank.
+
+    Where no article has text, articles inside marked parts are looked at; where still nothing is main text, forms and parts
+    marked by name are too.
+    """
+    good = classify(blocks_of(html or ""))
+    if not any(b.zone for b in good):
+        inner = classify(blocks_of(html or "", 1))
+        good = inner if any(b.zone for b in inner) else good or classify(blocks_of(html or "", 2))
+    return "\n\n".join(b.text for b in good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

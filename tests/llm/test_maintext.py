@@ -53,3 +53,19 @@ def test_edges(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in maintext.extract(df).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("None", "Hi", 2)]
     assert maintext.extract(df.limit(0)).count() == 0
+
+
+def test_marked_wrappers_keep_the_article():
+    text = " ".join(P.split())
+    for name in ("layout-with-sidebar", "no-sidebar", "ad-free", "has-menu", "sidebar"):
+        assert maintext.main_text(f"<body><div class='{name}'><article><p>{P}</p></article></div><p>{P}</p></body>") == text
+    assert maintext.main_text(f"<body><form action=x><article><p>{P}</p></article></form></body>") == text
+    assert maintext.main_text(f"<body><form action=x><div>{P}</div></form></body>") == text
+    assert maintext.main_text(f"<body><div hidden><article><p>{P}</p></article></div></body>") == ""
+
+
+def test_self_closed_tags_and_linked_headings():
+    text = " ".join(P.split())
+    for tag in ("svg", "iframe"):
+        assert maintext.main_text(f"<article><{tag} class='x' /><p>{P}</p></article>") == text
+    assert maintext.main_text(f"<article><h1><a href=x>Title</a></h1><p>{P}</p></article>") == "Title\n\n" + text
