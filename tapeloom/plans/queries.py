@@ -154,7 +154,7 @@ def transcript_preview(s, d):
 @query
 def safe_filename(s, d):
     c = F.col
-    return V.t(s, d, "documents").select("doc_id", S.safe_filename(F.substring("text", 1, 150), F.when(c("doc_id") % 3 == 0, "").when(c("doc_id") % 3 == 1, c("source")), c("lang")).alias("name"))
+    return V.t(s, d, "documents").select("doc_id", S.safe_filename(F.col("text"), F.when(c("doc_id") % 3 == 0, "").when(c("doc_id") % 3 == 1, c("source")), c("lang")).alias("name"))
 
 
 @query
