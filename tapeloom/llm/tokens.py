@@ -69,15 +69,31 @@ class UnitCache:
 
 
 class UnitEncoder(UnitCache):
-    """A tokenizer file of the tokenizers library, by units of words and white space."""
+    """A tokenizer file of the tokenizers library, by units of words and white space.
 
-    def __init__(self, spec: str, limit: int = 600_000):
+    The file's added tokens (as ``<|endoftext|>``) are found in texts first, as the library does by itself; they are units of
+    their own. ``special_as_text`` takes their strings as ordinary text instead.
+    """
+
+    def __init__(self, spec: str, limit: int = 600_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.split = (DROPS_SPACE if '"Removed"' in json.dumps(json.loads(spec)["pre_tokenizer"]) else KEEPS_SPACE).findall
+        self.tokenizer.encode_special_tokens = special_as_text
+        known = json.loads(spec)
+        self.units = (DROPS_SPACE if '"Removed"' in json.dumps(known["pre_tokenizer"]) else KEEPS_SPACE).findall
+        added = [t for t in known.get("added_tokens", []) if not (special_as_text and t["special"])]
+        self.whole = any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))  # these look beyond the token
+        literals = sorted((re.escape(t["content"]) for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(literals)})") if literals else None
+
+    def split(self, text: str) -> list[str]:
+        if self.whole:
+            return [text]
+        if self.added is None or len(parts := self.added.split(text)) == 1:
+            return self.units(text)
+        return [u for k, part in enumerate(parts) for u in ([part] if k % 2 else self.units(part))]
 
     def fresh(self, units: list[str]) -> Iterable[bytes]:
         return (array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(units, add_special_tokens=False))

@@ -77,7 +77,6 @@ def test_substring_dedup(spark, docs):
 def test_packing(spark, docs):
     out = pipeline.pack(spark, docs, SF)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = {}
     for r in out.collect():
         pieces.setdefault(r.doc_id, []).append(r)

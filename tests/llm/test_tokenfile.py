@@ -45,7 +45,6 @@ def test_files_in_order(spark):
     tokenfile.write(df, path, PATH, segment=2000, block=128)
     got = tokenfile.read(spark, path).collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     start = 0
     assert len(got) == len(rows)
     by_id = {r.doc_id: r for r in got}
