@@ -1,8 +1,7 @@
-"""A file format for token ids: an adaptive context-mixing range coder over independent, checksummed blocks."""
+"""Files of token ids: records of independent, checksummed blocks in Parquet, one file a task."""
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,244 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .rangecoder import decode, encode
 
-MAGIC = b"TLR2"
-HEAD = struct.Struct("<4sBIII")  # magic, shift, ids in a block, ids, blocks
-LOW32 = np.uint64(0xFFFFFFFF)
-W32, HALF = np.uint64(32), np.uint64(2**32)
-SLOTS1, SLOTS2, CONTEXTS = 1024, 2048, 32
-#: Bits of the mixed division of the range, and of order 0's counts: both and the ids of a range of 2**12 fit 32 bits.
-MIX_BITS, COUNT_BITS = 12, 13
-BUCKETS = 1024
-KINDS = np.array([0, 4062 << 16, 4062], np.int64)  # order 0, order 1, order 2
-LANES16 = np.int64(0x0FFF0FFF)
+ROWS = "part int, seq int, n_ids long, doc_sizes array<long>, record binary, doc_sum long"
 
 
-class Models:
-    """The predictions of each lane, a lane being one block; all start alike, so a block needs no other.
-
-    Order 2 and order 1 each remember the id that followed a context last, and how often in a row it came true. Order 0
-    counts the ids that neither foresaw, by ranges of 2**shift. How far orders 2 and 1 are trusted is learnt for each pair
-    of their confidences and for whether they agree: these weights mix the three into one division of the coder's range.
-    """
-
-    def __init__(self, lanes: int, shift: int, ids_end: int):
-        self.shift, self.buckets = shift, (ids_end >> shift) + 1
-        lane = np.arange(lanes)
-        self.at1, self.at2, self.at_mix, self.at0 = lane * SLOTS1, lane * SLOTS2, lane * CONTEXTS, lane * (self.buckets + 1)
-        self.seen1, self.seen2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        trust2, trust1 = (512, 6000, 16384, 40000), (512, 4096, 10000, 20000)
-        self.mix = np.tile(np.array([trust2[k // 8] | trust1[k // 2 % 4] << 16 for k in range(CONTEXTS)], np.int64), lanes)
-        self.count = np.zeros(lanes * (self.buckets + 1), np.int32)
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.next, self.gap, self.lanes = 16, 16, lanes
-        self.renew()
-
-    def renew(self) -> None:
-        """Order 0's cumulative counts as of now, scaled to 2**COUNT_BITS with one at least for each range."""
-        grid = self.count.reshape(self.lanes, self.buckets + 1)
-        total = np.zeros(grid.shape, np.int64)
-        np.cumsum(grid[:, :-1], axis=1, out=total[:, 1:])
-        whole = np.maximum(1, total[:, -1:])
-        spread = np.arange(self.buckets + 1) * ((1 << COUNT_BITS) - self.buckets) // self.buckets
-        learnt = total * ((1 << COUNT_BITS) - self.buckets) // whole
-        seen = np.minimum(7, whole // 16)  # eighths: how much of the division counts decide
-        self.total = (np.arange(self.buckets + 1) + (learnt * seen + spread * (8 - seen)) // 8).astype(np.int32).ravel()
-        self.version = self.next
-
-    def predict(self, t: int, n: int) -> None:
-        if t == self.next:
-            self.gap = min(512, self.gap * 2)
-            self.next += self.gap
-            self.renew()
-        last = self.last[:n]
-        self.k1 = self.at1[:n] + (last & (SLOTS1 - 1))
-        self.k2 = self.at2[:n] + ((last ^ (self.before[:n] << 4)) & (SLOTS2 - 1))
-        self.e1, self.e2 = self.seen1[self.k1], self.seen2[self.k2]
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.mixed = self.at_mix[:n] + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.p1 == self.p2))
-        self.weights = m = self.mix[self.mixed]
-        self.w2 = ((m & 0xFFFF) >> 16 - MIX_BITS) + 1
-        self.both = self.w2 + (m >> 32 - MIX_BITS) + 1
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
-        """kind: 2, 1 or 0, the order that foresaw the id; new: where it is 0."""
-        n = len(ids)
-        m = self.weights
-        self.mix[self.mixed] = m - ((m >> 4) & LANES16) + KINDS[kind]
-        fresh = ids << 2
-        self.seen2[self.k2] = np.where(kind == 2, np.minimum(self.e2 + 1, self.e2 | 3), fresh)
-        self.seen1[self.k1] = np.where(self.p1 == ids, np.minimum(self.e1 + 1, self.e1 | 3), fresh)
-        self.count[self.at0[new] + (ids[new] >> self.shift)] += 1
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-def _lanes(n_ids: int, block: int) -> np.ndarray:
-    """Block sizes; only the last is short, so lanes that are still at work are a prefix."""
-    full, rest = divmod(n_ids, block)
-    return np.array([block] * full + [rest] * (rest > 0), np.int64)
-
-
-def encode(ids: np.ndarray, block: int = 2048) -> bytes:
-    """Ids (under 2**22) as one record of blocks, which are coded side by side."""
-    if len(ids) and int(np.max(ids)) >= 1 << 22:
-        raise ValueError("ids are under 2**22")
-    ids = np.ascontiguousarray(ids, np.int32)
-    sizes = _lanes(len(ids), block)
-    lanes, end = len(sizes), int(ids.max()) + 1 if len(ids) else 1
-    shift = max(0, (end - 1).bit_length() - 10)
-    if not lanes:
-        return HEAD.pack(MAGIC, shift, block, 0, 0) + struct.pack("<I", end)
-    grid = np.zeros((lanes, block), np.int32)
-    grid.ravel()[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    m = Models(lanes, shift, end)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    width_out = 2 * block + 4
-    out, used = np.zeros(lanes * width_out, np.uint32), np.arange(lanes) * width_out
-    full, mask = 1 << MIX_BITS, (1 << shift) - 1
-    mix_bits, count_bits = np.uint64(MIX_BITS), np.uint64(COUNT_BITS + shift)
-    for t in range(int(sizes[0])):
-        n = lanes if t < sizes[-1] else lanes - 1
-        x = grid[t, :n]
-        m.predict(t, n)
-        is2 = m.p2 == x
-        kind = np.where(is2, 2, m.p1 == x)
-        w2, both = m.w2, m.both
-        start = np.where(is2, 0, np.where(kind, w2, both))
-        width = np.where(is2, w2, np.where(kind, both, full) - start)
-        s = span[:n]
-        s >>= mix_bits
-        low[:n] += s * start.view(np.uint64)
-        s *= width.view(np.uint64)
-        new = np.flatnonzero(kind == 0)
-        if len(new):
-            y = x[new]
-            b = m.at0[new] + (y >> shift)
-            first = m.total[b].astype(np.int64)
-            freq = m.total[b + 1] - first
-            part = s[new] >> count_bits
-            low[new] += part * ((first << shift) + (y & mask) * freq).view(np.uint64)
-            s[new] = part * freq.view(np.uint64)
-        small = np.flatnonzero(s <= LOW32)
-        if len(small):
-            l = low[small]
-            at = used[small]
-            out[at] = l >> W32
-            used[small] = at + 1
-            l &= LOW32
-            s[small] = np.minimum(s[small], HALF - l) << W32
-            low[small] = l << W32
-        m.learn(x, kind, new)
-    out[used] = low >> W32
-    out[used + 1] = low & LOW32
-    sizes_out = used + 2 - np.arange(lanes) * width_out
-    raw = ids.astype("<u4")
-    sums = np.array([zlib.crc32(raw[k * block : (k + 1) * block]) for k in range(lanes)], "<u4")
-    return b"".join([HEAD.pack(MAGIC, shift, block, len(ids), lanes), struct.pack("<I", end), sizes_out.astype("<u4").tobytes(), sums.tobytes(), *(out[k * width_out : k * width_out + z].astype("<u4").tobytes() for k, z in enumerate(sizes_out.tolist()))])
-
-
-class _Finder:
-    """The range of ids that holds a place in order 0's division: from a table by the place's leading bits, then by steps."""
-
-    STEP = 3  # bits of a cell
-
-    def __init__(self, m: Models):
-        self.m, self.version = m, None
-
-    def find(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
-        m = self.m
-        cells = (1 << COUNT_BITS - self.STEP) + 1
-        if self.version != m.version:
-            grid = m.total.reshape(m.lanes, -1) >> self.STEP
-            hits = np.bincount((grid + np.arange(m.lanes)[:, None] * cells).ravel(), minlength=m.lanes * cells).reshape(m.lanes, cells)
-            before = np.cumsum(hits, axis=1) - hits - 1
-            self.table = np.maximum(before, 0).astype(np.int16).ravel()
-            self.version = m.version
-        b = m.at0[lanes] + self.table[lanes * cells + (place >> self.STEP)]
-        on = np.flatnonzero(m.total[b + 1] <= place)
-        while len(on):
-            b[on] += 1
-            on = on[m.total[b[on] + 1] <= place[on]]
-        return b
-
-
-def decode(record: bytes) -> np.ndarray:
-    """The ids of a record, after each block's checksum has been compared."""
-    magic, shift, block, n_ids, lanes = HEAD.unpack_from(record)
-    if magic != MAGIC:
-        raise ValueError("not a token record")
-    (end,) = struct.unpack_from("<I", record, HEAD.size)
-    if not lanes:
-        return np.empty(0, np.uint32)
-    at = HEAD.size + 4
-    used = np.frombuffer(record, "<u4", lanes, at).astype(np.int64)
-    sums = np.frombuffer(record, "<u4", lanes, at + 4 * lanes)
-    # a damaged block may ask for more words than it has; the checksum then tells
-    words = np.concatenate([np.frombuffer(record, "<u4", offset=at + 8 * lanes), np.zeros(2 * block + 8, np.uint32)])
-    place = np.cumsum(used) - used
-    sizes = _lanes(n_ids, block)
-    m = Models(lanes, shift, end)
-    finder = _Finder(m)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = (words[place].astype(np.uint64) << W32) | words[place + 1]
-    place += 2
-    grid = np.zeros((block, lanes), np.int32)
-    full = 1 << MIX_BITS
-    mix_bits, count_bits = np.uint64(MIX_BITS), np.uint64(COUNT_BITS + shift)
-    most = (1 << COUNT_BITS + shift) - 1
-    for t in range(int(sizes[0])):
-        n = lanes if t < sizes[-1] else lanes - 1
-        m.predict(t, n)
-        w2, both = m.w2, m.both
-        s = span[:n]
-        s >>= mix_bits
-        v = ((code[:n] - low[:n]) // s).view(np.int64)
-        is2 = v < w2
-        kind = np.where(is2, 2, v < both)
-        start = np.where(is2, 0, np.where(kind, w2, both))
-        width = np.where(is2, w2, np.where(kind, both, full) - start)
-        x = np.where(is2, m.p2, m.p1)
-        low[:n] += s * start.view(np.uint64)
-        s *= width.view(np.uint64)
-        new = np.flatnonzero(kind == 0)
-        if len(new):
-            l = low[new]
-            part = s[new] >> count_bits
-            v = np.minimum(((code[new] - l) // part).view(np.int64) & (2**62 - 1), most)
-            b = finder.find(new, v >> shift)
-            first = m.total[b].astype(np.int64)
-            freq = m.total[b + 1] - first
-            rest = (v - (first << shift)) // freq
-            x[new] = ((b - m.at0[new]) << shift) + rest
-            low[new] = l + part * ((first << shift) + rest * freq).view(np.uint64)
-            s[new] = part * freq.view(np.uint64)
-        small = np.flatnonzero(s <= LOW32)
-        if len(small):
-            l = low[small] & LOW32
-            p = place[small]
-            s[small] = np.minimum(s[small], HALF - l) << W32
-            low[small] = l << W32
-            code[small] = (code[small] << W32) | words[p]
-            place[small] = p + 1
-        grid[t, :n] = x
-        m.learn(x, kind, new)
-    ids = np.ascontiguousarray(grid.T).ravel()[:n_ids].astype("<u4")
-    for k in range(lanes):
-        if zlib.crc32(ids[k * block : (k + 1) * block]) != sums[k]:
-            raise ValueError(f"checksum of block {k} differs")
-    return ids
-
-
-ROWS = "part int, seq int, n_ids long, doc_sizes array<long>, record binary"
+def _sum(doc_ids: pa.Array, sizes: list[int]) -> int:
+    """A checksum of a record's document ids and sizes."""
+    return zlib.crc32(repr((doc_ids.to_pylist(), sizes)).encode())
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block: int = 2048, segment: int = 6_000_000) -> None:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending id order (null ids first).
 
-    Texts are range-partitioned by id; each task writes one file of records of about ``segment`` ids of whole documents.
-    A record stands for itself: a lost task writes its file anew. A null text is empty.
+    Texts are range-partitioned by id; each task writes one file of records of about ``segment`` ids of whole documents (a
+    longer document is a record of its own length). A record stands for itself: a lost task writes its file anew. A null or
+    empty text is its end id. Rows of one id are all written, by the hash of their texts and then the texts, so many
+    of them are dealt to several tasks and their order does not change. An empty table gives files without records; columns besides id and text are ignored, whatever their names.
     """
     spec = tokens.share(docs.sparkSession, tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -261,10 +39,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         keys, ids, size = [], [], 0
 
         def made() -> pa.RecordBatch:
-            row = [part, seq, size // 4, [len(x) // 4 for x in ids], encode(np.frombuffer(b"".join(ids), "<u4"), block)]
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            doc_ids = pa.concat_arrays(keys)
-            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, types)), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)], ["part", "seq", "n_ids", "doc_sizes", "record", "doc_ids"])
+            doc_ids, sizes = pa.concat_arrays(keys), [len(x) // 4 for x in ids]
+            row = [part, seq, size // 4, sizes, encode(np.frombuffer(b"".join(ids), "<u4"), block), _sum(doc_ids, sizes)]
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, types)), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)], ["part", "seq", "n_ids", "doc_sizes", "record", "doc_sum", "doc_ids"])
 
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -279,7 +57,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         if keys:
             yield made()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text")
     rows.mapInArrow(run, f"{ROWS}, doc_ids array<{kind}>").write.option("compression", "uncompressed").parquet(path)
 
 
@@ -287,6 +66,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, with_ids, the ids as little-endian 32-bit) of every document in files of ``write``.
 
     start counts the ids of all documents before it: each file's and record's first id comes from the record counts alone.
+    Every row that was written comes back, repeated ones too; no order is given. A damaged record raises ValueError. Files
+    without records give no rows.
     """
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
@@ -294,18 +75,21 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, sizes = decode(b.column(2)[r].as_py()), np.array(b.column(3)[r].as_py(), np.int64)
+                doc_ids, sizes = b.column(4)[r].values, b.column(3)[r].as_py()
+                if _sum(doc_ids, sizes) != b.column(5)[r].as_py():
+                    raise ValueError("checksum of a record's documents differs")
+                ids, sizes = decode(b.column(2)[r].as_py()), np.array(sizes, np.int64)
                 end = np.cumsum(sizes)
                 if (end[-1] if len(end) else 0) != len(ids):
                     raise ValueError("a record's documents do not cover its ids")
                 parts = [ids[i:j] for i, j in zip((end - sizes).tolist(), end.tolist())]
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[r].as_py()] * n, pa.int32()), pa.array([b.column(1)[r].as_py()] * n, pa.int32()), b.column(4)[r].values, pa.array(end - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([p.tobytes() if with_ids else None for p in parts], pa.binary())],
+                    [pa.array([b.column(0)[r].as_py()] * n, pa.int32()), pa.array([b.column(1)[r].as_py()] * n, pa.int32()), doc_ids, pa.array(end - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([p.tobytes() if with_ids else None for p in parts], pa.binary())],
                     ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    docs = files.select("part", "seq", "record", "doc_sizes", "doc_ids").mapInArrow(run, f"part int, seq int, doc_id {kind}, at long, n_tokens long, ids_crc32 long, ids binary")
+    docs = files.select("part", "seq", "record", "doc_sizes", "doc_ids", "doc_sum").mapInArrow(run, f"part int, seq int, doc_id {kind}, at long, n_tokens long, ids_crc32 long, ids binary")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

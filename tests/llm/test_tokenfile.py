@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tapeloom.llm import tokenfile
+from tapeloom.llm import queries, tokenfile
 from tapeloom.llm.common import shared_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def test_damage_is_found_and_blocks_stand_alone():
     record[-7] ^= 64
     with pytest.raises(ValueError, match="checksum of block 9"):
         tokenfile.decode(bytes(record))
+    head = bytearray(record)
+    head[40] ^= 1
+    with pytest.raises(ValueError, match="checksum of the head"):
+        tokenfile.decode(bytes(head))
     with pytest.raises(ValueError, match="not a token record"):
         tokenfile.decode(b"x" * 40)
 
@@ -60,3 +64,32 @@ def test_files_in_order(spark):
     assert sorted((r.doc_id, r.start) for r in got) == [(1, 0), (1, 3), (2, 6)]
     tokenfile.write(df.limit(0), path + "c", PATH)
     assert tokenfile.read(spark, path + "c").count() == 0
+
+
+def test_query_and_compression_on_the_whole_table(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    t = Tokenizer.from_file(PATH)
+    want, start, every = [], 0, []
+    for (i, _), e in zip(docs, t.encode_batch([text or "" for _, text in docs], add_special_tokens=False)):
+        ids = np.array(e.ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+        every.append(ids)
+    got = queries.op6_token_file(spark, "/root/testdata/sf0.01")
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == want
+    ids = np.concatenate(every)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    bits = 8 * len(tokenfile.encode(ids)) / len(ids)
+    assert bits < 0.85 * entropy and bits < 0.8 * 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
+
+
+def test_rows_of_one_id_keep_their_order(spark):
+    rows = [(5, f"text {k}") for k in range(60)] + [(4, "a"), (6, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (3, 7):
+        path = f"{shared_dir(spark)}/tokens-test-{uuid.uuid4().hex}"
+        tokenfile.write(df.repartition(parts), path, PATH)
+        found.append(sorted((r.doc_id, r.start, bytes(r.ids)) for r in tokenfile.read(spark, path).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
