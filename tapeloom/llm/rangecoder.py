@@ -144,10 +144,23 @@ class Models:
 
     def learn(self, x: np.ndarray, by: np.ndarray) -> None:
         n, e = len(x), self.entry
-        self.mix[self.mixed] = self.weights - ((self.weights >> RATE) & KEPT) + GAIN.take(by)
-        self.seen[self.place] = np.where(by == 0, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, x << 2))
-        self.slot[:n] = (self.last[:n] * 37 ^ x * 5) & (SLOTS - 1)
-        self.last[:n] = x
+        moved = self.weights >> RATE
+        moved &= KEPT
+        np.subtract(self.weights, moved, out=moved)
+        moved += GAIN.take(by)
+        self.mix[self.mixed] = moved
+        new = x << 2
+        sure = np.flatnonzero(e & 2)
+        new[sure] = e.take(sure) - 2
+        right = np.flatnonzero(by == 0)
+        old = e.take(right)
+        new[right] = np.minimum(old + 1, old | 3)
+        self.seen[self.place] = new
+        slot, last = self.slot[:n], self.last[:n]
+        np.multiply(last, 37, out=slot)
+        np.copyto(last, x)
+        slot ^= last * 5
+        slot &= SLOTS - 1
 
 
 def _lanes(n_ids: int, block: int) -> np.ndarray:
