@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,17 @@ class Tokens:
         digest = xxhash.xxh3_128_digest
         both = np.frombuffer(b"".join([digest(w) for w in code]), "<u8").reshape(-1, 2)
         self.word, self.check = both[:, 0].copy(), both[:, 1].copy()
+        self._bound()
+
+    @classmethod
+    def held(cls, codes: bytes, words: bytes, checks: bytes) -> "Tokens":
+        """From the bytes of codes (32 bits) and of the words' hashes."""
+        t = cls.__new__(cls)
+        t.codes, t.word, t.check = np.frombuffer(codes, "<i4").astype(np.int64), np.frombuffer(words, "<u8"), np.frombuffer(checks, "<u8")
+        t._bound()
+        return t
+
+    def _bound(self) -> None:
         self.stop = np.flatnonzero(self.codes == 0) + 1
         self.start = np.concatenate([[0], self.stop[:-1]]).astype(np.int64)
 
@@ -61,11 +72,10 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterat
 
 def _dealt(order: int, keys: np.ndarray, shards: int, *more: np.ndarray) -> Iterator[tuple]:
     """Rows (order, shard, keys, more ...) of sorted keys, dealt by their leading bits."""
-    cut = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards.bit_length() - 1))) if shards > 1 else []
-    cut = [0, *np.asarray(cut, int).tolist(), len(keys)]
-    for s, (i, j) in enumerate(zip(cut, cut[1:])):
-        if i < j:
-            yield (order, s, keys[i:j].tobytes(), *(m[i:j].tobytes() for m in more))
+    own = shard_of(keys, shards)
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(keys) else np.empty(0, np.int64)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
+        yield (order, int(own[i]), keys[i:j].tobytes(), *(m[i:j].tobytes() for m in more))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -93,85 +103,124 @@ def _places(keys: np.ndarray, level: int | np.ndarray, bits: np.ndarray | int) -
 
 
 def _shard(pdf: pd.DataFrame, bits_per_entry: float) -> pd.DataFrame:
-    """The counts of one shard's n-grams as a Bloom filter with an entry for each level up to the n-gram's own."""
+    """The counts of one shard's n-grams as a Bloom filter with an entry for each level up to the n-gram's own.
+
+    Words are told apart by 128 bits and have exact counts too; the filter, whose answers are approximate anyway, knows
+    n-grams by 64 bits.
+    """
     order = int(pdf["ord"].iloc[0])
     keys = np.concatenate([np.frombuffer(k, "<u8") for k in pdf["keys"]])
     counts = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]).astype(np.int64)
-    at = np.argsort(keys, kind="stable")
-    lead = np.flatnonzero(np.append(True, keys[at][1:] != keys[at][:-1]))
-    keys, counts, checks = keys[at][lead], np.add.reduceat(counts[at], lead), None
-    if order == 1:
-        checks = np.concatenate([np.frombuffer(c, "<u8") for c in pdf["checks"]])[at]
-        if (checks != np.repeat(checks[lead], np.diff(np.append(lead, len(checks))))).any():
-            raise ValueError("two words share a 64-bit hash; hash them with another seed")
+    checks = np.concatenate([np.frombuffer(c, "<u8") for c in pdf["checks"]]) if order == 1 else np.zeros(len(keys), np.uint64)
+    at = np.lexsort((checks, keys)) if order == 1 else np.argsort(keys, kind="stable")
+    keys, checks = keys[at], checks[at]
+    lead = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+    keys, checks, counts = keys[lead], checks[lead], np.add.reduceat(counts[at], lead)
     levels = level_of(counts)
-    bits = int(min(levels.sum() * bits_per_entry + 64, 2**32 - 1))
+    bits = int(levels.sum() * bits_per_entry + 64)
+    if bits >= 1 << 32:
+        raise ValueError("a shard of the filter holds under 2**32 bits; raise the number of shards")
     on = np.zeros(bits, bool)
     for j in range(1, int(levels.max()) + 1):
         for place in _places(keys[levels >= j], j, bits):
             on[place] = True
-    exact = [keys.tobytes(), counts.astype("<i8").tobytes()] if order == 1 else [b"", b""]
+    exact = [keys.tobytes(), checks.tobytes(), counts.astype("<i8").tobytes()] if order == 1 else [b"", b"", b""]
     return pd.DataFrame([(order, int(pdf["shard"].iloc[0]), bits, np.packbits(on, bitorder="little").tobytes(), len(keys), int(counts.sum()), *exact)], columns=FILTER_NAMES)
 
 
-FILTER = "ord int, shard int, bits long, filter binary, distinct long, total long, keys binary, counts binary"
+FILTER = "ord int, shard int, bits long, filter binary, distinct long, total long, keys binary, checks binary, counts binary"
 FILTER_NAMES = [x.split()[0] for x in FILTER.split(", ")]
 
 
+def probe(keys: np.ndarray, size: np.ndarray, byte: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The levels of n-grams: probed from 1 on, as far as entries are found.
+
+    size, byte: the bits and first byte of the filter shard that each key belongs to.
+    """
+    found = np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(size > 0)
+    level = 1
+    while len(at):
+        alive = np.ones(len(at), bool)
+        for place in _places(keys[at], level, size[at]):
+            alive &= ((data[byte[at] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+        at = at[alive]
+        found[at] = level
+        level += 1
+    return found
+
+
+def exact(words: np.ndarray, checks: np.ndarray, keys: np.ndarray, key_checks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of words among keys that are sorted by key and check; words that share a key differ in the check."""
+    if not len(keys):
+        return np.zeros(len(words), np.int64)
+    out = np.zeros(len(words), np.int64)
+    at, open_ = np.searchsorted(keys, words), np.arange(len(words))
+    while len(open_):
+        place = np.minimum(at[open_], len(keys) - 1)
+        same = (at[open_] < len(keys)) & (keys[place] == words[open_])
+        hit = same & (key_checks[place] == checks[open_])
+        out[open_[hit]] = counts[place[hit]]
+        open_ = open_[same & ~hit]
+        at[open_] += 1
+    return out
+
+
+def sums(t: Tokens, count: np.ndarray, level: np.ndarray, pair_level: np.ndarray, before: np.ndarray, total: int, distinct: int, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: tokens known, base score and model score.
+
+    count, level: of each distinct word; pair_level: of each token with the one before it.
+    """
+    base = np.log10((count + 1) / (total + distinct + 1))[t.codes]
+    single = count_of(level)
+    history = single[before]
+    pair = np.minimum(count_of(pair_level), history)
+    flat = (single[t.codes] + 1) / (total + distinct + 1)
+    types = history**power
+    model = np.log10(np.where(history > 0, (pair + types * flat) / np.maximum(history + types, 1e-300), flat))
+    return tuple(np.add.reduceat(x, t.start) for x in ((count > 0)[t.codes].astype(np.int64), base, model))
+
+
 @dataclass
-class Slice:
-    """What one pass over the texts holds: filters of words and of its share of pairs, and its share of exact word counts."""
+class Whole:
+    """All of the filter and the exact word counts, for one worker."""
 
     filters: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # order: bits and first byte of each shard, all bytes
-    words: tuple[np.ndarray, np.ndarray]
-    share: tuple[int, int]  # this pass's words and pairs: shard % n == i
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
     total: int
     distinct: int
 
     def levels(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """The levels of n-grams: probed from 1 on, as far as entries are found."""
         bits, first, data = self.filters[order]
-        found = np.zeros(len(keys), np.int64)
-        if not len(bits):
-            return found
         shard = shard_of(keys, len(bits))
-        size, byte = bits[shard], first[shard]
-        at = np.flatnonzero(size > 0)
-        level = 1
-        while len(at):
-            for k, place in enumerate(_places(keys[at], level, size[at])):
-                hit = (data[byte[at] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1
-                if k == 0:
-                    alive = hit.astype(bool)
-                else:
-                    alive &= hit.astype(bool)
-            at = at[alive]
-            found[at] = level
-            level += 1
-        return found
+        return probe(keys, bits[shard], first[shard], data)
 
     def score(self, t: Tokens, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: tokens known, base score and model score, as far as this pass goes."""
-        keys, counts = self.words
-        own = lambda order, keys: shard_of(keys, len(self.filters[order][0])) % self.share[1] == self.share[0]
-        place = np.minimum(np.searchsorted(keys, t.word), max(0, len(keys) - 1))
-        c = np.where(keys[place] == t.word, counts[place], 0) if len(keys) else np.zeros(len(t.word), np.int64)
-        mine = own(1, t.word)
-        known = np.where(mine & (c > 0), 1.0, 0.0)[t.codes]
-        base = np.where(mine, np.log10((c + 1) / (self.total + self.distinct + 1)), 0.0)[t.codes]
-        single = count_of(self.levels(1, t.word))
         pairs, before = t.pairs()
-        mine, model = own(2, pairs), np.zeros(len(t.codes))
-        at = np.flatnonzero(mine)
-        history = single[before[at]]
-        pair = np.minimum(count_of(self.levels(2, pairs[at])), history)
-        flat = (single[t.codes[at]] + 1) / (self.total + self.distinct + 1)
-        types = history**power
-        model[at] = np.log10(np.where(history > 0, (pair + types * flat) / np.maximum(history + types, 1e-300), flat))
-        return tuple(np.add.reduceat(x, t.start) for x in (known, base, model))
+        return sums(t, exact(t.word, t.check, *self.words), self.levels(1, t.word), self.levels(2, pairs), before, self.total, self.distinct, power)
+
 
+def whole(filters: DataFrame, shards: dict[int, int], total: int, distinct: int) -> Whole:
+    """Fetched shard by shard, so that the driver holds little more than the filter itself."""
+    held, words = {}, [[], [], []]
+    for order in (1, 2):
+        bits, first, parts, size = np.zeros(shards[order], np.int64), np.zeros(shards[order], np.int64), [], 0
+        columns = ["shard", "bits", "filter", *(["keys", "checks", "counts"] if order == 1 else [])]
+        for r in filters.where(f"ord = {order}").select(*columns).orderBy("shard").toLocalIterator():
+            bits[r.shard], first[r.shard] = r.bits, size
+            parts.append(np.frombuffer(r.filter, np.uint8))
+            size += len(r.filter)
+            for k, name in enumerate(columns[3:]):
+                words[k].append(np.frombuffer(r[name], "<i8" if name == "counts" else "<u8"))
+        held[order] = bits, first, np.concatenate(parts) if parts else np.zeros(1, np.uint8)
+    exact_counts = tuple(np.concatenate(w) if w else np.empty(0, k) for w, k in zip(words, ("<u8", "<u8", "<i8")))
+    return Whole(held, exact_counts, total, distinct)
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 9.0, types_power: float = 0.9, max_bytes: int = 384 << 20, batch_chars: int = 4_000_000) -> DataFrame:
+
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits_per_entry: float = 9.0, types_power: float = 0.9, max_bytes: int = 256 << 20, batch_chars: int = 4_000_000) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text, from the rows where ``training`` holds.
 
     base_score: add-one unigram log10 probability by exact counts. score: log10 of interpolated bigram probabilities
@@ -179,11 +228,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     t(h) = c(h) ** types_power stands for the number of words seen after h.
 
     Counts go by hash to shards, each shard makes its part of the filter, and all parts are written to the shared folder.
-    They are broadcast if they and the exact word counts together stay under ``max_bytes``. Beyond that the texts are
-    passed several times, each pass with the filter of the words, a share of that of pairs and a share of the word
-    counts; scores are sums over tokens, so the passes' sums add up to the same. No n-gram is left out at any size.
-    A null text is empty; it is its end token. Repeated rows count as often as they occur and are scored each; a null
-    id keeps its row. No training rows: all counts are zero.
+    They are broadcast if they and the exact word counts together stay under ``max_bytes``. A larger filter is never
+    collected: each chunk of texts sends its distinct n-grams to the shards and gets the levels back, which gives the
+    same rows; a shard answers as questions stream by, so a task holds one shard or one chunk. No n-gram is left out.
+
+    A null or empty text is its end token; texts of any length are scored whole (a chunk has one at least). Repeated rows
+    count as often as they occur and are scored each; a null id keeps its row; other columns are ignored, whatever their
+    names. No training rows: all counts are zero. An empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -202,43 +253,97 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["ord", "shard", "keys", "counts", "checks"])
 
     counted = rows.where("learn").select("text").mapInArrow(count, "ord int, shard int, keys binary, counts binary, checks binary")
-    filters, _ = materialise(counted.groupBy("ord", "shard").applyInPandas(lambda pdf: _shard(pdf, bits_per_entry), FILTER), "filters", "uncompressed")
+    filters, filters_path = materialise(counted.groupBy("ord", "shard").applyInPandas(lambda pdf: _shard(pdf, bits_per_entry), FILTER), "filters", "uncompressed")
     sizes = {r.ord: r for r in filters.groupBy("ord").agg(F.sum(F.length("filter")).alias("bytes"), F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).collect()}
-    words, pairs = sizes.get(1), sizes.get(2)
-    total, distinct = (words.total, words.distinct) if words else (0, 0)
-    room = max(max_bytes - words.bytes, max_bytes // 8) if words else 1
-    passes = -(-(pairs.bytes + 16 * distinct) // room) if words else 1
-
-    def loaded(i: int) -> Slice:
-        mine = f"pmod(shard, {passes}) = {i}"
-        held = {}
-        for order, share in ((1, "true"), (2, mine)):
-            part = filters.where(f"ord = {order} and {share}").select("shard", "bits", "filter").toArrow().to_pydict()
-            bits, first = np.zeros(shards[order], np.int64), np.zeros(shards[order], np.int64)
-            bits[part["shard"]] = part["bits"]
-            size = np.array([len(x) for x in part["filter"]], np.int64)
-            first[part["shard"]] = np.cumsum(size) - size
-            held[order] = bits, first, np.frombuffer(b"".join(part["filter"]), np.uint8)
-        exact = filters.where(f"ord = 1 and {mine}").select("shard", "keys", "counts").toArrow().sort_by("shard").to_pydict()
-        return Slice(held, (np.frombuffer(b"".join(exact["keys"]), "<u8"), np.frombuffer(b"".join(exact["counts"]), "<i8")), (i, passes), total, distinct)
-
-    def one_pass(i: int, given: DataFrame) -> DataFrame:
-        held = spark.sparkContext.broadcast(loaded(i))
+    total, distinct = (sizes[1].total, sizes[1].distinct) if sizes else (0, 0)
+    held = None
+    if sum(r.bytes for r in sizes.values()) + 24 * distinct <= max_bytes:
+        held = spark.sparkContext.broadcast(whole(filters, shards, total, distinct))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in _texts(batches, 2, batch_chars):
+            for part, texts in _texts(batches, 1, batch_chars // 4):
                 t = Tokens(texts)
-                known, base, model = held.value.score(t, types_power)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(t.stop - t.start), pa.array(known), pa.array(base), pa.array(model)], ["id", "row", "n_tokens", "n_known", "base_score", "score"])
-
-        return given.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_known double, base_score double, score double")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t.stop - t.start), *map(pa.array, held.value.score(t, types_power))], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-    given = rows.select("id", F.monotonically_increasing_id().alias("row"), "text")
-    if passes == 1:
-        out = one_pass(0, given)
+        found = rows.select("id", "text").mapInArrow(run, f"id {kind}, {SCORES}")
     else:
-        given, given_path = materialise(given, "texts")
-        done = [materialise(one_pass(i, given), "pass")[0] for i in range(passes)]
-        discard(spark, given_path)
-        out = reduce(DataFrame.union, done).groupBy("row").agg(F.first("id").alias("id"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-    return out.select(F.col("id").alias(id_col), "n_tokens", F.round("n_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        found = _asked(rows.select("id", "text"), filters, shards, total, distinct, types_power, batch_chars, kind)
+    out, _ = materialise(found, "scores")
+    discard(spark, filters_path)
+    if held is not None:
+        held.destroy()
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _asked(rows: DataFrame, filters: DataFrame, shards: dict[int, int], total: int, distinct: int, power: float, chars: int, kind: str) -> DataFrame:
+    """Scores by a filter that stays where it is: chunks of texts ask shards for their n-grams' levels."""
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for part, texts in _texts(batches, 1, chars):
+            t = Tokens(texts)
+            ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([x.tobytes()]) for x in (t.codes.astype("<i4"), t.word, t.check))], ["chunk", "ids", "codes", "words", "checks"])
+            number += 1
+
+    chunks, chunks_path = materialise(rows.mapInArrow(chunked, f"chunk long, ids array<{kind}>, codes binary, words binary, checks binary"), "texts", "zstd")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                t = Tokens.held(r["codes"], r["words"], r["checks"])
+                order = np.argsort(t.word, kind="stable")
+                out = [*_dealt(1, t.word[order], shards[1], t.check[order])]
+                out += [(*x, b"") for x in _dealt(2, np.unique(t.pairs()[0]), shards[2])]
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array([r["chunk"]] * len(out)), pa.array(cols[2]), pa.array(cols[3])], ["ord", "shard", "chunk", "keys", "checks"])
+
+    asks = chunks.select("chunk", "codes", "words", "checks").mapInArrow(ask, "ord int, shard int, chunk long, keys binary, checks binary")
+    none = F.lit(None)
+    theirs = filters.select("ord", "shard", F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "bits", "filter", "counts")
+    both = theirs.unionByName(asks.select("*", none.cast("long").alias("bits"), none.cast("binary").alias("filter"), none.cast("binary").alias("counts")))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, data, words = None, 0, np.zeros(1, np.uint8), ()
+        for b in batches:
+            for k in range(b.num_rows):  # a shard's filter comes before its questions
+                r = {name: b.column(name)[k].as_py() for name in b.schema.names}
+                keys = np.frombuffer(r["keys"], "<u8")
+                if r["chunk"] < 0:
+                    own, size, data = (r["ord"], r["shard"]), r["bits"], np.frombuffer(r["filter"], np.uint8)
+                    words = keys, np.frombuffer(r["checks"], "<u8"), np.frombuffer(r["counts"], "<i8")
+                    continue
+                n = size if own == (r["ord"], r["shard"]) else 0
+                level = probe(keys, np.full(len(keys), n, np.int64), np.zeros(len(keys), np.int64), data).astype("u1")
+                count = exact(keys, np.frombuffer(r["checks"], "<u8"), *words) if r["ord"] == 1 and n else np.zeros(len(keys) if r["ord"] == 1 else 0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]]), pa.array([r["ord"]], pa.int32()), pa.array([r["shard"]], pa.int32()), pa.array([level.tobytes()]), pa.array([count.astype("<i8").tobytes()])], ["chunk", "ord", "shard", "levels", "counts"])
+
+    told = both.repartition("ord", "shard").sortWithinPartitions("ord", "shard", "chunk").mapInArrow(answer, "chunk long, ord int, shard int, levels binary, counts binary")
+    text = chunks.select("chunk", F.lit(0).alias("ord"), F.lit(0).alias("shard"), none.cast("binary").alias("levels"), none.cast("binary").alias("counts"), "ids", "codes", "words", "checks")
+    both = text.unionByName(told, allowMissingColumns=True)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, t, levels, counts = None, None, {1: [], 2: []}, []
+
+        def made() -> pa.RecordBatch:
+            order = np.argsort(t.word, kind="stable")
+            count, level = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            count[order], level[order] = np.concatenate(counts), np.concatenate(levels[1])
+            pairs, before = t.pairs()
+            pair = np.concatenate(levels[2]).astype(np.int64)[np.searchsorted(np.unique(pairs), pairs)]
+            return pa.RecordBatch.from_arrays([ids, pa.array(t.stop - t.start), *map(pa.array, sums(t, count, level, pair, before, total, distinct, power))], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+        for b in batches:
+            for k in range(b.num_rows):  # a chunk's texts come before its answers, which are in order of their keys
+                if b.column("ord")[k].as_py() == 0:
+                    if t is not None:
+                        yield made()
+                    ids = b.column("ids")[k].values
+                    t, levels, counts = Tokens.held(*(b.column(c)[k].as_py() for c in ("codes", "words", "checks"))), {1: [], 2: []}, []
+                    continue
+                levels[b.column("ord")[k].as_py()].append(np.frombuffer(b.column("levels")[k].as_py(), "u1"))
+                counts.append(np.frombuffer(b.column("counts")[k].as_py(), "<i8"))
+        if t is not None:
+            yield made()
+
+    return both.repartition("chunk").sortWithinPartitions("chunk", "ord", "shard").mapInArrow(finish, f"id {kind}, {SCORES}")
