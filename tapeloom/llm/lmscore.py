@@ -202,18 +202,19 @@ class Whole:
 
 def whole(filters: DataFrame, shards: dict[int, int], total: int, distinct: int) -> Whole:
     """Fetched shard by shard, so that the driver holds little more than the filter itself."""
-    held, words = {}, [[], [], []]
+    held, words = {}, {}
     for order in (1, 2):
         bits, first, parts, size = np.zeros(shards[order], np.int64), np.zeros(shards[order], np.int64), [], 0
         columns = ["shard", "bits", "filter", *(["keys", "checks", "counts"] if order == 1 else [])]
-        for r in filters.where(f"ord = {order}").select(*columns).orderBy("shard").toLocalIterator():
+        for r in filters.where(f"ord = {order}").select(*columns).toLocalIterator():
             bits[r.shard], first[r.shard] = r.bits, size
             parts.append(np.frombuffer(r.filter, np.uint8))
             size += len(r.filter)
-            for k, name in enumerate(columns[3:]):
-                words[k].append(np.frombuffer(r[name], "<i8" if name == "counts" else "<u8"))
+            if order == 1:
+                words[r.shard] = r["keys"], r["checks"], r["counts"]
         held[order] = bits, first, np.concatenate(parts) if parts else np.zeros(1, np.uint8)
-    exact_counts = tuple(np.concatenate(w) if w else np.empty(0, k) for w, k in zip(words, ("<u8", "<u8", "<i8")))
+    sorted_words = [b"".join(x) for x in zip(*(words[k] for k in sorted(words)))] or [b""] * 3
+    exact_counts = tuple(map(np.frombuffer, sorted_words, ("<u8", "<u8", "<i8")))
     return Whole(held, exact_counts, total, distinct)
 
 
