@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -78,6 +79,7 @@ def blocks_of(html: str, spare: int = 0) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # tag, in a marked part, article
+    opened: Counter[str] = Counter()  # of the stack's tags, so that a stray end tag costs nothing
     block, link, article, at = None, False, 0, 0
 
     def take(raw: str) -> None:
@@ -108,15 +110,16 @@ def blocks_of(html: str, spare: int = 0) -> list[Block]:
         if tag in BLOCKS:
             block, link = None, False
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if tag in VOID:
             continue
         if tag in BLOCKS and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()  # its end tag may be left out
+            opened[stack.pop()[0]] -= 1  # its end tag may be left out
         _, out_of_text, inside = stack[-1] if stack else ("", 0, 0)
         if tag in ("article", "main"):
             article += 1
@@ -126,12 +129,23 @@ def blocks_of(html: str, spare: int = 0) -> list[Block]:
         if marked or tag in BLOCKS:
             if tag in BLOCKS or not attributes.rstrip().endswith("/"):
                 stack.append((tag, marked, inside))
+                opened[tag] += 1
     take(html[at:])
     for b in out:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in out if b.text]
 
 
+def _nearest(blocks: list[tuple[int, str]]) -> list[tuple[int, str] | None]:
+    """For each block the last decided one before it."""
+    out, last = [], None
+    for block in blocks:
+        out.append(last)
+        if block[1] in ("good", "bad"):
+            last = block
+    return out
+
+
 def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.3) -> list[Block]:
     """The blocks of the main text.
 
@@ -144,7 +158,7 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
         words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
         density = sum(w in STOP_WORDS for w in words) / len(words)
         size, linked = len(b.text), b.linked / max(1, len(b.text.replace(" ", "")))
-        if linked > links and not (b.heading and b.zone) or "©" in b.text and size < long or b.linked and size < short and not b.zone:
+        if linked > links and not (b.heading and b.zone) or not b.zone and "©" in b.text and size < long or b.linked and size < short and not b.zone:
             b.kind = "bad"
         elif size < short:
             b.kind = "short"
@@ -154,24 +168,22 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
             b.kind = "near"
         else:
             b.kind = "bad"
-    decided = [b.kind for b in blocks]
-    for zone in {b.zone for b in blocks}:
-        own = [k for k, b in enumerate(blocks) if b.zone == zone]
-        fixed = [k for k in own if decided[k] in ("good", "bad")]
-        if not any(decided[k] == "good" for k in fixed):
+    zones: dict[int, list[tuple[int, Block]]] = {}
+    for k, b in enumerate(blocks):
+        zones.setdefault(b.zone, []).append((k, b))
+    for zone, own in zones.items():
+        if not any(b.kind == "good" for _, b in own):
             # nothing is surely good: near good blocks are the text, or all of an article that is not links
-            for k in own:
-                if decided[k] == "near" or zone and decided[k] == "short":
-                    blocks[k].kind = "good"
-            fixed = [k for k in own if blocks[k].kind in ("good", "bad")]
-        for k in own:
-            b = blocks[k]
+            for _, b in own:
+                if b.kind == "near" or zone and b.kind == "short":
+                    b.kind = "good"
+        first = [b.kind for _, b in own]
+        after = _nearest([(k, kind) for (k, _), kind in zip(reversed(own), reversed(first))])[::-1]
+        for (k, b), before, behind in zip(own, _nearest([(k, kind) for (k, _), kind in zip(own, first)]), after):
             if b.kind in ("good", "bad"):
                 continue
-            before = max((i for i in fixed if i < k), default=None)
-            after = min((i for i in fixed if i > k), default=None)
-            near = [(abs(i - k), blocks[i].kind == "bad", blocks[i].kind) for i in (before, after) if i is not None]
-            if zone or b.kind == "near" or b.heading and after is not None and blocks[after].kind == "good":
+            near = [(abs(i - k), kind == "bad", kind) for i, kind in (x for x in (before, behind) if x)]
+            if zone or b.kind == "near" or b.heading and behind and behind[1] == "good":
                 b.kind = "good" if not near or any(kind == "good" for *_, kind in near) else "bad"
             else:
                 b.kind = min(near, key=lambda x: (x[0], not x[1]))[2] if near else "bad"
@@ -195,7 +207,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page from its whole html; a null or blank page, or one without main text, has text ''.
 
-    One narrow stage. Repeated rows and null ids or urls stay as they are; other columns are ignored.
+    One narrow stage; a page's time is linear in its length. Repeated rows and null ids or urls stay as they are; other
+    columns are ignored, whatever their names. An empty table gives no rows.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 

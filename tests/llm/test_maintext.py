@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from tapeloom.llm import maintext, queries
@@ -69,3 +70,39 @@ def test_self_closed_tags_and_linked_headings():
     for tag in ("svg", "iframe"):
         assert maintext.main_text(f"<article><{tag} class='x' /><p>{P}</p></article>") == text
     assert maintext.main_text(f"<article><h1><a href=x>Title</a></h1><p>{P}</p></article>") == "Title\n\n" + text
+
+
+def test_long_pages_take_linear_time():
+    n = 100_000
+    pages = [
+        "<article><p>Some words.</p></article>" * n,
+        "<div>" * n + "<p>one of the words</i></span></b>" * n,
+        f"<div>{P}</div>" + "<p>Short one.</p><p>The short one is of the words that are not so short, as it has to be here.</p>" * (n // 2),
+        "</div></section>" * n + f"<div>{P}</div>",
+    ]
+    for page in pages:
+        start = time.process_time()
+        maintext.main_text(page)
+        assert time.process_time() - start < 10
+
+
+def test_a_copyright_sign_inside_an_article_stays():
+    short = "The © sign is named in this short paragraph of the article."
+    text = " ".join(P.split())
+    assert maintext.main_text(f"<article><p>{P}</p><p>{short}</p><p>{P}</p></article>") == f"{text}\n\n{short}\n\n{text}"
+    assert maintext.main_text(f"<div>{P}</div><div>© 2020 by the owners of this page</div>") == text
+
+
+def test_pages_by_the_block_rules_alone():
+    """No article, no telling names: only lengths, links and stop words tell."""
+    text = " ".join(P.split())
+    links = "".join(f"<li><a href=/{k}>Topic number {k}</a></li>" for k in range(12))
+    rows = "<tr><td class=c1><a href=/>Start</a></td><td class=c2><a href=/x>Contact us</a></td></tr>"
+    pages = [
+        f"<body><ul>{links}</ul><div class=x1><h1>Head line</h1><p>{P}</p><p>{P}</p></div><ul>{links}</ul></body>",
+        f"<table>{rows}<tr><td>{P}</td></tr><tr><td>{P}</td></tr>{rows}</table>",
+        f"<div><a href=/a>One</a> <a href=/b>Two</a></div><h2>Head line</h2><section>{P}</section><section>{P}</section><p>Price 12 EUR, size 40, item 7731</p><div><a href=/c>More</a></div>",
+    ]
+    for page, head in zip(pages, ("Head line\n\n", "", "Head line\n\n")):
+        assert maintext.main_text(page).startswith(f"{head}{text}\n\n{text}") and "Topic" not in maintext.main_text(page) and "Contact" not in maintext.main_text(page)
+        assert "Two" not in maintext.main_text(page) and "More" not in maintext.main_text(page)
