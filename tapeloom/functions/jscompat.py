@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space that trimming strips, a number's text form, the host of a URL.
 JS_WS = r"[\t\n\x0B\f\r    -     　﻿]"
+TRIMMED = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NUM = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 DAY_MS = 86_400_000
@@ -14,7 +15,7 @@ DAY_MS = 86_400_000
 
 def js_trim(text: Column) -> Column:
     """The text without leading and trailing Unicode white space (and byte order marks)."""
-    return F.regexp_replace(text, f"^{JS_WS}+|{JS_WS}+$", "")
+    return F.btrim(text, F.lit(TRIMMED))
 
 
 def is_blank(text: Column) -> Column:

@@ -27,7 +27,9 @@ ENCOURAGEMENTS = [
     (14, "One Week Strong!", "A full week is a major milestone. Your brain is beginning to heal. You might notice improved focus and energy. This is just the beginning."),
     (None, "Deeper Reset", "Your discipline is becoming part of your identity. Expect steadier confidence, better attention, and more space between urges and action."),
 ]
+#: Rank percents by score.
 RANKS = [(90, 10), (60, 25), (34, 40), (16, 55), (None, 72)]
+#: Advice on download errors.
 REJECTED_LINES = [
     "B 站拒绝了 yt-dlp 的网页请求：HTTP 412 Precondition Failed。",
     "这通常需要带上你本人浏览器里的 B 站登录 cookies。",
@@ -41,6 +43,7 @@ SSL_LINES = [
     '可以在 .env 里设置 YTDLP_EXTRA_ARGS，例如：YTDLP_EXTRA_ARGS="--proxy http://127.0.0.1:7890 --cookies-from-browser chrome"。',
 ]
 ORIGINAL_ERROR = "原始错误："
+#: Stand-ins for titles, limits, the prompt.
 UNTITLED_VIDEO, UNTITLED_QUESTION = "Untitled Video", "未命名视频"
 QUESTION_LIMIT, PREVIEW_LIMIT, FILE_NAME_LIMIT = 90_000, 2_000, 120
 SYSTEM_PROMPT = "你是一个视频文稿问答助手。只基于用户提供的视频文稿回答问题；如果文稿里没有依据，请明确说文稿中没有相关信息。回答要直接、清楚，必要时引用文稿中的关键句，但不要编造时间戳。"
@@ -168,8 +171,12 @@ def download_error_category(message: Column, url: Column) -> Column:
 def classify_download_error(message: Column, url: Column) -> Column:
     """A struct (category, message): advice lines and the original error last; other errors as they are."""
     category = download_error_category(message, url)
+    return F.struct(category.alias("category"), download_error_message(category, message).alias("message"))
+
+
+def download_error_message(category: Column, message: Column) -> Column:
     told = lambda lines: F.concat(F.lit("\n".join([*lines, ORIGINAL_ERROR])), message)
-    return F.struct(category.alias("category"), F.when(category == "platform_rejected", told(REJECTED_LINES)).when(category == "ssl", told(SSL_LINES)).otherwise(message).alias("message"))
+    return F.when(category == "platform_rejected", told(REJECTED_LINES)).when(category == "ssl", told(SSL_LINES)).otherwise(message)
 
 
 def format_api_error(body: Column, fallback: Column) -> Column:

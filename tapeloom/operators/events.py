@@ -27,8 +27,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     want = {"type": "string", "step": "string", "message": "string", "progress": "double", "transcript": "string", "transcript_path": "string", "error": "string"}
     rows = events.select("job_id", "seq", *(F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in want.items()))
-    stop = F.min(F.when(F.col("type") == "error", F.col("seq"))).over(Window.partitionBy("job_id"))
-    rows = rows.withColumn("_stop", stop).where("_stop is null or seq <= _stop")
+    # the least error is found before the shuffle, so a hot job is no window in one task
+    stop = rows.where("type = 'error'").groupBy("job_id").agg(F.min("seq").alias("_stop"))
+    rows = rows.join(stop, "job_id", "left").where("_stop is null or seq <= _stop")
     done = F.col("type") == "done"
     last = lambda value, when: F.max(F.when(when, F.struct(F.col("seq"), F.struct(value.alias("x")).alias("v"))))["v"]["x"]
     progress = F.when(done, F.lit(100.0)).otherwise(clamp_progress(F.col("progress")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.jscompat import first_truthy, is_blank, js_trim
+from ..functions.jscompat import first_truthy, js_trim
 from .chunks import chunk_progress
 
 CHECKPOINT_KEYS = ("status", "sourceUrl", "title", "totalChunks", "completedChunks", "currentChunk", "lastCompletedChunk", "error", "lastChunkError", "transcribeAttempt", "updatedAt")
@@ -87,8 +87,9 @@ def qa_requests(questions: DataFrame, transcripts: DataFrame, metadata: DataFram
     metadata: (job_id, title, source_url).
     """
     question = js_trim(F.coalesce(F.col("question"), F.lit("")))
+    # each of these columns is used more than once, so it is computed in a projection of its own
     asked = questions.select("question_id", question.alias("question"), js_trim(F.coalesce("url", F.lit(""))).alias("url"), requested_job(F.col("job_id"), F.col("url")).alias("job_id"))
-    out = asked.join(transcripts.select("job_id", "transcript"), "job_id", "left").join(metadata.select("job_id", "title", "source_url"), "job_id", "left")
-    code = F.when(F.col("question") == "", 400).when(F.col("transcript").isNull(), 404).when(is_blank(F.col("transcript")), 400).otherwise(200)
-    prompt = S.build_qa_prompt(F.col("title"), first_truthy(F.col("source_url"), F.col("url")), js_trim(F.col("transcript")), F.col("question"), model)
+    out = asked.join(transcripts.select("job_id", js_trim(F.col("transcript")).alias("transcript")), "job_id", "left").join(metadata.select("job_id", "title", "source_url"), "job_id", "left")
+    code = F.when(F.col("question") == "", 400).when(F.col("transcript").isNull(), 404).when(F.col("transcript") == "", 400).otherwise(200)
+    prompt = S.build_qa_prompt(F.col("title"), first_truthy(F.col("source_url"), F.col("url")), F.col("transcript"), F.col("question"), model)
     return out.select("question_id", "job_id", code.alias("code"), F.when(code == 200, prompt).alias("prompt"))

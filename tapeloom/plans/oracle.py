@@ -2,8 +2,48 @@
 
 from __future__ import annotations
 
-from ..functions import scalars as S
-from .views import NOW_MS as NOW
+
+#: The views' present, 2024-02-01, in milliseconds.
+NOW = 1_706_745_600_000
+#: Fixed values, written out here so that a wrong one in the operators does not pass: patterns, advice, ranks and texts.
+PLATFORMS = [
+    ("bilibili", r"bilibili\.com|b23\.tv|bili[a-z]*\.com"),
+    ("youtube", r"youtube\.com|youtu\.be|googlevideo\.com"),
+    ("douyin", r"douyin\.com|tiktok\.com"),
+    ("xiaohongshu", r"xiaohongshu\.com|xhslink\.com"),
+    ("twitter", r"twitter\.com|x\.com"),
+]
+RETRYABLE = "(?i)timeout|timed out|socket|network|ECONN|ETIMEDOUT|429|rate|Too Many|500|502|503|504|Bad Gateway|Service Unavailable"
+REJECTED = "(?i)HTTP Error 412|Precondition Failed"
+SSL = "(?i)UNEXPECTED_EOF_WHILE_READING|SSLError|SSL"
+AUTH = "(?i)unauthorized|invalid api[-_ ]?key|401"
+ENCOURAGEMENTS = [
+    (2, "First Steps Count", "Your brain is already responding to the decision. Keep the next hour simple and protect your focus."),
+    (7, "Momentum Is Building", "You may notice clearer energy and a little more control over urges. Small choices are starting to stack up."),
+    (14, "One Week Strong!", "A full week is a major milestone. Your brain is beginning to heal. You might notice improved focus and energy. This is just the beginning."),
+    (None, "Deeper Reset", "Your discipline is becoming part of your identity. Expect steadier confidence, better attention, and more space between urges and action."),
+]
+RANKS = [
+    (90, 10),
+    (60, 25),
+    (34, 40),
+    (16, 55),
+    (None, 72),
+]
+REJECTED_LINES = [
+    "B 站拒绝了 yt-dlp 的网页请求：HTTP 412 Precondition Failed。",
+    "这通常需要带上你本人浏览器里的 B 站登录 cookies。",
+    '优先尝试在 Chrome 登录 B 站后设置：YTDLP_EXTRA_ARGS="--no-update --cookies-from-browser chrome --user-agent Mozilla/5.0 --referer https://www.bilibili.com/"。',
+    '如果读取浏览器 cookies 失败，再导出 Netscape 格式 cookies.txt 放到项目根目录，并设置：YTDLP_EXTRA_ARGS="--no-update --cookies cookies.txt"。',
+]
+SSL_LINES = [
+    "yt-dlp 下载视频时 SSL 连接被中断。",
+    "我已经自动尝试了普通下载、IPv4、legacy TLS 和跳过证书校验，但仍未成功。",
+    "这可能是网络连接、代理/VPN、证书链或平台反爬机制导致的。",
+    '可以在 .env 里设置 YTDLP_EXTRA_ARGS，例如：YTDLP_EXTRA_ARGS="--proxy http://127.0.0.1:7890 --cookies-from-browser chrome"。',
+]
+ORIGINAL_ERROR = "原始错误："
+UNTITLED_QUESTION = "未命名视频"
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -43,7 +83,7 @@ def steps(x: str, rows: list[tuple], k: int, op: str) -> str:
 
 def platform(url: str, other: str = "generic") -> str:
     host = f"lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
-    return "CASE " + " ".join(f"WHEN regexp_matches({host}, '{p}') THEN '{n}'" for n, p in S.PLATFORMS) + f" ELSE '{other}' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({host}, '{p}') THEN '{n}'" for n, p in PLATFORMS) + f" ELSE '{other}' END"
 
 
 USERS = "u AS (SELECT user_id, epoch_us(min(ts)) // 1000 AS started_ms FROM events GROUP BY user_id)"
@@ -62,8 +102,8 @@ def streaks_of(users: str = "u", relapses: str = "rel") -> str:
 STATS = f"""
     g AS (SELECT user_id, count(*) - 1 AS n, max(days) AS best, avg(days) AS av, max(CASE WHEN current THEN days END) AS cur FROM s GROUP BY user_id)
     SELECT user_id, n AS relapse_count, {r1('cur')} AS current_days, {label('cur')} AS current_label, {r1('best')} AS best_days, {compact('best')} AS best_label,
-        {r1('av')} AS avg_days, {compact('av')} AS avg_label, CAST({steps('(cur * 6 + best * 4 - n * 5)', S.RANKS, 1, '>=')} AS INTEGER) AS rank_percent,
-        greatest(1, {whole('cur + best / 2')}) AS karma, {steps(r1('cur'), S.ENCOURAGEMENTS, 1, '<')} AS title, {steps(r1('cur'), S.ENCOURAGEMENTS, 2, '<')} AS body FROM g"""
+        {r1('av')} AS avg_days, {compact('av')} AS avg_label, CAST({steps('(cur * 6 + best * 4 - n * 5)', RANKS, 1, '>=')} AS INTEGER) AS rank_percent,
+        greatest(1, {whole('cur + best / 2')}) AS karma, {steps(r1('cur'), ENCOURAGEMENTS, 1, '<')} AS title, {steps(r1('cur'), ENCOURAGEMENTS, 2, '<')} AS body FROM g"""
 BASE = f"WITH {USERS}, {RELAPSES}, {streaks_of()}"
 
 TOTALS = "tot AS (SELECT o_orderkey AS job_id, CAST(o_orderkey % 7 + 1 AS INTEGER) AS total_chunks FROM orders)"
@@ -87,7 +127,7 @@ MANIFEST = """man AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 5 = 0 THEN 'au
 
 DAYS = "epoch_us(ts) // 1000 // 86400000"
 NUMBERED = f"num AS (SELECT *, {DAYS} AS day, CAST(row_number() OVER (PARTITION BY user_id, {DAYS} ORDER BY event_id) AS INTEGER) AS n FROM events)"
-RETRY = f"regexp_matches(coalesce(error, ''), {lit(S.RETRYABLE)})"
+RETRY = f"regexp_matches(coalesce(error, ''), {lit(RETRYABLE)})"
 K = "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)"
 LOG = """lg AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'error' WHEN event_type = 'purchase' THEN 'done' ELSE 'status' END AS type,
     event_type AS step, props AS message, CASE WHEN event_type IN ('view', 'click') THEN value END AS progress FROM events)"""
@@ -103,7 +143,7 @@ QUESTIONS = f"""q AS (SELECT doc_id AS question_id, doc_id, CASE WHEN doc_id % 1
     text, doc_id % 19 <> 0 AS has, CASE WHEN doc_id % 3 <> 0 THEN source END AS title FROM documents),
     a AS (SELECT *, CASE WHEN question = '' THEN 400 WHEN job_id IS NULL OR NOT has THEN 404 WHEN {trim('text')} = '' THEN 400 ELSE 200 END AS code FROM q)"""
 LIMITED = f"(CASE WHEN length({trim('text')}) > 90000 THEN substr({trim('text')}, 1, 90000) || chr(10) || chr(10) || '[文稿过长，已截取前 90000 个字符用于本次问答]' ELSE {trim('text')} END)"
-PROMPT = f"'视频标题：' || coalesce(title, '{S.UNTITLED_QUESTION}') || chr(10) || '来源链接：https://youtu.be/1' || chr(10) || '视频文稿：' || chr(10) || {LIMITED} || chr(10) || '问题：' || question"
+PROMPT = f"'视频标题：' || coalesce(title, '{UNTITLED_QUESTION}') || chr(10) || '来源链接：https://youtu.be/1' || chr(10) || '视频文稿：' || chr(10) || {LIMITED} || chr(10) || '问题：' || question"
 
 CHECKPOINT_TOTAL = "CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN CAST(k % 7 + 1 AS INTEGER) WHEN k % 2 = 0 THEN CAST(k % 7 + 1 AS INTEGER) ELSE 0 END"
 STATUS = f"""{LATEST}, o AS (SELECT o_orderkey AS k, * FROM orders), b AS (SELECT k AS job_id, {CHECKPOINT_TOTAL} AS total_chunks, * FROM o),
@@ -136,7 +176,7 @@ ORACLE = {
         relu AS (SELECT rel.user_id, ts_ms FROM rel JOIN cu USING (user_id) WHERE NOT seeded
             UNION ALL SELECT user_id, {NOW} - 86400000 * CAST(unnest([31, 30, 27, 19, 12, 7]) AS BIGINT) FROM cu WHERE seeded), {streaks_of('cu', 'relu')}, {STATS}""",
     "record_relapse": f"""WITH {RELAPSES}, u0 AS (SELECT user_id, epoch_us(min(ts)) // 1000 AS started_ms FROM events GROUP BY user_id),
-        u AS (SELECT * FROM u0 WHERE user_id % 2 = 0 AND user_id IN (SELECT user_id FROM rel WHERE ts_ms > {NOW - 7 * 86400000})), {streaks_of()}
+        u AS (SELECT * FROM u0 WHERE user_id IN (SELECT user_id FROM rel WHERE ts_ms > {NOW - 7 * 86400000})), {streaks_of()}
         SELECT user_id, id, start_ms, end_ms, CASE WHEN NOT current THEN end_ms END AS relapse_ms, days, current FROM s""",
     "chunk_plan": f"""WITH {MEDIA}, n AS (SELECT job_id, d, CASE WHEN d <= 120 THEN 1 ELSE CAST(ceil(d / 120) AS INTEGER) END AS total_chunks FROM med WHERE d > 0),
         x AS (SELECT *, CAST(unnest(range(total_chunks)) AS INTEGER) AS chunk_idx FROM n)
@@ -157,8 +197,8 @@ ORACLE = {
     "dedupe_submissions": f"WITH {SUBMISSIONS} SELECT substr(sha256({trim('url')}), 1, 16) AS job_id, min({trim('url')}) AS source_url, {platform(f'min({trim(chr(117) + chr(114) + chr(108))})')} AS platform FROM sub GROUP BY 1",
     "limit_text": "SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || chr(10) || chr(10) || '[文稿过长，已截取前 1000 个字符用于本次问答]' ELSE text END AS text FROM documents",
     "transcript_preview": f"SELECT doc_id, substr({trim('text')}, 1, 2000) AS preview FROM documents",
-    "safe_filename": f"""SELECT doc_id, substr(regexp_replace(regexp_replace(concat_ws('-', nullif(substr(text, 1, 150), ''), CASE WHEN doc_id % 3 = 1 THEN nullif(source, '') END, nullif(lang, '')), '[\\\\/:*?"<>|]', '_', 'g'), '{WS}+', '_', 'g'), 1, 120) AS name FROM documents""",
-    "export_names": f"""WITH x AS (SELECT doc_id AS job_id, length(text) AS n_chars, CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 AND text <> '' THEN substr(text, 1, 20) ELSE 'transcript' END AS title,
+    "safe_filename": f"""SELECT doc_id, substr(regexp_replace(regexp_replace(concat_ws('-', nullif(text, ''), CASE WHEN doc_id % 3 = 1 THEN nullif(source, '') END, nullif(lang, '')), '[\\\\/:*?"<>|]', '_', 'g'), '{WS}+', '_', 'g'), 1, 120) AS name FROM documents""",
+    "export_names": f"""WITH x AS (SELECT doc_id AS job_id, length(text) AS n_chars, CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 AND text <> '' THEN text ELSE 'transcript' END AS title,
             CASE WHEN doc_id % 5 <> 0 THEN nullif(source, '') END AS uploader, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 THEN 'youtube' ELSE 'web' END AS platform FROM documents WHERE doc_id % 11 <> 0)
         SELECT job_id, substr(regexp_replace(regexp_replace(concat_ws('-', title, uploader, platform), '[\\\\/:*?"<>|]', '_', 'g'), '{WS}+', '_', 'g'), 1, 120) AS file_name, n_chars FROM x""",
     "checkpoint_fold": f"""WITH p AS (SELECT user_id AS job_id, event_type AS key, CASE WHEN {K} % 10 <> 0 THEN CAST({K} AS VARCHAR) END AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events)
@@ -171,16 +211,17 @@ ORACLE = {
     "event_fold": FOLD,
     "stream_job_state": FOLD,
     "error_classes": f"""WITH {SUBMISSIONS}, x AS (SELECT doc_id, {ERROR_TEXT} AS m, coalesce(url, '') AS url FROM documents LEFT JOIN sub ON doc_id = page_id),
-        y AS (SELECT *, CASE WHEN {platform('url')} = 'bilibili' AND regexp_matches(m, {lit(S.REJECTED)}) THEN 'platform_rejected' WHEN regexp_matches(m, {lit(S.SSL)}) THEN 'ssl' ELSE 'other' END AS category FROM x)
-        SELECT doc_id, regexp_matches(m, {lit(S.RETRYABLE)}) AS retryable, regexp_matches(m, {lit(S.AUTH)}) AS auth, category,
-            md5(CASE category WHEN 'platform_rejected' THEN {' || chr(10) || '.join(map(lit, [*S.REJECTED_LINES, S.ORIGINAL_ERROR]))} WHEN 'ssl' THEN {' || chr(10) || '.join(map(lit, [*S.SSL_LINES, S.ORIGINAL_ERROR]))} ELSE '' END || m) AS message_md5 FROM y""",
+        y AS (SELECT *, CASE WHEN {platform('url')} = 'bilibili' AND regexp_matches(m, {lit(REJECTED)}) THEN 'platform_rejected' WHEN regexp_matches(m, {lit(SSL)}) THEN 'ssl' ELSE 'other' END AS category FROM x)
+        SELECT doc_id, regexp_matches(m, {lit(RETRYABLE)}) AS retryable, regexp_matches(m, {lit(AUTH)}) AS auth, category,
+            md5(CASE category WHEN 'platform_rejected' THEN {' || chr(10) || '.join(map(lit, [*REJECTED_LINES, ORIGINAL_ERROR]))} WHEN 'ssl' THEN {' || chr(10) || '.join(map(lit, [*SSL_LINES, ORIGINAL_ERROR]))} ELSE '' END || m) AS message_md5 FROM y""",
     "api_errors": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'code=' || event_type || '; message=m' || event_id || '; error=bad' WHEN 1 THEN 'request_id=r' || event_id ELSE 'HTTP 500' END AS detail FROM events",
     "retry_outcome": f"""WITH {NUMBERED}, a AS (SELECT user_id AS job_id, day AS chunk_idx, n AS attempt, CASE event_type WHEN 'error' THEN 'HTTP 503' WHEN 'signup' THEN 'invalid input' END AS error FROM num WHERE n <= 3),
         e AS (SELECT *, min(CASE WHEN error IS NULL OR NOT {RETRY} OR attempt >= 3 THEN attempt END) OVER (PARTITION BY job_id, chunk_idx) AS fin FROM a),
         k AS (SELECT * FROM e WHERE fin IS NULL OR attempt <= fin), l AS (SELECT *, row_number() OVER (PARTITION BY job_id, chunk_idx ORDER BY attempt DESC) AS z FROM k)
         SELECT job_id, chunk_idx, count(*) AS attempts, CASE WHEN any_value(fin) IS NULL THEN 'in_progress' WHEN max(CASE WHEN z = 1 THEN coalesce(error, '-') END) = '-' THEN 'ok' WHEN max(CASE WHEN z = 1 THEN error END) = 'HTTP 503' THEN 'failed_exhausted' ELSE 'failed_permanent' END AS state,
             CAST(coalesce(sum(CASE WHEN fin IS NULL OR attempt < fin THEN attempt * 1000 END), 0) AS BIGINT) AS backoff_ms FROM l GROUP BY job_id, chunk_idx""",
-    "first_success": f"""WITH {NUMBERED}, g AS (SELECT user_id || '-' || day AS job_id, min(CASE WHEN event_type IN ('view', 'click') THEN n END) AS w, count(*) AS c, arg_max(event_type, n) AS last FROM num WHERE n <= 4 GROUP BY 1)
+    "first_success": f"""WITH {NUMBERED}, a AS (SELECT user_id || '-' || day || '-' || ((n - 1) // 4) AS job_id, event_type, (n - 1) % 4 + 1 AS n FROM num),
+        g AS (SELECT job_id, min(CASE WHEN event_type IN ('view', 'click') THEN n END) AS w, count(*) AS c, arg_max(event_type, n) AS last FROM a GROUP BY 1)
         SELECT job_id, (['default', 'ipv4', 'legacy_tls', 'ipv4_no_certificate_check'])[w] AS winner, CAST(coalesce(w - 1, c) AS BIGINT) AS failovers, CASE WHEN w IS NULL THEN last END AS error FROM g""",
     "durations": """WITH x AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN CAST(event_id % 300 - 150 AS DOUBLE) ELSE event_id % 900 + 0.5::DOUBLE END AS seconds FROM events)
         SELECT event_id, seconds, coalesce(seconds > 0, false) AS valid FROM x""",
@@ -201,4 +242,16 @@ ORACLE = {
     "stream_progress": f"""WITH c AS (SELECT conv_id AS job_id, CAST(turn AS INTEGER) AS chunk_idx, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE {trim('text')} END AS text FROM conversations)
         SELECT job_id, max(chunk_idx) + 1 AS total_chunks, count(*) FILTER (text <> '') AS completed, max(chunk_idx) FILTER (text <> '') AS last_completed, min(chunk_idx) FILTER (text = '') AS next_incomplete,
             coalesce(string_agg('## Chunk ' || (chunk_idx + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_idx) FILTER (text <> ''), '') AS transcript FROM c GROUP BY job_id""",
+    "read_json_objects": """WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1)
+        SELECT CAST(conv_id AS VARCHAR) AS job_id, CASE WHEN conv_id % 5 <> 0 AND conv_id % 7 <> 0 THEN turns END AS turns,
+            CASE WHEN conv_id % 5 <> 0 AND conv_id % 7 <> 0 THEN 'title ' || conv_id END AS title FROM c""",
+    "read_texts": "SELECT CAST(conv_id AS VARCHAR) AS job_id, CASE WHEN conv_id % 5 <> 0 THEN text || chr(10) ELSE '' END AS text FROM conversations WHERE turn = 0",
+    "list_chunk_files": "SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(turn AS INTEGER) AS chunk_idx, strlen(text) + 1 AS bytes, turn = min(turn) OVER (PARTITION BY conv_id) AS is_first FROM conversations",
+    "read_chunk_results": "SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(turn AS INTEGER) AS chunk_idx, text || chr(10) AS text FROM conversations",
+    "read_events": f"WITH {LOG} SELECT CASE WHEN seq % 97 <> 0 THEN CAST(job_id AS VARCHAR) END AS job_id, CASE WHEN seq % 97 <> 0 THEN seq END AS seq, CASE WHEN seq % 97 <> 0 THEN type END AS type, CASE WHEN seq % 97 <> 0 THEN step END AS step, CASE WHEN seq % 97 <> 0 THEN message END AS message, CASE WHEN seq % 97 <> 0 THEN progress END AS progress FROM lg",
+    "write_events": f"WITH {LOG} SELECT CAST(job_id AS VARCHAR) AS job_id, seq, type, step, message, progress FROM lg WHERE seq % 97 <> 0",
+    "write_transcripts": f"""WITH c AS (SELECT conv_id AS job_id, turn AS chunk_idx, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE {trim('text')} END AS text FROM conversations),
+        x AS (SELECT job_id, coalesce(string_agg('## Chunk ' || (chunk_idx + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_idx) FILTER (text <> ''), '') AS t FROM c GROUP BY job_id)
+        SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'new' || chr(10) WHEN t = '' THEN '' ELSE t || chr(10) END AS transcript FROM x""",
+    "write_json_objects": f"SELECT {Q_JOB} AS job_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS title, '' AS source_url, '2024-02-01T00:00:00.000Z' AS \"updatedAt\" FROM documents",
 }

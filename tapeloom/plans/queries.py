@@ -14,7 +14,8 @@ from ..operators import events as E
 from ..operators import inference as I
 from ..operators import jobs as J
 from ..operators import streaks as K
-from ..sources.writers import export_transcripts
+from ..sources import readers as R
+from ..sources import writers as W
 from ..streaming import live as L
 from . import views as V
 from .scratch import shared_path
@@ -70,7 +71,7 @@ def streak_seeded(s, d):
 def record_relapse(s, d):
     rel = V.relapses(s, d)
     cut = NOW - 7 * 86_400_000
-    return K.record_relapse(rel.where(F.col("ts_ms") <= cut), rel.where((F.col("ts_ms") > cut) & (F.col("user_id") % 2 == 0)), V.streak_users(s, d), NOW)
+    return K.record_relapse(rel.where(F.col("ts_ms") <= cut), rel.where(F.col("ts_ms") > cut), V.streak_users(s, d), NOW)
 
 
 @query
@@ -161,8 +162,8 @@ def safe_filename(s, d):
 def export_names(s, d):
     i = F.col("doc_id")
     docs = V.t(s, d, "documents")
-    meta = docs.where(i % 5 != 0).select(i.alias("job_id"), F.when(i % 2 == 0, F.substring("text", 1, 20)).alias("title"), F.col("source").alias("uploader"), F.when(i % 7 == 0, "https://youtu.be/1").alias("source_url"))
-    return export_transcripts(docs.select(i.alias("job_id"), F.when(i % 11 != 0, F.col("text")).alias("transcript")), meta).select("job_id", "file_name", F.length("content").cast("long").alias("n_chars"))
+    meta = docs.where(i % 5 != 0).select(i.alias("job_id"), F.when(i % 2 == 0, F.col("text")).alias("title"), F.col("source").alias("uploader"), F.when(i % 7 == 0, "https://youtu.be/1").alias("source_url"))
+    return W.export_transcripts(docs.select(i.alias("job_id"), F.when(i % 11 != 0, F.col("text")).alias("transcript")), meta).select("job_id", "file_name", F.length("content").cast("long").alias("n_chars"))
 
 
 @query
@@ -205,8 +206,10 @@ def event_fold(s, d):
 def error_classes(s, d):
     docs = V.t(s, d, "documents").join(V.submissions(s, d), F.col("doc_id") == F.col("page_id"), "left")
     text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("HTTP Error 412 "), F.col("text"))).when(F.col("doc_id") % 10 == 1, F.concat(F.lit("SSLError "), F.col("text"))).otherwise(F.col("text"))
-    got = S.classify_download_error(text, F.coalesce("url", F.lit("")))
-    return docs.select("doc_id", S.is_retryable_error(text).alias("retryable"), S.is_auth_error(text).alias("auth"), got["category"].alias("category"), F.md5(got["message"]).alias("message_md5"))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce("url", F.lit("")).alias("url"))
+    text = F.col("text")
+    rows = rows.withColumn("category", S.download_error_category(text, F.col("url")))
+    return rows.select("doc_id", S.is_retryable_error(text).alias("retryable"), S.is_auth_error(text).alias("auth"), "category", F.md5(S.download_error_message(F.col("category"), text)).alias("message_md5"))
 
 
 @query
@@ -347,3 +350,93 @@ def stream_progress(s, d):
     totals = rows.groupBy("job_id").agg((F.max("chunk_idx") + 1).alias("total_chunks"))
     L.stream_progress(_stream(s, rows, "results", 3), totals, shared_path(s, "result-store"), out, shared_path(s, "progress-cp")).awaitTermination()
     return s.read.parquet(out).drop("_bucket")
+
+
+def _folders(s, rows: DataFrame, name: str, *keys: str) -> str:
+    """A text file for each row, in folders key=value by ``keys``."""
+    path = shared_path(s, name)
+    rows.repartition(*keys).write.partitionBy(*keys).text(path)
+    return path
+
+
+def _conversations(s, d) -> DataFrame:
+    return V.t(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("job")).agg(F.count("*").alias("turns"), F.max("turn").alias("last"), F.max("conv_id").alias("n"))
+
+
+@query
+def read_json_objects(s, d):
+    """S1: a document per conversation; of every seventh it is corrupt, of every fifth missing."""
+    jobs = _conversations(s, d)
+    doc = F.when(F.col("n") % 7 == 0, "{bad").otherwise(F.to_json(F.struct("turns", F.concat(F.lit("title "), F.col("job")).alias("title"))))
+    path = _folders(s, jobs.where("n % 5 <> 0").select("job", doc.alias("value")), "documents", "job")
+    return R.read_json_objects(s, f"{path}/*/*", "turns long, title string", R.path_key(r"job=([^/]+)/[^/]+$"), jobs.select(F.col("job").alias("job_id")))
+
+
+@query
+def read_texts(s, d):
+    """S2: the first turn of each conversation as a file; of every fifth it is missing."""
+    first = V.t(s, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("job"), "conv_id", F.col("text").alias("value"))
+    path = _folders(s, first.where("conv_id % 5 <> 0").drop("conv_id"), "texts", "job")
+    return R.read_texts(s, f"{path}/*/*", R.path_key(r"job=([^/]+)/[^/]+$"), first.select(F.col("job").alias("job_id")))
+
+
+def _turn_files(s, d) -> str:
+    """Each turn as a file whose name has its number: part-<turn>-....txt in the folder of its conversation."""
+    rows = V.t(s, d, "conversations")
+    most = rows.agg(F.max("turn")).first()[0] or 0
+    path = shared_path(s, "turns")
+    rows.select(F.col("conv_id").alias("job"), "turn", F.col("text").alias("value")).repartitionById(int(most) + 1, F.col("turn").cast("int")).drop("turn").write.partitionBy("job").text(path)
+    return path
+
+
+TURN_FILE, TURN_JOB = r"^part-(\d{3,})-.*\.txt$", r"job=([^/]+)/[^/]+$"
+
+
+@query
+def list_chunk_files(s, d):
+    files = R.list_chunk_files(s, _turn_files(s, d), TURN_FILE, R.path_key(TURN_JOB))
+    first = R.first_file(files).select("job_id", F.col("file_name").alias("first"))
+    return files.join(first, "job_id").select("job_id", "chunk_idx", "bytes", (F.col("file_name") == F.col("first")).alias("is_first"))
+
+
+@query
+def read_chunk_results(s, d):
+    return R.read_chunk_results(s, _turn_files(s, d), R.path_key(TURN_JOB), TURN_FILE).select("job_id", "chunk_idx", "text")
+
+
+def _event_lines(s, d) -> str:
+    """The event log as lines of JSON; every 97th is bad."""
+    rows = V.log(s, d).withColumn("job_id", F.col("job_id").cast("string"))
+    path = shared_path(s, "log")
+    rows.select(F.when(F.col("seq") % 97 == 0, "{bad").otherwise(F.to_json(F.struct(*rows.columns))).alias("value")).write.text(path)
+    return path
+
+
+@query
+def read_events(s, d):
+    return R.read_events(s, _event_lines(s, d)).select("job_id", "seq", "type", "step", "message", "progress")
+
+
+@query
+def write_events(s, d):
+    """S7: the log as a stream, written as lines of JSON and read again."""
+    out = shared_path(s, "log-out")
+    W.write_events(R.read_events(s, _event_lines(s, d), streaming=True), out, shared_path(s, "log-cp")).awaitTermination()
+    return R.read_events(s, out).where("seq is not null").select("job_id", "seq", "type", "step", "message", "progress")
+
+
+@query
+def write_transcripts(s, d):
+    """S5: all conversations' transcripts, then those of even jobs anew; the others stay."""
+    path = shared_path(s, "transcripts")
+    texts = C.rebuild_transcripts(V.chunk_texts(s, d))
+    W.write_transcripts(texts, path)
+    W.write_transcripts(texts.where("job_id % 2 = 0").withColumn("transcript", F.lit("new")), path)
+    return s.read.parquet(path).select("job_id", "transcript")
+
+
+@query
+def write_json_objects(s, d):
+    path = shared_path(s, "objects")
+    W.write_json_objects(V.question_metadata(s, d), path, "2024-02-01T00:00:00.000Z")
+    return s.read.schema("job_id string, title string, source_url string, updatedAt string").json(path)

@@ -44,11 +44,11 @@ def first_file(files: DataFrame) -> DataFrame:
     return files.groupBy("job_id").agg(F.min("file_name").alias("file_name"))
 
 
-def read_chunk_results(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
-    """(job_id, chunk_idx, text, ingest_ts) of result files; the time is the file's."""
+def read_chunk_results(spark: SparkSession, path: str, key: Column | None = None, pattern: str = RESULT_FILE) -> DataFrame:
+    """(job_id, chunk_idx, text, ingest_ts) of result files, whose names hold the chunk's number; the time is the file's."""
     files = list_files_text(spark, path)
     name = F.col("_metadata.file_name")
-    return files.where(name.rlike(RESULT_FILE)).select((path_key() if key is None else key).alias("job_id"), F.regexp_extract(name, RESULT_FILE, 1).try_cast("int").alias("chunk_idx"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("ingest_ts"))
+    return files.where(name.rlike(pattern)).select((path_key() if key is None else key).alias("job_id"), F.regexp_extract(name, pattern, 1).try_cast("int").alias("chunk_idx"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("ingest_ts"))
 
 
 def list_files_text(spark: SparkSession, path: str) -> DataFrame:

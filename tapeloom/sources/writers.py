@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
 from ..functions.jscompat import first_truthy
+from .tables import replace_keys
 
 
 def with_last_newline(text: Column) -> Column:
@@ -15,10 +16,13 @@ def with_last_newline(text: Column) -> Column:
     return F.when(text == "", text).otherwise(F.concat(text, F.lit("\n")))
 
 
-def write_transcripts(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Replaces the transcripts of the jobs in df (job_id, transcript), and only theirs, at once."""
+def write_transcripts(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replaces the transcripts of the jobs in df (job_id, transcript), and only theirs, at once.
+
+    The table is Parquet in buckets of job ids (column _bucket), so the number of folders does not grow with the jobs.
+    """
     out = df.select("job_id", with_last_newline(F.col("transcript")).alias("transcript"))
-    out.write.format(file_format).partitionBy("job_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path)
+    replace_keys(out, path, "job_id", buckets)
 
 
 def write_json_objects(df: DataFrame, path: str, updated_at: str, mode: str = "overwrite") -> None:

@@ -11,10 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import chunks, streaks
 from ..operators.events import DEFAULT_STEP, UNKNOWN_ERROR
+from ..sources.tables import BUCKET, bucket_of, replace_keys
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FIELDS = ("message", "progress", "step", "transcript", "transcript_path", "error")
-STATE = ", ".join(f"{f} string, {f}_seq long" for f in FIELDS) + ", done_seq long, stop_seq long, last_seq long"
 OUT = "job_id {kind}, message string, progress double, step string, transcript string, transcript_path string, done boolean, error string, last_seq long"
 
 
@@ -22,9 +21,13 @@ class _Fold(StatefulProcessor):
     """The last value of each field by sequence number, whatever order events come in.
 
     An error may come after later events have been folded, which then must not count. No watermark bounds how late it can be, so
-    each field keeps its values by sequence number; an error cuts them.
+    each field keeps its values by sequence number; an error cuts them. With ``late``, errors are taken to be at most so many
+    sequence numbers late: of the values before that, each field keeps the last, and state stays bounded.
     """
 
+    def __init__(self, late: int | None = None):
+        self.late = late
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getMapState("history", "field string, seq long", "value string")
         self.stop = handle.getValueState("stop", "seq long")
@@ -43,7 +46,15 @@ class _Fold(StatefulProcessor):
                     self.history.updateValue((field, seq), (value,))
         best: dict[str, tuple[int, str]] = {}
         gone = []
-        for (field, seq), (value,) in self.history.iterator():
+        held = [(field, seq, value) for (field, seq), (value,) in self.history.iterator()]
+        sure = max((seq for _, seq, _ in held), default=0) - self.late if self.late is not None else None
+        old: dict[str, int] = {}
+        for field, seq, value in held:
+            if sure is not None and seq <= sure:  # no error can come before it any more
+                other = old.get(field)
+                old[field] = seq if other is None else max(seq, other)
+                if other is not None:
+                    gone.append((field, min(seq, other)))
             if stop is not None and seq > stop:
                 gone.append((field, seq))
             elif field not in best or seq > best[field][0]:
@@ -79,13 +90,16 @@ class _Fold(StatefulProcessor):
         pass
 
 
-def stream_job_state(events: DataFrame) -> DataFrame:
-    """fold_events over a stream, in update mode: a row for each job that a batch touches. Needs the RocksDB state store."""
+def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
+    """fold_events over a stream, in update mode: a row for each job that a batch touches. Needs the RocksDB state store.
+
+    Exact for any order of events, at the price of state that holds every value seen; ``late`` bounds it, see _Fold.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     want = {"type": "string", "step": "string", "message": "string", "progress": "double", "transcript": "string", "transcript_path": "string", "error": "string"}
     rows = events.select("job_id", "seq", *(F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in want.items()))
     kind = events.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").transformWithStateInPandas(_Fold(), OUT.format(kind=kind), "update", "None")
+    return rows.groupBy("job_id").transformWithStateInPandas(_Fold(late), OUT.format(kind=kind), "update", "None")
 
 
 def stream_checkpoints(patches: DataFrame) -> DataFrame:
@@ -95,56 +109,47 @@ def stream_checkpoints(patches: DataFrame) -> DataFrame:
     return last.select("job_id", "key", F.col("m.v.value").alias("value"), F.col("m.seq").alias("seq"))
 
 
-def _touched(stream: DataFrame, store: str, checkpoint: str, key: str, recompute: Callable[[DataFrame, DataFrame], None], available_now: bool) -> StreamingQuery:
-    """Appends each batch to a table and recomputes the keys it touches from all their rows."""
+def _touched(stream: DataFrame, store: str, checkpoint: str, key: str, recompute: Callable[[DataFrame, DataFrame], None], available_now: bool, buckets: int) -> StreamingQuery:
+    """Adds each batch to a table in key buckets and recomputes the keys it touches from their rows in the touched buckets."""
     schema = stream.schema
 
     def batch(df: DataFrame, number: int) -> None:
         spark: SparkSession = df.sparkSession
         # by batch number, so a batch that is repeated after a failure replaces itself
-        df.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        every = spark.read.schema(schema).parquet(store).select(*schema.names)
-        keys = spark.read.schema(schema).parquet(f"{store}/batch={number}").select(key).distinct()
-        recompute(every.join(keys, key, "left_semi"), keys)
+        rows = df.withColumn(BUCKET, bucket_of(key, buckets)).withColumn("_batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, "_batch").parquet(store)
+        every = spark.read.schema(rows.schema).parquet(store)
+        own = every.where(F.col("_batch") == number)
+        touched = [r[0] for r in own.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        keys = own.select(key).distinct()
+        recompute(every.where(F.col(BUCKET).isin(touched)).select(*schema.names).join(keys, key, "left_semi"), keys)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_streaks(relapses: DataFrame, users: DataFrame, now_ms: int, store: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def stream_streaks(relapses: DataFrame, users: DataFrame, now_ms: int, store: str, out: str, checkpoint: str, available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """Keeps streak_report rows of touched users up to date in ``out`` (partitioned by user bucket).
 
-    Late and out-of-order relapses are exact: a touched user is recomputed from all its relapses.
+    Late and out-of-order relapses are exact: a touched user is recomputed from all its relapses. A batch reads the
+    buckets it touches, so many ``buckets`` suit streams that touch few users at a time.
     """
 
     def recompute(rows: DataFrame, keys: DataFrame) -> None:
         own = users.join(keys, "user_id", "left_semi")
         report = streaks.streak_stats(streaks.build_streaks(rows, own, now_ms))
-        replace_keys(report, out, "user_id")
+        replace_keys(report, out, "user_id", buckets)
 
-    return _touched(relapses.select("user_id", "ts_ms"), store, checkpoint, "user_id", recompute, available_now)
+    return _touched(relapses.select("user_id", "ts_ms"), store, checkpoint, "user_id", recompute, available_now, buckets)
 
 
-def stream_progress(results: DataFrame, totals: DataFrame, store: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def stream_progress(results: DataFrame, totals: DataFrame, store: str, out: str, checkpoint: str, available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """Keeps each touched job's progress and transcript up to date in ``out``, from results (job_id, chunk_idx, text, ingest_ts)."""
 
     def recompute(rows: DataFrame, keys: DataFrame) -> None:
         latest = chunks.latest_result(rows)
         own = totals.join(keys, "job_id", "left_semi")
         done = chunks.chunk_progress(own, latest).join(chunks.rebuild_transcripts(latest, own), "job_id", "left")
-        replace_keys(done, out, "job_id")
-
-    return _touched(results, store, checkpoint, "job_id", recompute, available_now)
-
-
-def replace_keys(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Replaces the rows of the keys in ``rows`` in a table of key buckets; only touched buckets are written, at once."""
-    spark = rows.sparkSession
-    new = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        old = spark.read.schema(new.schema).parquet(path)
-        touched = new.select("_bucket").distinct()
-        stay = old.join(F.broadcast(touched), "_bucket", "left_semi").join(new.select(key), key, "left_anti").select(*new.columns)  # at most ``buckets`` rows
-        new = new.unionByName(stay)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        replace_keys(done, out, "job_id", buckets)
+
+    return _touched(results, store, checkpoint, "job_id", recompute, available_now, buckets)

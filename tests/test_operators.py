@@ -103,6 +103,13 @@ def test_event_fold_stops_at_the_first_error(spark):
     last = {r.job_id: r for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r.b)}
     for job, r in got.items():
         assert all(last[job][c] == r[c] for c in ("message", "progress", "step", "transcript", "done", "error", "last_seq"))
+    # with errors at most 3 numbers late, the same result from bounded state
+    out = shared_path(spark, "fold-out")
+    stream = live.stream_job_state(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), late=3)
+    stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.parquet(f"{out}/b={n}")).option("checkpointLocation", shared_path(spark, "fold-cp")).trigger(availableNow=True).start().awaitTermination()
+    last = {r.job_id: r for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r.b)}
+    for job, r in got.items():
+        assert all(last[job][c] == r[c] for c in ("message", "progress", "step", "transcript", "done", "error", "last_seq"))
 
 
 def test_attempts(spark):
