@@ -45,20 +45,19 @@ class _Fold(StatefulProcessor):
                 for field, value in self._values(r):
                     self.history.updateValue((field, seq), (value,))
         best: dict[str, tuple[int, str]] = {}
-        gone = []
         held = [(field, seq, value) for (field, seq), (value,) in self.history.iterator()]
-        sure = max((seq for _, seq, _ in held), default=0) - self.late if self.late is not None else None
-        old: dict[str, int] = {}
+        gone = [(field, seq) for field, seq, _ in held if stop is not None and seq > stop]
+        held = [h for h in held if stop is None or h[1] <= stop]
         for field, seq, value in held:
-            if sure is not None and seq <= sure:  # no error can come before it any more
-                other = old.get(field)
-                old[field] = seq if other is None else max(seq, other)
-                if other is not None:
-                    gone.append((field, min(seq, other)))
-            if stop is not None and seq > stop:
-                gone.append((field, seq))
-            elif field not in best or seq > best[field][0]:
+            if field not in best or seq > best[field][0]:
                 best[field] = (seq, value)
+        if self.late is not None and held:
+            sure = max(seq for _, seq, _ in held) - self.late  # no error can come up to here any more
+            old: dict[str, int] = {}
+            for field, seq, _ in held:
+                if seq <= sure:
+                    old[field] = max(seq, old.get(field, seq))
+            gone += [(field, seq) for field, seq, _ in held if seq <= sure and seq < old[field]]
         for k in gone:
             self.history.removeKey(k)
         got = lambda f: best[f][1] if f in best else None
