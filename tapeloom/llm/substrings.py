@@ -59,39 +59,67 @@ def _chunks(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.Rec
 
 
 class Chunk:
-    """A chunk's words as 64-bit hashes, and the windows of its documents."""
+    """A chunk's words as hashes of 64 bits and of 64 more, and the windows of its documents."""
 
     def __init__(self, ids: bytes, sizes: bytes, words: bytes, codes: bytes):
         self.ids, self.sizes, self.codes = _unzip(ids, "<i8"), _unzip(sizes, "<i8"), _unzip(codes, "<i4")
         self.words = _unzip(words).split(b" ") if len(self.codes) else []
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in self.words]), "<u8").reshape(-1, 2)
         self.end = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.place = np.arange(len(self.codes)) - np.repeat(self.end - self.sizes, self.sizes)
-        self.level = {1: hashes[self.codes] if len(self.codes) else np.empty(0, np.uint64)}
+        self.level, self.more = ({1: both[:, k][self.codes]} for k in (0, 1))
 
-    def hashes(self, n: int) -> np.ndarray:
+    def hashes(self, n: int, level: dict[int, np.ndarray] | None = None) -> np.ndarray:
         """The hash of the n words from each position on (those that leave their document have no meaning)."""
-        if n not in self.level:
+        level = self.level if level is None else level
+        if n not in level:
             half = 1 << (n - 1).bit_length() - 1
-            a, b = self.hashes(half), self.hashes(n - half)
+            a, b = self.hashes(half, level), self.hashes(n - half, level)
             m = max(0, len(self.codes) - n + 1)
-            self.level[n] = mix(a[:m], b[half : half + m] + np.uint64(n))
-        return self.level[n]
+            level[n] = mix(a[:m], b[half : half + m] + np.uint64(n))
+        return level[n]
+
+    def checks(self, n: int) -> np.ndarray:
+        """32 bits of another hash of the n words from each position on."""
+        return (self.hashes(n, self.more) >> np.uint64(32)).astype(np.uint32)
 
     def inside(self, n: int) -> np.ndarray:
         """Whether the n words from each position on are of one document."""
         m = max(0, len(self.codes) - n + 1)
         return self.doc[:m] == self.doc[n - 1 : n - 1 + m] if m else np.empty(0, bool)
 
-    def anchors(self, n: int) -> np.ndarray:
-        """Positions of n-word windows with the least hash among those of a 2n-word window.
+    def may_repeat(self, found: dict[int, np.ndarray], first: int) -> tuple[int, np.ndarray]:
+        """The length that the levels in ``found`` lead to, and where windows of it start that may repeat elsewhere.
+
+        found: of each level's length, from ``first`` on, the hashes at anchors that other chunks have too.
+        """
+        n, may = first, self.inside(first)
+        while n in found:
+            at = self.anchors(n, may)
+            keep = at[np.isin(self.hashes(n)[at], found[n])]
+            near = np.zeros(len(self.codes) + 1, np.int64)  # starts of 2n-word windows that hold such an anchor
+            np.add.at(near, np.maximum(keep - n, 0), 1)
+            np.add.at(near, keep + 1, -1)
+            whole = self.doubled(n, may)
+            may = whole & (np.cumsum(near)[: len(whole)] > 0)
+            n *= 2
+        return n, may
+
+    def doubled(self, n: int, may: np.ndarray) -> np.ndarray:
+        """Where 2n-word windows start whose n-word windows all may repeat."""
+        whole = self.inside(2 * n)
+        total = np.append(0, np.cumsum(may))
+        return whole & (total[n + 1 : n + 1 + len(whole)] - total[: len(whole)] == n + 1)
+
+    def anchors(self, n: int, may: np.ndarray) -> np.ndarray:
+        """Positions of n-word windows with the least hash among those of a 2n-word window that may repeat.
 
         Two equal windows of 2n words have the same anchor at the same place, so both survive if all repeated n-word
         windows at anchors do.
         """
         span = n + 1  # n-word windows in one of 2n words
-        whole = self.inside(2 * n)
+        whole = self.doubled(n, may)
         m = len(whole)
         if not m:
             return np.empty(0, np.int64)
@@ -128,37 +156,59 @@ def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, chunk_words: int = 1 << 20, bucket_hashes: int = 1 << 17) -> DataFrame:
+def _find(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The place of each (key, check), all of which are there, among distinct ones sorted by key and check."""
+    at = np.searchsorted(keys, key)
+    off = np.flatnonzero(checks[at] != check)
+    while len(off):  # keys that differ in the check only
+        at[off] += 1
+        off = off[checks[at[off]] != check[off]]
+    return at
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, chunk_words: int = 1 << 20, bucket_hashes: int = 1 << 17, first: int | None = None) -> DataFrame:
     """One row per document: id, text_hash (xxhash64 of the input text), n_words, n_removed, kept_sha256 and text, the kept
     words joined by blanks.
 
     A window of ``min_words`` words is removed if its words also start earlier (smaller id, or earlier in the same
-    document); windows are judged on the input. Windows of half the length are compared first, at anchors that any two equal
-    windows share; only where such a half window repeats are windows of the full length looked at. Longer repeats are
-    covered by these, so the doubling ends there, or before, when no half window repeats.
+    document); windows are judged on the input. Level by level, windows of ``first`` words (half of ``min_words``, unless
+    given) are compared between chunks at anchors that any two equal windows of twice the length share; only those that
+    repeat are extended to twice their length and compared again, until none survives or the length is ``min_words``.
+    There the doubling ends, as longer repeats consist of such windows.
 
     Words are dealt in chunks, written once to the shared folder; a chunk sends each distinct hash once, so a passage in
-    a third of all documents costs a row per chunk. A null text has no words; a null id keeps its row and its words and
-    is not compared; of rows with the same id none is earlier than another at the same place. Words are compared by a
-    64-bit hash of the window.
+    a third of all documents costs a row per chunk. Levels compare 64-bit hashes, which only chooses candidates; windows
+    are removed by 96 bits. A null or empty text has no words; texts of any length are taken whole; a null id keeps its row
+    and its words and is not compared; of rows with the same id none is earlier than another at the same place. Repeated
+    rows give a row each. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    half = min_words // 2
-    if min_words < 2 or min_words % 2:
-        raise ValueError("min_words is twice the first level's length")
+    first = first or min_words // 2
+    if min_words % first or (min_words // first).bit_count() != 1 or min_words == first:
+        raise ValueError("min_words is the first level's length, doubled some times")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     chunks, chunks_path = materialise(source.where("id is not null").mapInArrow(lambda it: _chunks(it, chunk_words), CHUNKS), "chunks", "uncompressed")
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 << max(3, (n_words // 6 // bucket_hashes).bit_length())
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def levels(right: pd.DataFrame) -> dict[int, np.ndarray]:
+        return {n: gathered(right[right["level"] == n]) for n in set(right["level"])}
+
+    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in left.to_dict("records"):
+            c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
+            n, may = c.may_repeat(levels(right), first)
+            rows += _bucketed(r["chunk"], np.unique(c.hashes(n)[c.anchors(n, may)]), buckets)
+        return _rows(rows, ["bucket", "chunk", "hashes"])
+
+    def all_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pd.DataFrame({"level": [], "hashes": []})
         for b in batches:
             for r in b.to_pylist():
-                c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
-                found = np.unique(c.hashes(half)[c.anchors(half)]) if len(c.codes) >= min_words else np.empty(0, np.uint64)
-                rows = list(_bucketed(r["chunk"], found, buckets))
-                yield pa.RecordBatch.from_pandas(_rows(rows, ["bucket", "chunk", "hashes"]), pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary())]), preserve_index=False)
+                rows = candidates(pd.DataFrame([r]), none)
+                yield pa.RecordBatch.from_pandas(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary())]), preserve_index=False)
 
     def in_several(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(h, "<u8") for h in pdf["hashes"]]
@@ -170,53 +220,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((chunk, got.tobytes()))
         return _rows(rows, ["chunk", "hashes"])
 
-    def repeated_at(c: Chunk, elsewhere: np.ndarray) -> np.ndarray:
-        """Starts of whole windows that hold an anchor repeated in this chunk or in another."""
-        at = c.anchors(half)
-        h = c.hashes(half)[at]
-        own, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        keep = at[(count > 1)[inverse] | np.isin(h, elsewhere)]
-        inside = c.inside(min_words)
-        mark = np.zeros(len(c.codes) + 1, np.int64)
-        np.add.at(mark, np.maximum(keep - half, 0), 1)
-        np.add.at(mark, keep + 1, -1)
-        return np.flatnonzero(inside & (np.cumsum(mark)[: len(inside)] > 0))
-
-    def gathered(pdf: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([np.frombuffer(h, "<u8") for h in pdf["hashes"]]) if len(pdf) else np.empty(0, np.uint64)
+    def gathered(pdf: pd.DataFrame, column: str = "hashes", kind: str = "<u8") -> np.ndarray:
+        return np.concatenate([np.frombuffer(h, kind) for h in pdf[column]]) if len(pdf) else np.empty(0, kind)
 
     def firsts(c: Chunk, at: np.ndarray):
-        """Distinct hashes of the windows at these starts, and the index of the earliest of each."""
-        h = c.hashes(min_words)[at]
-        order = np.lexsort((c.place[at], c.ids[c.doc[at]], h))
-        hs = h[order]
-        lead = np.append(True, hs[1:] != hs[:-1]) if len(hs) else np.empty(0, bool)
-        return hs[lead], at[order[lead]]
+        """Distinct windows at these starts, by hash and check, and the start of the earliest of each."""
+        h, check = c.hashes(min_words)[at], c.checks(min_words)[at]
+        order = np.lexsort((c.place[at], c.ids[c.doc[at]], check, h))
+        h, check = h[order], check[order]
+        lead = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])) if len(h) else np.empty(0, bool)
+        return h[lead], check[lead], at[order[lead]]
 
     def wholes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in left.to_dict("records"):
             c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
-            if len(c.codes) >= min_words:
-                h, first = firsts(c, repeated_at(c, gathered(right)))
-                rows += _bucketed(r["chunk"], h, buckets, c.ids[c.doc[first]], c.place[first])
-        return _rows(rows, ["bucket", "chunk", "hashes", "ids", "places"])
+            n, may = c.may_repeat(levels(right), first)
+            if n == min_words:
+                h, check, start = firsts(c, np.flatnonzero(may))
+                rows += _bucketed(r["chunk"], h, buckets, check, c.ids[c.doc[start]], c.place[start].astype("<i4") if c.place.max(initial=0) < 2**31 else c.place[start])
+        return _rows(rows, ["bucket", "chunk", "hashes", "checks", "ids", "places"])
 
     def not_first(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(h, "<u8") for h in pdf["hashes"]]
         h = np.concatenate(parts)
-        ids, places = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[k]]) for k in ("ids", "places"))
+        check, ids = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["checks"]]), np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
+        places = np.concatenate([np.frombuffer(x, f"<i{len(x) // len(p)}").astype(np.int64) for x, p in zip(pdf["places"], parts)])
         chunk = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.lexsort((places, ids, h))
-        h, ids, places, chunk = h[order], ids[order], places[order], chunk[order]
-        lead = np.append(True, h[1:] != h[:-1])
+        order = np.lexsort((places, ids, check, h))
+        h, check, ids, places, chunk = h[order], check[order], ids[order], places[order], chunk[order]
+        lead = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))
         start = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
         late = (ids != ids[start]) | (places != places[start])
         order = np.argsort(chunk[late], kind="stable")
-        h, chunk = h[late][order], chunk[late][order]
+        h, check, chunk = h[late][order], check[late][order], chunk[late][order]
         cut = np.searchsorted(chunk, np.arange(len(parts) + 1))
         names = pdf["chunk"].tolist()
-        return _rows([(names[k], h[cut[k] : cut[k + 1]].tobytes()) for k in range(len(parts)) if cut[k] < cut[k + 1]], ["chunk", "hashes"])
+        return _rows([(names[k], h[cut[k] : cut[k + 1]].tobytes(), check[cut[k] : cut[k + 1]].tobytes()) for k in range(len(parts)) if cut[k] < cut[k + 1]], ["chunk", "hashes", "checks"])
 
     def kept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -225,12 +265,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone = np.zeros(len(c.codes) + 1, np.int64)
             if len(c.codes) >= min_words:
                 at = np.flatnonzero(c.inside(min_words))
-                h, first = firsts(c, at)
-                here = c.hashes(min_words)[at]
-                k = np.searchsorted(h, here)
-                late = (c.ids[c.doc[at]] != c.ids[c.doc[first[k]]]) | (c.place[at] != c.place[first[k]])
+                h, check, start = firsts(c, at)
+                k = _find(h, check, c.hashes(min_words)[at], c.checks(min_words)[at])
+                late = (c.ids[c.doc[at]] != c.ids[c.doc[start[k]]]) | (c.place[at] != c.place[start[k]])
                 elsewhere = np.zeros(len(h), bool)
-                elsewhere[np.searchsorted(h, gathered(right))] = True
+                elsewhere[_find(h, check, gathered(right), gathered(right, "checks", "<u4"))] = True
                 at = at[late | elsewhere[k]]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + min_words, -1)
@@ -243,11 +282,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 before = end
         return _rows(rows, ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "text"])
 
-    sent = chunks.mapInArrow(halves, "bucket int, chunk long, hashes binary")
-    more, more_path = materialise(sent.groupBy("bucket").applyInPandas(in_several, "chunk long, hashes binary"), "half-windows")
-    whole = chunks.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInPandas(wholes, "bucket int, chunk long, hashes binary, ids binary, places binary")
-    late, _ = materialise(whole.groupBy("bucket").applyInPandas(not_first, "chunk long, hashes binary"), "windows")
-    discard(spark, more_path)
+    several, n, paths = None, first, []
+    while n < min_words:
+        sent = "bucket int, chunk long, hashes binary"
+        asked = chunks.mapInArrow(all_candidates, sent) if several is None else chunks.groupBy("chunk").cogroup(several.groupBy("chunk")).applyInPandas(candidates, sent)
+        level, path = materialise(asked.groupBy("bucket").applyInPandas(in_several, "chunk long, hashes binary").withColumn("level", F.lit(n)), f"windows-{n}")
+        paths.append(path)
+        if level.isEmpty():  # nothing repeats in another chunk
+            several = level
+            break
+        several, n = level if several is None else several.union(level), 2 * n
+    whole = chunks.groupBy("chunk").cogroup(several.groupBy("chunk")).applyInPandas(wholes, "bucket int, chunk long, hashes binary, checks binary, ids binary, places binary")
+    late, _ = materialise(whole.groupBy("bucket").applyInPandas(not_first, "chunk long, hashes binary, checks binary"), "windows")
+    discard(spark, *paths)
     result = "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, text string"
     out = chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInPandas(kept, result)
     without = source.where("id is null").mapInArrow(_unjudged, result)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 
 from tapeloom.llm import queries, substrings
 
@@ -39,8 +40,9 @@ def test_matches_brute_force(spark):
         rows = [r for k, r in enumerate(rows) if r[0] != 30 or k == len(rows) - 1]
         rnd.shuffle(rows)
         df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, chunk string").repartition(3)
-        got = substrings.remove_repeats(df, min_words=n, chunk_words=400, bucket_hashes=64)
-        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute(rows, n)
+        for first in {n // 2, n // 4 if n % 4 == 0 else n // 2}:
+            got = substrings.remove_repeats(df, min_words=n, chunk_words=400, bucket_hashes=64, first=first)
+            assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute(rows, n)
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -60,3 +62,25 @@ def test_whole_table_matches_sql(spark):
     assert got.columns == want.columns and [str(x) for x in want.types] == ["BIGINT", "BIGINT", "BIGINT", "VARCHAR"]
     rows = want.fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(rows) and sum(r[2] > 0 for r in rows) > 50
+
+
+def test_levels_end_when_nothing_survives(spark, monkeypatch):
+    """Long passages pass every level; short repeats end at theirs."""
+    seen = []
+    real = substrings.materialise
+    monkeypatch.setattr(substrings, "materialise", lambda df, name, *more: (seen.append(name), real(df, name, *more))[1])
+    rnd = random.Random(8)
+    passage, short = [f"p{k}" for k in range(130)], [f"s{k}" for k in range(12)]
+    own = lambda i: [f"w{rnd.randrange(10**9)}-{i}" for _ in range(60)]
+    for repeat, levels in ((passage, ["windows-5", "windows-10"]), (short, ["windows-5", "windows-10"]), (short[:7], ["windows-5", "windows-10"]), (short[:4], ["windows-5"])):
+        rows = [(i, " ".join(own(i) + repeat + own(i))) for i in range(30)]
+        seen.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = substrings.remove_repeats(df, chunk_words=500, first=5)
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute(rows, 20)
+        assert [x for x in seen if x.startswith("windows-")] == levels
+
+
+def test_windows_that_share_a_hash_are_told_apart():
+    keys, checks = np.array([3, 7, 7, 7, 9], np.uint64), np.array([1, 2, 4, 8, 1], np.uint32)
+    assert substrings._find(keys, checks, np.array([7, 7, 3, 9, 7], np.uint64), np.array([8, 2, 1, 1, 4], np.uint32)).tolist() == [3, 1, 0, 4, 2]
