@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, matrix, search, usable
+from .blocks import best, search, usable
 
 
 class Forest:
     """For each tree the rows of a block sorted by a long hash string: signs of random projections of the centred vectors."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, trees: int, bits: int, seed: int):
-        self.vectors, self.centre, self.bits, self.trees = vectors, centre, bits, trees
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, trees: int, bits: int, seed: int):
+        self.ids, self.vectors, self.centre, self.bits, self.trees = ids, vectors, centre, bits, trees
         self.planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], trees * bits))
         labels = self.labels(vectors)
         self.order = np.argsort(labels, axis=0, kind="stable")
@@ -22,7 +21,7 @@ class Forest:
 
     def labels(self, vectors: np.ndarray) -> np.ndarray:
         signs = ((vectors - self.centre) @ self.planes > 0).reshape(len(vectors), self.trees, self.bits)
-        return signs.astype(np.float64) @ 2.0 ** np.arange(self.bits - 1, -1, -1)
+        return signs.astype(np.float64) @ 2.0 ** np.arange(self.bits - 1, -1, -1)  # whole numbers up to 2**52
 
     def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits + 1, trees, queries): first and last place whose hash strings share a prefix of each length with the query's."""
@@ -54,35 +53,40 @@ class Forest:
             level -= 1
 
 
-def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 64, bits: int = 20, share: float = 0.5, sample: int = 5000, block: int = 1024, query_block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 64, bits: int = 48, share: float = 0.5, sample: int = 5000, block: int = 8192, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k nearest rows found by Euclidean distance, ties to the smaller id.
 
     Every row is indexed, in blocks with a forest each; a query ascends in each block until ``share`` of its rows are met,
     whose exact distances are then taken. Only the centre of the vectors is fitted, on ``sample`` rows at most (those with
-    the least hash of their id). Rows with the query's own id are left out. Vectors that are null, empty, zero or hold a
-    null or non-finite component, and null ids, take no part; only vectors of equal length meet.
+    the least hash of their id, then the least vector). Rows with the query's own id are left out; other repeated rows are
+    candidates of their own, and of repeated query ids the least vector asks. Vectors that are null, empty, zero or hold a
+    null or non-finite component, and null ids, take no part; only vectors of equal length meet. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
+    if not 0 < bits <= 52:
+        raise ValueError("hash strings have 1 to 52 bits")
     v = F.col(vector_col)
     part = table.where(F.col(id_col).isNotNull() & usable(v) & F.exists(v, lambda x: x != 0))
     rows = part.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("asks"))
     fitted: dict[int, list[np.ndarray]] = {}
-    for r in rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).collect():
+    for r in rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(sample).collect():
         fitted.setdefault(len(r.v), []).append(np.array(r.v))
     centres = {d: np.mean(x, axis=0) for d, x in fitted.items()}
 
-    def match(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidates) and len(queries):
-            ids, x, asked = candidates["id"].to_numpy(), matrix(candidates["v"], np.float64), matrix(queries["v"], np.float64)
-            forest = Forest(x, centres.get(x.shape[1], np.zeros(x.shape[1])), trees, bits, seed)
-            low, high = forest.ranges(asked)
-            least = max(k + 1, int(share * len(ids)))
-            for i, key in enumerate(queries["id"].tolist()):
+    def index(ids: np.ndarray, x: np.ndarray) -> Forest:
+        return Forest(ids, x, centres.get(x.shape[1], np.zeros(x.shape[1])), trees, bits, seed)
+
+    def answer(forest: Forest, keys: np.ndarray, asked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, ids = [], forest.ids
+        least = max(k + 1, int(share * len(ids)))
+        for at in range(0, len(keys), 256):
+            low, high = forest.ranges(asked[at : at + 256])
+            for i, key in enumerate(keys[at : at + 256].tolist()):
                 met = forest.candidates(low[:, :, i], high[:, :, i], least)
                 met = met[ids[met] != key]
-                far = np.sqrt(((x[met] - asked[i]) ** 2).sum(axis=1))
+                far = np.sqrt(((forest.vectors[met] - asked[at + i]) ** 2).sum(axis=1))
                 keep = best(ids[met], far, k)
-                out.append(pd.DataFrame({"query_id": key, "vec_id": ids[met][keep], "score": far[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, "int64"), "vec_id": np.empty(0, "int64"), "score": np.empty(0)})
+                out.append((ids[met][keep], far[keep]))
+        return out
 
-    return search(rows, F.col("asks"), match, "double", k, [F.col("score")], block, query_block)
+    return search(rows, F.col("asks"), index, answer, "double", k, [F.col("score")], block)

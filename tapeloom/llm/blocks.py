@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +16,48 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def matrix(vectors: pd.Series, kind: type) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(kind)
+Found = tuple[np.ndarray, np.ndarray]
 
 
-def search(rows: DataFrame, is_query: Column, match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], score: str, k: int, order: list[Column], block: int, query_block: int) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, index: Callable[[np.ndarray, np.ndarray], Any], answer: Callable[[Any, np.ndarray, np.ndarray], list[Found]], score: str, k: int, order: list[Column], block: int) -> DataFrame:
     """The k best (query_id, rank, vec_id, score) of each query by ``order`` and then vec_id.
 
-    rows: (id long, v array) without nulls. ``match`` gets the candidates and queries of one pair of blocks and returns the
-    block's k best of each query. Blocks hold about ``block`` candidates and ``query_block`` queries, so neither a task's
-    memory nor its time depends on the table's size; only vectors of equal length meet. Of repeated query ids one row asks.
+    rows: (id long, v array) without nulls. Rows are dealt once, in blocks of about ``block`` by a hash of id and vector, so
+    that many rows of one id are many blocks' work; each query is sent to each block. A task makes the index of a block from
+    (ids, vectors) and answers queries as they stream by, so its memory holds a block and a batch whatever the table's size.
+    ``answer`` gives the block's k best (vec_ids, scores) for each of some queries. Only vectors of equal length meet. Of
+    repeated query ids the least vector asks.
     """
-    n, q = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-q // query_block))
-    base = rows.withColumn("len", F.size("v"))
-    own = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = base.withColumn("cb", own(blocks, 1)).withColumn("qb", every(query_blocks))
-    queries = base.where(is_query).dropDuplicates(["id"]).withColumn("qb", own(query_blocks, 2)).withColumn("cb", every(blocks))
-    keys = ["len", "cb", "qb"]
-    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(match, f"query_id long, vec_id long, score {score}")
+    blocks = max(1, -(-rows.count() // block))
+    base = rows.select("id", "v", F.size("v").alias("len"))
+    own = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
+    candidates = base.select(own.alias("block"), "len", F.lit(False).alias("asks"), "id", "v")
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("len", F.size("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "len", F.lit(True).alias("asks"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, made = None, [], [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "len", "asks")], axis=1)
+            edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(edge, edge[1:]):
+                if i == j:
+                    continue
+                if now != (here := tuple(keys[i, :2].tolist())):
+                    now, ids, vectors, made = here, [], [], None
+                part_ids = b.column("id").slice(i, j - i).to_numpy()
+                part = b.column("v").slice(i, j - i).flatten().to_numpy().reshape(j - i, now[1])
+                if not keys[i, 2]:
+                    ids.append(part_ids)
+                    vectors.append(part)
+                elif ids:
+                    made = index(np.concatenate(ids), np.concatenate(vectors)) if made is None else made
+                    found = answer(made, part_ids, part)
+                    sizes = [len(f[0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
+
+    both = candidates.union(asked).repartition("block").sortWithinPartitions("block", "len", "asks", "id", "v")
+    found = both.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

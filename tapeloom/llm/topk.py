@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, matrix, search, usable
+from .blocks import best, search, usable
 
 
 class Lists:
@@ -17,14 +16,17 @@ class Lists:
         self.ids, self.vectors = ids, vectors
         self.up = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.up, axis=0)
+        self.largest, self.scored = float(np.abs(vectors.astype(float)).max(initial=0)), 0
 
-    def top(self, query_id: int, q: np.ndarray, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query_id: int, q: np.ndarray, k: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k largest inner products with q, ties to the smaller id.
 
         Reads the lists in parallel from the end that favours q, scores each row when it is first seen, and stops when the
         sum of what the lists can still offer is under the kth score (at equality a smaller id could still come).
         """
         n, dims = len(self.ids), np.flatnonzero(q)
+        if float(np.abs(q.astype(float)).max(initial=0)) * self.largest * max(1, len(q)) >= 2.0**63:
+            raise ValueError("scores of such large components do not fit a long")
         fall = q[dims] > 0
         weight, seen = q[dims], np.zeros(n, bool)
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -38,6 +40,7 @@ class Lists:
             rows = np.flatnonzero(now ^ seen)
             seen = now
             rows = rows[self.ids[rows] != query_id]
+            self.scored += len(rows)
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.vectors[rows] @ q])
             keep = best(ids, -scores, k)
             ids, scores = ids[keep], scores[keep]
@@ -47,24 +50,22 @@ class Lists:
         return ids, scores
 
 
-def top_inner_products(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, k: int = 5, block: int = 1024, query_block: int = 4096) -> DataFrame:
+def top_inner_products(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, k: int = 5, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k largest inner products of floor(scale * x) among all other rows.
 
     Exact; fewer than k candidates give fewer rows. Rows with the query's own id are left out; other repeated rows are
-    candidates of their own. Vectors that are null, empty or hold a null or non-finite component, and null ids, take no
-    part; only vectors of equal length meet. Components are under 2**40 / scale in size (larger ones overflow).
+    candidates of their own, and of repeated query ids the least vector asks. Vectors that are null, empty or hold a null or
+    non-finite component, and null ids, take no part; only vectors of equal length meet. Components so large that a score
+    might not fit a long stop the job. An empty table gives no rows; other columns are ignored, whatever their names.
+
+    Each block has its own sorted lists. How soon the bound stops depends on the vectors: where few components dominate it
+    stops early, for vectors of many alike components (random ones) nearly all rows are scored before it does.
     """
     v = F.col(vector_col)
     part = table.where(F.col(id_col).isNotNull() & usable(v))
     rows = part.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"), is_query.alias("asks"))
 
-    def match(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidates) and len(queries):
-            lists = Lists(candidates["id"].to_numpy(), matrix(candidates["v"], np.int64))
-            for key, q in zip(queries["id"].tolist(), matrix(queries["v"], np.int64)):
-                ids, scores = lists.top(key, q, k)
-                out.append(pd.DataFrame({"query_id": key, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    def answer(lists: Lists, ids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [lists.top(key, q, k) for key, q in zip(ids.tolist(), queries)]
 
-    return search(rows, F.col("asks"), match, "long", k, [F.desc("score")], block, query_block)
+    return search(rows, F.col("asks"), Lists, answer, "long", k, [F.desc("score")], block)

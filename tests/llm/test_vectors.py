@@ -1,10 +1,11 @@
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import annforest, queries, topk
 
-SF = "/root/testdata/sf0.01"
+SF, SF_LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
@@ -32,16 +33,18 @@ def test_topk_edges(spark):
         c = sorted((-int(a @ b), i) for i, b in ok if i != q and len(a) == len(b))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(c)]
     for block in (1024, 7):
-        got = topk.top_inner_products(df, F.col("vec_id") % 5 == 0, block=block, query_block=4)
+        got = topk.top_inner_products(df, F.col("vec_id") % 5 == 0, block=block)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
-def test_forest_recall(spark):
+@pytest.mark.parametrize("sf, n", [(SF, 5), (SF_LARGE, 20)])
+def test_forest_recall(spark, sf, n):
+    """All queries against brute force."""
     got = {}
-    for r in queries.op4_ann_forest(spark, SF).collect():
+    for r in queries.op4_ann_forest(spark, sf).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     x, ids = np.array([r.embedding for r in e], float), np.array([r.vec_id for r in e])
     hits = 0
     for q in ids[ids % 100 == 0]:
@@ -50,7 +53,7 @@ def test_forest_recall(spark):
         assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
         assert all(abs(far[ids == i][0] - s) < 1e-9 for _, i, s in got[q])
         hits += len({ids[i] for i in near} & {i for _, i, _ in got[q]})
-    assert hits >= 0.9 * 10 * len(got) and len(got) == 5
+    assert hits >= 0.9 * 10 * len(got) and len(got) == n
 
 
 def test_forest_edges(spark):
@@ -62,3 +65,25 @@ def test_forest_edges(spark):
         if q % 5 == 0:
             want[q] = [i for _, i in sorted((float(np.sqrt(((a - b) ** 2).sum())), i) for i, b in ok if i != q and len(a) == len(b))[:10]]
     assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in {r.query_id for r in got}} == {q: w for q, w in want.items() if w}
+
+
+def test_threshold_stops_early_where_few_components_dominate():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.pareto(1.5, (4000, 16))).astype(np.int64)
+    lists = topk.Lists(np.arange(4000), x)
+    for q in x[:20]:
+        ids, scores = lists.top(-1, q, 5)
+        want = np.lexsort((np.arange(4000), -(x @ q)))[:5]
+        assert ids.tolist() == want.tolist() and scores.tolist() == (x @ q)[want].tolist()
+    assert lists.scored < 0.25 * 20 * 4000
+    with pytest.raises(ValueError):
+        topk.Lists(np.arange(1), np.array([[2**40]])).top(5, np.array([2**30]), 1)
+
+
+def test_rows_of_one_query_id_ask_once(spark):
+    rows = [(5, [1.0, 0.0], "s"), (5, [0.0, 1.0], "s"), (1, [1.0, 0.0], "s"), (2, [0.0, 1.0], "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for part in (df, df.repartition(3)):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in annforest.nearest(part, F.col("vec_id") == 5).collect())
+        assert got == [(5, 1, 2, 0.0), (5, 2, 1, 2**0.5)]
+        assert sorted(map(tuple, topk.top_inner_products(part, F.col("vec_id") == 5).collect())) == [(5, 1, 2, 65536), (5, 2, 1, 0)]
