@@ -68,21 +68,31 @@ class Chunk:
         self.end = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.place = np.arange(len(self.codes)) - np.repeat(self.end - self.sizes, self.sizes)
-        self.level, self.more = ({1: both[:, k][self.codes]} for k in (0, 1))
-
-    def hashes(self, n: int, level: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        self.both, self.known = both, {}
+
+    def _hash(self, k: int, n: int) -> np.ndarray:
+        """The k-th hash of the n words from each position on, by doubling; only what n is made of is held."""
+        power, size, out, length = self.both[:, k][self.codes], 1, None, 0
+        while True:
+            if n & size:
+                length += size
+                m = max(0, len(self.codes) - length + 1)
+                out = power if out is None else mix(power[:m], out[size : size + m] + np.uint64(length))
+            if 2 * size > n:
+                return out
+            m = max(0, len(self.codes) - 2 * size + 1)
+            power = mix(power[:m], power[size : size + m] + np.uint64(2 * size))
+            size *= 2
+
+    def hashes(self, n: int) -> np.ndarray:
         """The hash of the n words from each position on (those that leave their document have no meaning)."""
-        level = self.level if level is None else level
-        if n not in level:
-            half = 1 << (n - 1).bit_length() - 1
-            a, b = self.hashes(half, level), self.hashes(n - half, level)
-            m = max(0, len(self.codes) - n + 1)
-            level[n] = mix(a[:m], b[half : half + m] + np.uint64(n))
-        return level[n]
+        if n not in self.known:
+            self.known[n] = self._hash(0, n)
+        return self.known[n]
 
     def checks(self, n: int) -> np.ndarray:
         """32 bits of another hash of the n words from each position on."""
-        return (self.hashes(n, self.more) >> np.uint64(32)).astype(np.uint32)
+        return (self._hash(1, n) >> np.uint64(32)).astype(np.uint32)
 
     def inside(self, n: int) -> np.ndarray:
         """Whether the n words from each position on are of one document."""
@@ -223,9 +233,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def gathered(pdf: pd.DataFrame, column: str = "hashes", kind: str = "<u8") -> np.ndarray:
         return np.concatenate([np.frombuffer(h, kind) for h in pdf[column]]) if len(pdf) else np.empty(0, kind)
 
-    def firsts(c: Chunk, at: np.ndarray):
+    def firsts(c: Chunk, at: np.ndarray, checks: np.ndarray):
         """Distinct windows at these starts, by hash and check, and the start of the earliest of each."""
-        h, check = c.hashes(min_words)[at], c.checks(min_words)[at]
+        h, check = c.hashes(min_words)[at], checks[at]
         order = np.lexsort((c.place[at], c.ids[c.doc[at]], check, h))
         h, check = h[order], check[order]
         lead = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])) if len(h) else np.empty(0, bool)
@@ -237,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
             n, may = c.may_repeat(levels(right), first)
             if n == min_words:
-                h, check, start = firsts(c, np.flatnonzero(may))
+                h, check, start = firsts(c, np.flatnonzero(may), c.checks(min_words))
                 rows += _bucketed(r["chunk"], h, buckets, check, c.ids[c.doc[start]], c.place[start].astype("<i4") if c.place.max(initial=0) < 2**31 else c.place[start])
         return _rows(rows, ["bucket", "chunk", "hashes", "checks", "ids", "places"])
 
@@ -265,8 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone = np.zeros(len(c.codes) + 1, np.int64)
             if len(c.codes) >= min_words:
                 at = np.flatnonzero(c.inside(min_words))
-                h, check, start = firsts(c, at)
-                k = _find(h, check, c.hashes(min_words)[at], c.checks(min_words)[at])
+                checks = c.checks(min_words)
+                h, check, start = firsts(c, at, checks)
+                k = _find(h, check, c.hashes(min_words)[at], checks[at])
                 late = (c.ids[c.doc[at]] != c.ids[c.doc[start[k]]]) | (c.place[at] != c.place[start[k]])
                 elsewhere = np.zeros(len(h), bool)
                 elsewhere[_find(h, check, gathered(right), gathered(right, "checks", "<u4"))] = True
