@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, common, divergence, lmscore, maintext, packing, pieces, quality, simhash, substrings, tokenfile, topk
+from . import annforest, common, divergence, lmscore, maintext, packing, pieces, quality, simhash, substrings, tokenfile, topk, turntrie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return turntrie.trie_of(table(spark, sf_dir, "conversations"), base=conv - conv % 5, keep=F.crc32(conv.cast("string")) % 9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_topk": op2_exact_topk,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
@@ -123,4 +129,20 @@ ORACLE: dict[str, str] = {
         terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
         FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR r <= 10""",
+    "op13_prefix_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+        crc AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, turns, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda k: CAST(-1 AS BIGINT)))))),
+                lambda r, c: CASE WHEN c >= 0 THEN xor(r, c) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r FROM lists),
+        keep AS (SELECT conv_id, base, turns, xor(r, 4294967295) % 9 AS h FROM crc),
+        made AS (SELECT k.conv_id, list_concat(coalesce(b.turns, [])[1 : h], k.turns[h + 1 :]) AS turns FROM keep k LEFT JOIN lists b ON k.base = b.conv_id),
+        prefixes AS (SELECT conv_id, len(turns) AS n, d, turns[1 : d] AS p FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM made)),
+        nodes AS (
+            SELECT p, min(conv_id) AS conv_id, d AS depth, count(*) AS n_convs, coalesce(strlen(p[-1].text), 0) AS bytes, p[1 : d - 1] AS above,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+        family AS (SELECT u.*, a.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children FROM nodes u LEFT JOIN nodes a ON u.depth > 0 AND a.p = u.above LEFT JOIN (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above) c ON c.above = u.p),
+        inside AS (SELECT f.p[1 : a] AS p, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS a FROM family) f GROUP BY ALL)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM family JOIN inside USING (p)""",
 }
