@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, common, divergence, lmscore, maintext, packing, pieces, quality, simhash, substrings, tokenfile, topk, turntrie
+from . import annforest, bytedups, common, divergence, lmscore, maintext, packing, pieces, quality, simhash, substrings, tokenfile, topk, turntrie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytedups.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_source_divergence": op12_source_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
