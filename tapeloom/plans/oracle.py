@@ -236,6 +236,14 @@ ORACLE = {
     "transcribe_batch": f"""SELECT doc_id AS job_id, CAST(doc_id % 5 AS INTEGER) AS chunk_idx, CASE WHEN strlen(text) % 10 <> 0 THEN md5(text) END AS text, {ECHO('strlen(text)')} FROM documents""",
     "answer_batch": f"""WITH {QUESTIONS}, p AS (SELECT question_id, {PROMPT} AS prompt FROM a WHERE code = 200)
         SELECT question_id, CASE WHEN strlen(prompt) % 10 <> 0 THEN md5(prompt) END AS text, {ECHO('strlen(prompt)')} FROM p""",
+    "transcription_run": f"""WITH c AS (SELECT substr(sha256('https://youtu.be/' || conv_id), 1, 16) AS job_id, 'https://youtu.be/' || conv_id AS source_url, turn, md5(text) AS text, strlen(text) AS n FROM conversations),
+        g AS (SELECT job_id, any_value(source_url) AS source_url, CAST(count(*) AS INTEGER) AS total_chunks, count(*) FILTER (n % 10 <> 0) AS completed_chunks,
+            CAST(max(turn) FILTER (n % 10 <> 0) AS INTEGER) AS last_completed_chunk, CAST(min(turn) FILTER (n % 10 = 0) AS INTEGER) AS next_resume_chunk,
+            arg_min(CASE WHEN n % 20 = 0 THEN 'HTTP 503' ELSE 'invalid input' END, turn) FILTER (n % 10 = 0) AS error,
+            arg_min(CASE WHEN n % 3 = 0 THEN 'HTTP 429' WHEN n % 20 = 0 THEN 'HTTP 503' ELSE 'invalid input' END, turn) FILTER (n % 10 = 0 OR n % 3 = 0) AS earlier,
+            coalesce(string_agg('## Chunk ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FILTER (n % 10 <> 0), '') AS transcript FROM c GROUP BY job_id)
+        SELECT job_id, source_url, 'youtube' AS platform, CASE WHEN next_resume_chunk IS NULL THEN 'complete' ELSE 'failed' END AS status, total_chunks, completed_chunks, last_completed_chunk, next_resume_chunk,
+            coalesce(error, earlier, '') AS error, transcript FROM g""",
     "stream_checkpoints": f"""WITH p AS (SELECT user_id AS job_id, event_type AS key, CASE WHEN {K} % 10 <> 0 THEN CAST({K} AS VARCHAR) END AS value, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events)
         SELECT job_id, key, value, seq FROM p WHERE n = 1""",
     "stream_streaks": f"WITH {USERS.replace('u AS', 'uu AS')}, {RELAPSES}, u AS (SELECT * FROM uu WHERE user_id IN (SELECT user_id FROM rel)), {streaks_of()}, {STATS}",

@@ -13,6 +13,7 @@ from ..operators import chunks as C
 from ..operators import events as E
 from ..operators import inference as I
 from ..operators import jobs as J
+from ..operators import runs as U
 from ..operators import streaks as K
 from ..sources import readers as R
 from ..sources import writers as W
@@ -305,6 +306,35 @@ def answer_batch(s, d):
     return I.answer_questions(got.withColumn("prompt", F.get_json_object("prompt", "$.messages[1].content")), echo, sleep=no_wait).drop("errors")
 
 
+def busy(content) -> tuple[str, str]:
+    """``echo`` on a bad day: every third length is refused, too."""
+    if len(content) % 3 == 0:
+        raise RuntimeError("HTTP 429")
+    return echo(content)
+
+
+class Stopped(Exception):
+    pass
+
+
+@query
+def transcription_run(s, d):
+    """A run that is stopped after its first unit, a second one with the same failing model, and a third with a better one."""
+    submissions, media, contents = V.run_inputs(s, d)
+    store = U.RunStore(s, shared_path(s, "runs"))
+    units = -(-contents.count() // 4)
+
+    def stop(number: int, unit: int) -> None:
+        raise Stopped
+
+    try:
+        U.transcription_run(submissions, media, contents, busy, store, units, sleep=no_wait, on_unit=stop)
+    except Stopped:
+        pass
+    U.transcription_run(submissions, media, contents, busy, store, units, sleep=no_wait)
+    return U.transcription_run(submissions, media, contents, echo, store, units, sleep=no_wait)
+
+
 def _stream(s, rows: DataFrame, name: str, files: int = 4) -> DataFrame:
     """Rows as a stream of several files in the shared folder."""
     path = shared_path(s, name)

@@ -101,6 +101,16 @@ def manifest_files(s, d):
     return rows.where((F.col("job_id") % 11 != 0) | (F.col("k") != 0)).select("job_id", "file_name", F.lit(1.0).alias("duration_seconds"))
 
 
+def run_inputs(s, d):
+    """Conversations as submitted media of a chunk per turn: submissions (url; each twice, and some blank), durations and contents."""
+    c = t(s, d, "conversations")
+    url = F.concat(F.lit("https://youtu.be/"), F.col("conv_id").cast("string"))
+    job = F.substring(F.sha2(url, 256), 1, 16)
+    each = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    urls = each.select(F.explode(F.array(url, F.concat(F.lit(" "), url), F.when(F.col("conv_id") % 7 == 0, " "))).alias("url"))
+    return urls, each.select(job.alias("job_id"), (F.col("n") * 120.0 - 1).alias("duration_seconds")), c.select(job.alias("job_id"), F.col("turn").cast("int").alias("chunk_idx"), F.encode("text", "utf-8").alias("content"))
+
+
 def responses(s, d):
     """An event stream per conversation, odd turns as lists of parts."""
     part = F.when(F.col("turn") % 2 == 1, F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct("text")).alias("content")).alias("delta"))).alias("choices")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
@@ -12,6 +12,11 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def replace_keys(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Replaces the rows of the keys in ``rows`` in a table of key buckets; only touched buckets are written, at once.
 
@@ -19,8 +24,7 @@ def replace_keys(rows: DataFrame, path: str, key: str, buckets: int = 64) -> Non
     """
     spark = rows.sparkSession
     new = rows.withColumn(BUCKET, bucket_of(key, buckets))
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if path_exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select(BUCKET).distinct()
         stay = old.join(F.broadcast(touched), BUCKET, "left_semi").join(new.select(key), key, "left_anti").select(*new.columns)  # at most ``buckets`` rows

@@ -7,7 +7,7 @@ import pytest
 from tapeloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
-MODEL_CALLS = {"transcribe_batch", "answer_batch"}
+MODEL_CALLS = {"transcribe_batch", "answer_batch"}  # those whose own plan calls it
 NAMES = [n for n in queries.QUERIES if not n.startswith("stream_")]
 
 
