@@ -12,28 +12,35 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import chunks, streaks
 from ..operators.events import DEFAULT_STEP, UNKNOWN_ERROR
 from ..sources.tables import BUCKET, bucket_of, replace_keys
+from .history import LOWEST, NODE_KEY, NODE_VALUE, ROW_KEY, ROW_VALUE, History
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "job_id {kind}, message string, progress double, step string, transcript string, transcript_path string, done boolean, error string, last_seq long"
 
 
+FIELDS = ("last", "message", "progress", "step", "transcript", "transcript_path", "done", "error")
+
+
 class _Fold(StatefulProcessor):
     """The last value of each field by sequence number, whatever order events come in.
 
     An error may come after later events have been folded, which then must not count. No watermark bounds how late it can be, so
-    each field keeps its values by sequence number; an error cuts them. With ``late``, errors are taken to be at most so many
-    sequence numbers late: of the values before that, each field keeps the last, and state stays bounded.
+    values stay, by sequence number; an error drops those after it. Each batch looks up only the last value of each field, see
+    ``History``. With ``late``, errors are taken to be at most so many sequence numbers late: of the values before that, each
+    field keeps the last, and state stays bounded.
     """
 
     def __init__(self, late: int | None = None):
         self.late = late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getMapState("history", "field string, seq long", "value string")
+        self.nodes = handle.getMapState("nodes", NODE_KEY, NODE_VALUE)
+        self.rows = handle.getMapState("rows", ROW_KEY, ROW_VALUE)
         self.stop = handle.getValueState("stop", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stop = self.stop.get()[0] if self.stop.exists() else None
+        known = stop = self.stop.get()[0] if self.stop.exists() else None
+        history = History(FIELDS, self.nodes, self.rows)
         for pdf in rows:
             for r in pdf.to_dict("records"):
                 seq = int(r["seq"])
@@ -41,29 +48,19 @@ class _Fold(StatefulProcessor):
                     continue
                 if r["type"] == "error":
                     stop = seq
-                    self.stop.update((stop,))
-                for field, value in self._values(r):
-                    self.history.updateValue((field, seq), (value,))
-        best: dict[str, tuple[int, str]] = {}
-        held = [(field, seq, value) for (field, seq), (value,) in self.history.iterator()]
-        gone = [(field, seq) for field, seq, _ in held if stop is not None and seq > stop]
-        held = [h for h in held if stop is None or h[1] <= stop]
-        for field, seq, value in held:
-            if field not in best or seq > best[field][0]:
-                best[field] = (seq, value)
-        if self.late is not None and held:
-            sure = max(seq for _, seq, _ in held) - self.late  # no error can come up to here any more
-            old: dict[str, int] = {}
-            for field, seq, _ in held:
-                if seq <= sure:
-                    old[field] = max(seq, old.get(field, seq))
-            gone += [(field, seq) for field, seq, _ in held if seq <= sure and seq < old[field]]
-        for k in gone:
-            self.history.removeKey(k)
-        got = lambda f: best[f][1] if f in best else None
+                history.add(seq, dict(self._values(r)))
+        if stop != known:
+            self.stop.update((stop,))
+            history.drop_after(stop)
+        best = {f: s for f in FIELDS if (s := history.last(f)) is not None}
+        if self.late is not None and best:
+            history.drop_before(max(best["last"] - self.late, LOWEST))  # no error can come up to here any more
+        history.flush()
+        said = {s: history.at(s) for s in set(best.values())}
+        got = lambda f: said[best[f]][f] if f in best else None
         yield pd.DataFrame([{
             "job_id": key[0], "message": got("message"), "progress": float(got("progress")) if "progress" in best else None, "step": got("step"), "transcript": got("transcript"),
-            "transcript_path": got("transcript_path"), "done": "done" in best, "error": got("error"), "last_seq": best["last"][0] if "last" in best else None,
+            "transcript_path": got("transcript_path"), "done": "done" in best, "error": got("error"), "last_seq": best.get("last"),
         }])
 
     @staticmethod
@@ -92,7 +89,7 @@ class _Fold(StatefulProcessor):
 def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
     """fold_events over a stream, in update mode: a row for each job that a batch touches. Needs the RocksDB state store.
 
-    Exact for any order of events, at the price of state that holds every value seen; ``late`` bounds it, see _Fold.
+    Exact for any order of events. State holds the values seen, which ``late`` bounds; the work of a batch does not grow with them.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     want = {"type": "string", "step": "string", "message": "string", "progress": "double", "transcript": "string", "transcript_path": "string", "error": "string"}
