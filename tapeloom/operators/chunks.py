@@ -80,8 +80,48 @@ def rebuild_transcripts(results: DataFrame, totals: DataFrame | None = None) ->
     if totals is not None:
         rows = rows.join(totals.select("job_id", "total_chunks"), "job_id").where("chunk_idx < total_chunks")
     kept = F.when(F.coalesce(F.col("text") != "", F.lit(False)), F.struct("chunk_idx", "text"))
-    parts = F.transform(F.sort_array(F.collect_list(kept)), lambda r: F.concat(F.lit("## Chunk "), (r["chunk_idx"] + 1).cast("string"), F.lit("\n\n"), r["text"]))
-    return rows.groupBy("job_id").agg(js_trim(F.array_join(parts, "\n\n")).alias("transcript"))
+    return rows.groupBy("job_id").agg(transcript_of(F.sort_array(F.collect_list(kept))).alias("transcript"))
+
+
+def transcript_of(texts: Column) -> Column:
+    """The transcript of an ordered array of (chunk_idx, text), trimmed and none blank."""
+    parts = F.transform(texts, lambda r: F.concat(F.lit("## Chunk "), (r["chunk_idx"] + 1).cast("string"), F.lit("\n\n"), r["text"]))
+    return js_trim(F.array_join(parts, "\n\n"))
+
+
+def chunk_words(results: DataFrame) -> DataFrame:
+    """(job_id, word, bits): which chunks of a job have a result that is not blank, 64 chunks a number.
+
+    Numbers of the same word merge by bit_or, in any order and however often: one aggregate with map-side combination, no
+    window and no sort. It may run on a stream, too.
+    """
+    idx = F.col("chunk_idx").cast("int")
+    rows = results.where(~is_blank(F.col("text")) & (idx >= 0)).select("job_id", F.floor(idx / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(chunk_idx as int) % 64)").alias("bit"))
+    return rows.groupBy("job_id", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def word_progress(totals: DataFrame, words: DataFrame) -> DataFrame:
+    """chunk_progress of (job_id, total_chunks) from ``chunk_words``: completed is a count of bits, last the highest, next the first that is not set.
+
+    A job's words are as many as its chunks by 64, and come together as one array.
+    """
+    total = F.coalesce(F.col("total_chunks"), F.lit(0)).cast("int")
+    held = words.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    rows = totals.select("job_id", total.alias("total_chunks")).join(held, "job_id", "left")
+    # of the word that the total falls in, the bits below it count
+    room = lambda w: F.col("total_chunks") - w["word"] * 64
+    below = lambda n: F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n)
+    own = lambda w: F.when((F.col("total_chunks") == 0) | (room(w) >= 64), w["bits"]).when(room(w) > 0, w["bits"].bitwiseAND(below(room(w)))).otherwise(F.lit(0).cast("long"))
+    kept = F.filter(F.transform(F.coalesce("words", F.array().cast("array<struct<word:int,bits:bigint>>")), lambda w: F.struct(w["word"].alias("word"), own(w).alias("bits"))), lambda w: w["bits"] != 0)
+    rows = rows.withColumn("words", kept)
+    top = F.element_at("words", -1)
+    high = 63 - F.length(F.regexp_extract(F.lpad(F.bin(top["bits"]), 64, "0"), "^0*", 0))
+    completed = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"]))
+    # words in order: the first gap is in the first one that is missing or whose bits are not all set
+    ones = lambda bits: F.length(F.regexp_extract(F.bin(bits), "1*$", 0))
+    first = F.aggregate("words", F.lit(0), lambda n, w: F.when(n == w["word"] * 64, n + ones(w["bits"])).otherwise(n))
+    rows = rows.select("job_id", "total_chunks", completed.alias("completed"), F.when(F.size("words") > 0, top["word"] * 64 + high).alias("last_completed"), first.alias("_first"))
+    return rows.select("job_id", "total_chunks", "completed", "last_completed", F.when((F.col("total_chunks") > 0) & (F.col("_first") < F.col("total_chunks")), F.col("_first")).alias("next_incomplete"))
 
 
 def build_manifest(files: DataFrame, durations: DataFrame, kind: str = "video", seconds: int = CHUNK_SECONDS) -> DataFrame:

@@ -60,8 +60,13 @@ def _stats() -> list[Column]:
 
 def streak_stats(streaks: DataFrame) -> DataFrame:
     """One row per user: rounded days and labels of the current, best and average streak, rank, karma, encouragement."""
+    return labelled(streaks.groupBy("user_id").agg(*_stats()))
+
+
+def labelled(stats: DataFrame) -> DataFrame:
+    """streak_stats' columns from unrounded (user_id, relapse_count, current_days, best_days, avg_days)."""
     cur, best, avg, n = (F.col(c) for c in ("current_days", "best_days", "avg_days", "relapse_count"))
-    return streaks.groupBy("user_id").agg(*_stats()).select(
+    return stats.select(
         "user_id", "relapse_count",
         S.round_days(cur).alias("current_days"), S.days_label(cur).alias("current_label"),
         S.round_days(best).alias("best_days"), S.compact_days_label(best).alias("best_label"),

@@ -263,3 +263,9 @@ ORACLE = {
         SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'new' || chr(10) WHEN t = '' THEN '' ELSE t || chr(10) END AS transcript FROM x""",
     "write_json_objects": f"SELECT {Q_JOB} AS job_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS title, '' AS source_url, '2024-02-01T00:00:00.000Z' AS \"updatedAt\" FROM documents",
 }
+ORACLE["upsert_checkpoints"] = ORACLE["stream_checkpoints"]
+ORACLE["upsert_transcripts"] = ORACLE["write_transcripts"]
+ORACLE["word_progress"] = ORACLE["chunk_progress"]
+ORACLE["stream_chunk_words"] = f"""WITH {TOTALS}, {PLAN}, done AS (SELECT DISTINCT l_orderkey AS job_id, l_linenumber - 1 AS chunk_idx FROM lineitem WHERE l_linestatus = 'F')
+        SELECT job_id, any_value(p.total_chunks) AS total_chunks, count(d.chunk_idx) AS completed, CAST(max(d.chunk_idx) AS INTEGER) AS last_completed, min(CASE WHEN d.chunk_idx IS NULL THEN p.chunk_idx END) AS next_incomplete
+        FROM plan p LEFT JOIN done d USING (job_id, chunk_idx) GROUP BY job_id"""

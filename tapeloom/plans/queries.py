@@ -17,6 +17,7 @@ from ..operators import runs as U
 from ..operators import streaks as K
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.snapshots import Snapshots
 from ..streaming import live as L
 from . import views as V
 from .scratch import shared_path
@@ -366,20 +367,43 @@ def stream_checkpoints(s, d):
     return _updates(s, L.stream_checkpoints(_stream(s, V.patches(s, d), "patches")), "checkpoints", ["job_id", "key"])
 
 
+@query
+def upsert_checkpoints(s, d):
+    """T2's sink: all patches as a stream, then as another one in other files; the table is that of either."""
+    store = Snapshots(s, shared_path(s, "checkpoint-table"), ("job_id", "key"), ("seq",))
+    for files in (4, 3):
+        L.upsert_checkpoints(_stream(s, V.patches(s, d), "patches", files), store, shared_path(s, "checkpoint-cp")).awaitTermination()
+    return store.read()
+
+
 @query
 def stream_streaks(s, d):
-    out = shared_path(s, "streaks-out")
-    L.stream_streaks(_stream(s, V.relapses(s, d), "relapses", 3), V.streak_users(s, d), NOW, shared_path(s, "relapse-store"), out, shared_path(s, "streaks-cp")).awaitTermination()
-    return s.read.parquet(out).drop("_bucket")
+    store = Snapshots(s, shared_path(s, "streaks-out"), ("user_id",))
+    L.stream_streaks(_stream(s, V.relapses(s, d), "relapses", 3), V.streak_users(s, d), NOW, store, shared_path(s, "streaks-cp")).awaitTermination()
+    return store.read()
 
 
 @query
 def stream_progress(s, d):
-    out = shared_path(s, "progress-out")
     rows = V.chunk_texts(s, d).withColumn("ingest_ts", F.timestamp_seconds(F.col("chunk_idx")))
     totals = rows.groupBy("job_id").agg((F.max("chunk_idx") + 1).alias("total_chunks"))
-    L.stream_progress(_stream(s, rows, "results", 3), totals, shared_path(s, "result-store"), out, shared_path(s, "progress-cp")).awaitTermination()
-    return s.read.parquet(out).drop("_bucket")
+    store = Snapshots(s, shared_path(s, "progress-out"), ("job_id",))
+    L.stream_progress(_stream(s, rows, "results", 3), totals, store, shared_path(s, "progress-cp")).awaitTermination()
+    return store.read()
+
+
+@query
+def word_progress(s, d):
+    p = C.word_progress(V.totals(s, d), C.chunk_words(_latest(s, d)))
+    return p.withColumn("progress", S.progress_pct(F.col("completed"), F.col("total_chunks")))
+
+
+@query
+def stream_chunk_words(s, d):
+    """T4's second form: counts only, of every result that lineitem ever had."""
+    store = Snapshots(s, shared_path(s, "words-out"), ("job_id", "word"))
+    L.stream_chunk_words(_stream(s, V.results(s, d).select("job_id", "chunk_idx", "text"), "word-results", 3), store, shared_path(s, "words-cp")).awaitTermination()
+    return C.word_progress(V.totals(s, d), store.read())
 
 
 def _folders(s, rows: DataFrame, name: str, *keys: str) -> str:
@@ -465,6 +489,17 @@ def write_transcripts(s, d):
     return s.read.parquet(path).select("job_id", "transcript")
 
 
+@query
+def upsert_transcripts(s, d):
+    """S5 in versions: the same, and every transcript anew in a commit that stops before its version appears."""
+    store = Snapshots(s, shared_path(s, "transcript-table"), ("job_id",))
+    texts = C.rebuild_transcripts(V.chunk_texts(s, d))
+    W.upsert_transcripts(texts, store)
+    W.upsert_transcripts(texts.where("job_id % 2 = 0").withColumn("transcript", F.lit("new")), store)
+    store._part(texts.withColumn("transcript", F.lit("lost")).withColumn("_commit", F.lit(9).cast("long")))
+    return store.read()
+
+
 @query
 def write_json_objects(s, d):
     path = shared_path(s, "objects")

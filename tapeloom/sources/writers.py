@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
 from ..functions.jscompat import first_truthy
+from .snapshots import Snapshots
 from .tables import replace_keys
 
 
@@ -25,6 +26,14 @@ def write_transcripts(df: DataFrame, path: str, buckets: int = 64) -> None:
     replace_keys(out, path, "job_id", buckets)
 
 
+def upsert_transcripts(df: DataFrame, store: Snapshots) -> None:
+    """Replaces the transcripts of the jobs in df (job_id, transcript) in a table with key job_id, by a new version that appears at once.
+
+    Only these rows are written, and a failure leaves all transcripts as they were.
+    """
+    store.upsert(df.select("job_id", with_last_newline(F.col("transcript")).alias("transcript")))
+
+
 def write_json_objects(df: DataFrame, path: str, updated_at: str, mode: str = "overwrite") -> None:
     """Rows as JSON documents with their time of writing, which is passed in."""
     stamped = df.withColumn("updatedAt", F.lit(updated_at))

@@ -70,6 +70,20 @@ class History:
                 return at + LOWEST
         return None
 
+    def first(self, field: str, above: int) -> int | None:
+        """The least number greater than ``above`` that has a value of the field."""
+        k, at = self.number[field], above - LOWEST
+        for level in range(8):
+            prefix, byte = at >> 8 * (level + 1), (at >> 8 * level) & 255
+            higher = self._node(level, prefix)[k] >> (byte + 1)
+            if higher:
+                at = prefix << 8 | byte + (higher & -higher).bit_length()
+                for lower in range(level - 1, -1, -1):
+                    bits = self._node(lower, at)[k]
+                    at = at << 8 | (bits & -bits).bit_length() - 1
+                return at + LOWEST
+        return None
+
     def at(self, seq: int) -> dict[str, Any]:
         got = self.rows.getValue((seq,))
         return json.loads(got[0]) if got is not None else {}

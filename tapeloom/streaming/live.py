@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import chunks, streaks
+from ..functions.jscompat import DAY_MS, js_trim
+from ..operators import chunks, jobs, streaks
 from ..operators.events import DEFAULT_STEP, UNKNOWN_ERROR
-from ..sources.tables import BUCKET, bucket_of, replace_keys
+from ..sources.snapshots import Snapshots
 from .history import LOWEST, NODE_KEY, NODE_VALUE, ROW_KEY, ROW_VALUE, History
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -105,47 +106,152 @@ def stream_checkpoints(patches: DataFrame) -> DataFrame:
     return last.select("job_id", "key", F.col("m.v.value").alias("value"), F.col("m.seq").alias("seq"))
 
 
-def _touched(stream: DataFrame, store: str, checkpoint: str, key: str, recompute: Callable[[DataFrame, DataFrame], None], available_now: bool, buckets: int) -> StreamingQuery:
-    """Adds each batch to a table in key buckets and recomputes the keys it touches from their rows in the touched buckets."""
-    schema = stream.schema
+def _upserted(stream: DataFrame, store: Snapshots, checkpoint: str, mode: str, available_now: bool, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Commits each batch to a table at once; a batch that is repeated after a failure changes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark: SparkSession = df.sparkSession
-        # by batch number, so a batch that is repeated after a failure replaces itself
-        rows = df.withColumn(BUCKET, bucket_of(key, buckets)).withColumn("_batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, "_batch").parquet(store)
-        every = spark.read.schema(rows.schema).parquet(store)
-        own = every.where(F.col("_batch") == number)
-        touched = [r[0] for r in own.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        keys = own.select(key).distinct()
-        recompute(every.where(F.col(BUCKET).isin(touched)).select(*schema.names).join(keys, key, "left_semi"), keys)
-
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        store.upsert(prepare(df), checkpoint, number)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_streaks(relapses: DataFrame, users: DataFrame, now_ms: int, store: str, out: str, checkpoint: str, available_now: bool = True, buckets: int = 64) -> StreamingQuery:
-    """Keeps streak_report rows of touched users up to date in ``out`` (partitioned by user bucket).
+def upsert_checkpoints(patches: DataFrame, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps the last value of each key of each job in ``store`` (keys job_id and key, order seq), from patches (job_id, seq, patch).
+
+    A batch writes the entries it has; whether they are the last is settled by their numbers, so batches may come repeated and in
+    any order, and the stream itself holds no state.
+    """
+    return _upserted(patches, store, checkpoint, "append", available_now, jobs.checkpoint_entries)
+
+
+class _Streaks(StatefulProcessor):
+    """A user's relapses in order, and how many completed streaks of each length there are, both looked up by range.
+
+    A relapse ends the streak that it falls in and begins another, so it changes two lengths, however late it comes.
+    """
+
+    def __init__(self, now_ms: int):
+        self.now = now_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at_nodes = handle.getMapState("at_nodes", NODE_KEY, NODE_VALUE)
+        self.at_rows = handle.getMapState("at_rows", ROW_KEY, ROW_VALUE)
+        self.length_nodes = handle.getMapState("length_nodes", NODE_KEY, NODE_VALUE)
+        self.length_rows = handle.getMapState("length_rows", ROW_KEY, ROW_VALUE)
+        self.count = handle.getValueState("count", "started long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, n = self.count.get() if self.count.exists() else (None, 0)
+        at = History(("at",), self.at_nodes, self.at_rows)
+        lengths = History(("n",), self.length_nodes, self.length_rows)
+
+        def change(length: int, by: int) -> None:
+            held = lengths.at(length).get("n", 0) + by
+            if held:
+                lengths.add(length, {"n": held})
+            else:
+                lengths.drop("n", length)
+
+        for pdf in rows:
+            for ts, start in zip(pdf["ts_ms"].tolist(), pdf["started_ms"].tolist()):
+                started = int(start) if started is None else started
+                if ts != ts or ts is None or not started < int(ts) <= self.now:
+                    continue
+                ts = int(ts)
+                before = at.last("at", ts)
+                if before == ts:
+                    continue
+                begin, end = started if before is None else before, at.first("at", ts)
+                if end is not None:
+                    change(end - begin, -1)
+                    change(end - ts, 1)
+                change(ts - begin, 1)
+                at.add(ts, {"at": 1})
+                n += 1
+        at.flush()
+        lengths.flush()
+        self.count.update((started, n))
+        last = at.last("at")
+        current = max(0, self.now - (started if last is None else last))
+        best = lengths.last("n")
+        yield pd.DataFrame([{"user_id": key[0], "relapse_count": n, "current_ms": current, "best_ms": max(current, best or 0), "total_ms": max(0, self.now - started)}])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_streak_stats(relapses: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
+    """streak_stats over a stream of relapses (user_id, ts_ms), in update mode: a row for each user that a batch touches.
 
-    Late and out-of-order relapses are exact: a touched user is recomputed from all its relapses. A batch reads the
-    buckets it touches, so many ``buckets`` suit streams that touch few users at a time.
+    Exact for relapses in any order, repeated ones included. A batch's work follows the rows it has, not the relapses that
+    their users have had. users (user_id, started_ms) is a table; relapses of others are left out. Needs the RocksDB state store.
     """
+    relapses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = relapses.schema["user_id"].dataType.simpleString()
+    rows = relapses.select("user_id", "ts_ms").join(users.select("user_id", "started_ms"), "user_id")
+    held = rows.groupBy("user_id").transformWithStateInPandas(_Streaks(now_ms), f"user_id {kind}, relapse_count long, current_ms long, best_ms long, total_ms long", "update", "None")
+    day = F.lit(float(DAY_MS))
+    raw = held.select("user_id", "relapse_count", *((F.col(f"{c}_ms") / day).alias(f"{c}_days") for c in ("current", "best")), (F.col("total_ms") / day / (F.col("relapse_count") + 1)).alias("avg_days"))
+    return streaks.labelled(raw)  # streaks tile the time from the start to now, so their mean needs their number only
+
+
+def stream_streaks(relapses: DataFrame, users: DataFrame, now_ms: int, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps stream_streak_stats' rows in ``store`` (key user_id)."""
+    return _upserted(stream_streak_stats(relapses, users, now_ms), store, checkpoint, "update", available_now)
 
-    def recompute(rows: DataFrame, keys: DataFrame) -> None:
-        own = users.join(keys, "user_id", "left_semi")
-        report = streaks.streak_stats(streaks.build_streaks(rows, own, now_ms))
-        replace_keys(report, out, "user_id", buckets)
 
-    return _touched(relapses.select("user_id", "ts_ms"), store, checkpoint, "user_id", recompute, available_now, buckets)
+class _Texts(StatefulProcessor):
+    """A job's latest text per chunk."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.texts = handle.getMapState("texts", "chunk_idx int", "text string, at string")
 
-def stream_progress(results: DataFrame, totals: DataFrame, store: str, out: str, checkpoint: str, available_now: bool = True, buckets: int = 64) -> StreamingQuery:
-    """Keeps each touched job's progress and transcript up to date in ``out``, from results (job_id, chunk_idx, text, ingest_ts)."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, tuple[str, str]] = {}
+        for pdf in rows:
+            for idx, text, at in zip(pdf["chunk_idx"].tolist(), pdf["text"], pdf["at"]):
+                new[int(idx)] = max(new.get(int(idx), ("", "")), (at or "", text or ""))
+        for idx, (at, text) in new.items():
+            held = self.texts.getValue((idx,))
+            if held is None or (held[1], held[0]) < (at, text):
+                self.texts.updateValue((idx,), (text, at))
+        texts = sorted((k[0], v[0]) for k, v in self.texts.iterator())
+        yield pd.DataFrame({"job_id": [key[0]], "texts": [[{"chunk_idx": k, "text": v} for k, v in texts]]})
 
-    def recompute(rows: DataFrame, keys: DataFrame) -> None:
-        latest = chunks.latest_result(rows)
-        own = totals.join(keys, "job_id", "left_semi")
-        done = chunks.chunk_progress(own, latest).join(chunks.rebuild_transcripts(latest, own), "job_id", "left")
-        replace_keys(done, out, "job_id", buckets)
+    def close(self) -> None:
+        pass
 
-    return _touched(results, store, checkpoint, "job_id", recompute, available_now, buckets)
+
+def stream_transcripts(results: DataFrame, totals: DataFrame) -> DataFrame:
+    """chunk_progress and rebuild_transcripts over a stream of results (job_id, chunk_idx, text, ingest_ts), in update mode.
+
+    A row (job_id, total_chunks, completed, last_completed, next_incomplete, transcript) for each job that a batch touches. The
+    latest result of a chunk counts, of equal times the greatest text. A batch reads the texts of the jobs it touches, since
+    their transcripts are its result; where counts do, stream_chunk_words reads none. Needs the RocksDB state store.
+    """
+    results.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = results.schema["job_id"].dataType.simpleString()
+    rows = results.select("job_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), "text", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    held = rows.groupBy("job_id").transformWithStateInPandas(_Texts(), f"job_id {kind}, texts array<struct<chunk_idx int, text string>>", "update", "None")
+    known = held.join(totals.select("job_id", F.coalesce("total_chunks", F.lit(0)).cast("int").alias("total_chunks")), "job_id")
+    total = F.col("total_chunks")
+    trimmed = F.transform("texts", lambda r: F.struct(r["chunk_idx"].alias("chunk_idx"), js_trim(r["text"]).alias("text")))
+    known = known.withColumn("texts", F.filter(trimmed, lambda r: (r["text"] != "") & ((total == 0) | (r["chunk_idx"] < total))))
+    done = F.transform("texts", lambda r: r["chunk_idx"])
+    missing = F.when(total > 0, F.array_min(F.array_except(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))), done)))
+    own = F.filter("texts", lambda r: r["chunk_idx"] < total)
+    return known.select("job_id", "total_chunks", F.size("texts").cast("long").alias("completed"), F.array_max(done).alias("last_completed"), missing.alias("next_incomplete"), chunks.transcript_of(own).alias("transcript"))
+
+
+def stream_progress(results: DataFrame, totals: DataFrame, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps stream_transcripts' rows in ``store`` (key job_id)."""
+    return _upserted(stream_transcripts(results, totals), store, checkpoint, "update", available_now)
+
+
+def stream_chunk_words(results: DataFrame, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps which chunks of each job are done in ``store`` (keys job_id and word), as chunks.chunk_words; state is 64 chunks a number.
+
+    A chunk that was done stays done. chunks.word_progress gives the counts of any set of jobs.
+    """
+    return _upserted(chunks.chunk_words(results), store, checkpoint, "update", available_now)

@@ -5,8 +5,11 @@ import random
 import pandas as pd
 import pytest
 
+from tapeloom.operators import chunks, streaks
 from tapeloom.streaming import history, live
 
+DAY = 86_400_000
+
 
 class State:
     """Keyed state as a dictionary that counts what is asked of it."""
@@ -121,3 +124,57 @@ def test_a_late_error_cuts_and_each_value_goes_once():
     before = f.nodes.asked + f.rows.asked
     feed(f, [event(rnd, 5000, errors=0)])  # after the end: nothing is kept of it
     assert f.nodes.asked + f.rows.asked - before < 150 and len(f.rows.held) == 701
+
+
+def test_streaks_by_range_equal_the_batch_and_read_what_they_touch(spark):
+    rnd = random.Random(5)
+    now, started = 400 * DAY, 10 * DAY
+    instants = [rnd.randrange(0, 420) * DAY + rnd.choice([0, 0, 1, DAY // 2]) for _ in range(600)] + [started, now, now + 1]
+    f = live._Streaks(now)
+    states = [State() for _ in range(4)]
+    f.at_nodes, f.at_rows, f.length_nodes, f.length_rows = states
+    f.count = Single()
+    work, got = [], None
+    for n in range(0, len(instants), 3):
+        before = sum(x.asked for x in states)
+        pdf = pd.DataFrame({"ts_ms": instants[n : n + 3], "started_ms": started})
+        (row,) = f.handleInputRows(("u",), iter([pdf]), None)
+        got = row.to_dict("records")[0]
+        work.append(sum(x.asked for x in states) - before)
+        kept = sorted({t for t in instants[: n + 3] if started < t <= now})
+        ends = [started, *kept, now]
+        gaps = [b - a for a, b in zip(ends, ends[1:])]
+        assert (got["relapse_count"], got["current_ms"], got["best_ms"], got["total_ms"]) == (len(kept), gaps[-1], max(gaps), now - started)
+    assert max(work[-50:]) <= max(work[:50]) + 20
+    users = spark.createDataFrame([("u", started)], "user_id string, started_ms long")
+    batch = streaks.build_streaks(spark.createDataFrame([("u", t) for t in instants], "user_id string, ts_ms long"), users, now)
+    raw = spark.createDataFrame([("u", got["relapse_count"], got["current_ms"] / DAY, got["best_ms"] / DAY, got["total_ms"] / DAY / (got["relapse_count"] + 1))], "user_id string, relapse_count long, current_days double, best_days double, avg_days double")
+    assert streaks.labelled(raw).first() == streaks.streak_stats(batch).first()
+
+
+def test_first_and_last_find_what_a_sorted_list_has():
+    rnd = random.Random(6)
+    h = history.History(("x",), State(), State())
+    held = set()
+    for _ in range(600):
+        n = rnd.choice([rnd.randrange(300), rnd.randrange(-(2**63), 2**63), history.HIGHEST])
+        if n in held and rnd.random() < 0.5:
+            h.drop("x", n)
+            held.discard(n)
+        else:
+            h.add(n, {"x": 1})
+            held.add(n)
+        q = rnd.choice([n, rnd.randrange(300)])
+        assert h.first("x", q) == min((v for v in held if v > q), default=None)
+        assert h.last("x", q) == max((v for v in held if v <= q), default=None)
+
+
+def test_words_of_chunks_count_like_the_windows(spark):
+    sets = {1: range(70), 2: [0, 1, 3, 200], 3: range(63), 4: range(64), 5: [63], 6: [], 7: [64, 65], 8: range(128), 9: [5], 10: [*range(64), *range(65, 130)]}
+    results = [(j, k, "x") for j, ks in sets.items() for k in ks] + [(2, 2, " "), (99, 0, "other")]
+    totals = [(1, 70), (2, 4), (3, 64), (4, 64), (5, 64), (6, 3), (7, 66), (8, 127), (9, None), (10, 130), (11, 63)] + [(12, 0)]
+    t = spark.createDataFrame(totals, "job_id long, total_chunks int")
+    r = spark.createDataFrame(results + results[:40], "job_id long, chunk_idx int, text string").repartition(3)
+    assert sorted(chunks.word_progress(t, chunks.chunk_words(r)).collect()) == sorted(chunks.chunk_progress(t, r).collect())
+    plan = chunks.chunk_words(r)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
