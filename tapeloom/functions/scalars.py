@@ -127,7 +127,9 @@ def limit_text(text: Column, n: int = QUESTION_LIMIT) -> Column:
 def safe_filename(title: Column, uploader: Column, platform: Column) -> Column:
     """title-uploader-platform without empty parts, forbidden characters or white space, of at most 120 characters."""
     raw = F.concat_ws("-", *(F.nullif(c, F.lit("")) for c in (title, uploader, platform)))
-    return F.substring(F.regexp_replace(F.regexp_replace(raw, r'[\\/:*?"<>|]', "_"), f"{JS_WS}+", "_"), 1, FILE_NAME_LIMIT)
+    # each run of white space and each other character gives one of the name, so no more of them than it may have are looked at
+    head = F.regexp_extract(raw, f"(?s)^(?:{JS_WS}++|[^{JS_WS[1:]}){{0,{FILE_NAME_LIMIT}}}", 0)
+    return F.substring(F.regexp_replace(F.regexp_replace(head, r'[\\/:*?"<>|]', "_"), f"{JS_WS}+", "_"), 1, FILE_NAME_LIMIT)
 
 
 def percent_encoded(name: Column) -> Column:

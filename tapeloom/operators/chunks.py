@@ -89,6 +89,19 @@ def transcript_of(texts: Column) -> Column:
     return js_trim(F.array_join(parts, "\n\n"))
 
 
+def ordered_texts(results: DataFrame) -> DataFrame:
+    """(job_id, texts): each job's chunks that are not blank, trimmed and in order, of results with one row per chunk."""
+    kept = F.struct(F.col("chunk_idx").cast("int").alias("chunk_idx"), js_trim(F.col("text")).alias("text"))
+    return results.where(~is_blank(F.col("text"))).groupBy("job_id").agg(F.sort_array(F.collect_list(kept)).alias("texts"))
+
+
+def text_counts(texts: Column, total: Column) -> tuple[Column, Column, Column]:
+    """completed, last_completed and next_incomplete, as chunk_progress has them, of ordered_texts' array and a total (0: unknown)."""
+    done = F.transform(F.filter(texts, lambda r: (total == 0) | (r["chunk_idx"] < total)), lambda r: r["chunk_idx"])
+    missing = F.array_min(F.array_except(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))), done))
+    return F.size(done).cast("long"), F.array_max(done), F.when(total > 0, missing)
+
+
 def chunk_words(results: DataFrame) -> DataFrame:
     """(job_id, word, bits): which chunks of a job have a result that is not blank, 64 chunks a number.
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,14 +35,56 @@ def with_retry(call: Callable, most: int = MAX_ATTEMPTS, backoff_ms: int = BACKO
     return run
 
 
-def _answers(rows: DataFrame, keys: list[str], payload: str, model: Callable, max_parallelism: int | None, fail_fast: bool, sleep) -> DataFrame:
+class Pace:
+    """At most ``rate`` calls a second by the clock, in order, whichever threads they come from; a burst is spread out."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep = 1 / rate, clock, sleep
+        self.lock, self.free = threading.Lock(), float("-inf")
+
+    def wait(self) -> None:
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.free)
+            self.free = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+    def paced(self, call: Callable) -> Callable:
+        def run(x):
+            self.wait()
+            return call(x)
+
+        return run
+
+
+@dataclass(frozen=True)
+class Budget:
+    """How hard the model may be called: ``calls_per_second`` over all tasks, and ``at_a_time`` calls in a task.
+
+    The rate is shared out over the tasks that can run side by side (max_parallelism), retries included. A task calls its rows
+    concurrently, in order of their slots, so slow answers don't keep the rate from being used.
+    """
+
+    calls_per_second: float | None = None
+    at_a_time: int = 1
+
+
+def _answers(rows: DataFrame, keys: list[str], payload: str, model: Callable, max_parallelism: int | None, fail_fast: bool, sleep, budget: Budget = Budget()) -> DataFrame:
+    if budget.calls_per_second and not max_parallelism:
+        raise ValueError("a rate is shared over max_parallelism tasks")
     fields = [rows.schema[k] for k in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", raw string, content_type string, errors array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(model, sleep=sleep)
+        own = Pace(budget.calls_per_second / max_parallelism).paced(model) if budget.calls_per_second else model
+        call = with_retry(own, sleep=sleep)
         for pdf in batches:
-            got = [call(x) for x in pdf[payload]]
+            if budget.at_a_time > 1:
+                with ThreadPoolExecutor(budget.at_a_time) as pool:
+                    got = list(pool.map(call, pdf[payload]))
+            else:
+                got = [call(x) for x in pdf[payload]]
             if fail_fast and any(v is None for v, _ in got):
                 raise RuntimeError(next(e[-1] for v, e in got if v is None))
             pairs = [v if isinstance(v, tuple) else (v, "") for v, _ in got]
@@ -53,18 +98,19 @@ def _answers(rows: DataFrame, keys: list[str], payload: str, model: Callable, ma
     return called.select(*keys, F.when(~failed, answer["text"]).alias("text"), F.when(failed, F.element_at("errors", -1)).otherwise(answer["error"]).alias("error"), (F.size("errors") + F.when(failed, 0).otherwise(1)).alias("attempts"), "errors")
 
 
-def transcribe_chunks(pending: DataFrame, model: Callable, max_parallelism: int | None = None, fail_fast: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def transcribe_chunks(pending: DataFrame, model: Callable, max_parallelism: int | None = None, fail_fast: bool = False, sleep: Callable[[float], None] = time.sleep, budget: Budget = Budget()) -> DataFrame:
     """(job_id, chunk_idx, text, error, attempts, errors) of (job_id, chunk_idx, content): model(content) gives the raw response.
 
-    Chunks are independent, so partitions run side by side; ``max_parallelism`` bounds the calls at a time. A failed chunk is a
-    row with an error, unless ``fail_fast``. A repeated task repeats its calls; results are keyed by chunk, the latest counts.
+    Chunks are independent, so partitions run side by side; ``max_parallelism`` bounds the tasks at a time, ``budget`` the calls a
+    second and at a time. A failed chunk is a row with an error, unless ``fail_fast``. A repeated task repeats its calls; results are
+    keyed by chunk, the latest counts. runs.transcription_run commits bounded units, so that little is repeated.
     """
-    return _answers(pending, ["job_id", "chunk_idx"], "content", model, max_parallelism, fail_fast, sleep)
+    return _answers(pending, ["job_id", "chunk_idx"], "content", model, max_parallelism, fail_fast, sleep, budget)
 
 
-def answer_questions(requests: DataFrame, model: Callable, max_parallelism: int | None = None, fail_fast: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def answer_questions(requests: DataFrame, model: Callable, max_parallelism: int | None = None, fail_fast: bool = False, sleep: Callable[[float], None] = time.sleep, budget: Budget = Budget()) -> DataFrame:
     """(question_id, text, error, attempts, errors) of requests with code 200: model(prompt) gives the raw response."""
-    return _answers(requests.where("code = 200"), ["question_id"], "prompt", model, max_parallelism, fail_fast, sleep)
+    return _answers(requests.where("code = 200"), ["question_id"], "prompt", model, max_parallelism, fail_fast, sleep, budget)
 
 
 def attempt_rows(results: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.jscompat import first_truthy, js_trim
-from .chunks import chunk_progress
+from .chunks import ordered_texts, text_counts, transcript_of
 
 CHECKPOINT_KEYS = ("status", "sourceUrl", "title", "totalChunks", "completedChunks", "currentChunk", "lastCompletedChunk", "error", "lastChunkError", "transcribeAttempt", "updatedAt")
 
@@ -25,9 +25,11 @@ def fold_checkpoints(patches: DataFrame, keys: tuple[str, ...] = CHECKPOINT_KEYS
     return checkpoint_entries(patches).groupBy("job_id").agg(*picked)
 
 
-def job_status(jobs: DataFrame, checkpoints: DataFrame, metadata: DataFrame, manifests: DataFrame, results: DataFrame, transcripts: DataFrame) -> DataFrame:
+def job_status(jobs: DataFrame, checkpoints: DataFrame, metadata: DataFrame, manifests: DataFrame, results: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
     """One row per job of ``jobs`` (job_id): defaults and fall-backs as a status page shows them.
 
+    Counts and, without ``transcripts``, the transcript come from one aggregate of the results, which are read once.
+
     checkpoints: columns of fold_checkpoints; metadata: (job_id, source_url, title, updated_at); manifests: (job_id,
     total_chunks); results: (job_id, chunk_idx, text), one per chunk; transcripts: (job_id, transcript).
     """
@@ -37,9 +39,13 @@ def job_status(jobs: DataFrame, checkpoints: DataFrame, metadata: DataFrame, man
     base = jobs.select("job_id").join(c, "job_id", "left").join(m, "job_id", "left").join(f, "job_id", "left")
     number = lambda k: F.col(k).try_cast("int")
     base = base.withColumn("total_chunks", F.coalesce(F.nullif(number("c_totalChunks"), F.lit(0)), F.nullif(F.col("f_total"), F.lit(0)), F.lit(0)))
-    done = chunk_progress(base.select("job_id", "total_chunks"), results).drop("total_chunks")
-    t = transcripts.select("job_id", S.transcript_preview(F.coalesce("transcript", F.lit(""))).alias("transcript_preview"))
-    out = base.join(done, "job_id", "left").join(t, "job_id", "left")
+    out = base.join(ordered_texts(results), "job_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<struct<chunk_idx:int,text:string>>")))
+    if transcripts is None:
+        out = out.withColumn("transcript_preview", S.transcript_preview(transcript_of(F.col("texts"))))
+    else:
+        out = out.join(transcripts.select("job_id", S.transcript_preview(F.coalesce("transcript", F.lit(""))).alias("transcript_preview")), "job_id", "left")
+    completed, last, following = text_counts(F.col("texts"), F.col("total_chunks"))
+    out = out.withColumns({"completed": completed, "last_completed": last, "next_incomplete": following}).drop("texts")
     text = lambda *ks: F.coalesce(first_truthy(*(F.col(k) for k in ks)), F.lit(""))
     current = number("c_currentChunk")
     return out.select(

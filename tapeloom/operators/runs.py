@@ -51,7 +51,7 @@ class RunStore:
         return 1 + (last or 0)
 
 
-def _called(store: RunStore, run: int, plan: DataFrame, contents: DataFrame, model: Callable, unit_chunks: int, max_parallelism: int | None, sleep: Callable[[float], None], on_unit: Callable[[int, int], None] | None) -> None:
+def _called(store: RunStore, run: int, plan: DataFrame, contents: DataFrame, model: Callable, unit_chunks: int, max_parallelism: int | None, sleep: Callable[[float], None], on_unit: Callable[[int, int], None] | None, budget: inference.Budget) -> None:
     """Rounds of units until no planned chunk is without a result that this run has not tried."""
     number = 0
     while True:
@@ -64,7 +64,7 @@ def _called(store: RunStore, run: int, plan: DataFrame, contents: DataFrame, mod
         for k in range(units):
             # what is pending is looked up again for each unit, so that nothing committed meanwhile is called
             own = todo.where(unit == k).join(contents, ["job_id", "chunk_idx"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
-            got = inference.transcribe_chunks(own, model, max_parallelism, sleep=sleep)
+            got = inference.transcribe_chunks(own, model, max_parallelism, sleep=sleep, budget=budget)
             store.add("answers", got.select("job_id", "chunk_idx", "text", "error", F.col("attempts").cast("int").alias("attempts"), "errors", F.lit(run).cast("long").alias("run"), F.lit(number).alias("round")))
             if on_unit:
                 on_unit(number, k)
@@ -83,7 +83,7 @@ def _patches(store: RunStore, run: int, plan: DataFrame, progress: DataFrame) ->
     return rows.select("job_id", F.lit(run).cast("long").alias("seq"), F.when(F.col("error").isNull(), complete).otherwise(failed).alias("patch"))
 
 
-def transcription_run(submissions: DataFrame, media: DataFrame, contents: DataFrame, model: Callable, store: RunStore, unit_chunks: int = 10_000, max_parallelism: int | None = None, sleep: Callable[[float], None] = time.sleep, on_unit: Callable[[int, int], None] | None = None, seconds: int = chunks.CHUNK_SECONDS) -> DataFrame:
+def transcription_run(submissions: DataFrame, media: DataFrame, contents: DataFrame, model: Callable, store: RunStore, unit_chunks: int = 10_000, max_parallelism: int | None = None, sleep: Callable[[float], None] = time.sleep, on_unit: Callable[[int, int], None] | None = None, seconds: int = chunks.CHUNK_SECONDS, budget: inference.Budget = inference.Budget()) -> DataFrame:
     """Brings every submitted job as far as the model lets it, from what earlier runs have stored; one row per job.
 
     submissions: (url); media: (job_id, duration_seconds); contents: (job_id, chunk_idx, content binary); job_id is that of
@@ -100,7 +100,7 @@ def transcription_run(submissions: DataFrame, media: DataFrame, contents: DataFr
     known, _ = jobs.dedupe_submissions(submissions)
     plan = chunks.plan_chunks(media.join(known, "job_id", "left_semi"), seconds)
     run = store.next_run()
-    _called(store, run, plan, contents, model, unit_chunks, max_parallelism, sleep, on_unit)
+    _called(store, run, plan, contents, model, unit_chunks, max_parallelism, sleep, on_unit, budget)
     totals = plan.where("chunk_idx = 0").select("job_id", "total_chunks")
     results = store.results()
     progress = chunks.chunk_progress(totals, results)

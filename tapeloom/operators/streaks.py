@@ -1,7 +1,7 @@
 """Streak analytics per user: normalised relapses, streaks, statistics, progress points and reports.
 
 Tables: users (user_id, started_ms), relapses (user_id, ts_ms), both in milliseconds since 1970; ``now_ms`` is an argument.
-Everything after the join shares one exchange on user_id.
+Streaks are ordered per user and stretch of time; statistics combine before their exchange on user_id.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.jscompat import DAY_MS
 
+#: Stretches of time in which a user's streaks are ordered.
+BUCKET_MS = 30 * DAY_MS
 SEED_START_DAYS, SEED_RELAPSE_DAYS, INVALID_START_DAYS = 34, (31, 30, 27, 19, 12, 7), 13
 
 
@@ -36,14 +38,24 @@ def normalize_relapses(relapses: DataFrame, users: DataFrame, now_ms: int) -> Da
     return joined.select("user_id", "ts_ms").distinct()
 
 
-def build_streaks(relapses: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
-    """(user_id, id, start_ms, end_ms, relapse_ms, days, current): one streak up to each relapse and the current one."""
-    ends = normalize_relapses(relapses, users, now_ms).select("user_id", F.col("ts_ms").alias("end_ms"), F.lit(False).alias("current"), F.lit(None).cast("long").alias("started_ms"))
+def build_streaks(relapses: DataFrame, users: DataFrame, now_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """(user_id, id, start_ms, end_ms, relapse_ms, days, current): one streak up to each relapse and the current one.
+
+    A user's streaks are ordered in stretches of ``bucket_ms``, each of which may be another task's; how many came before a
+    stretch, and where the last of them ended, is found among the stretches alone. So a user with a third of all relapses fills
+    as many tasks as stretches.
+    """
+    joined = relapses.join(users, "user_id").where((F.col("ts_ms") > F.col("started_ms")) & (F.col("ts_ms") <= now_ms))
+    ends = joined.select("user_id", "ts_ms", "started_ms").distinct().select("user_id", F.col("ts_ms").alias("end_ms"), F.lit(False).alias("current"), "started_ms")
     ends = ends.unionByName(users.select("user_id", F.lit(now_ms).cast("long").alias("end_ms"), F.lit(True).alias("current"), "started_ms"))
-    order = Window.partitionBy("user_id").orderBy("end_ms", "current")
-    started = F.max("started_ms").over(Window.partitionBy("user_id"))
-    start = F.coalesce(F.lag("end_ms").over(order), started)
-    out = ends.select("user_id", F.row_number().over(order).alias("id"), start.alias("start_ms"), "end_ms", "current")
+    ends = ends.withColumn("_bucket", F.floor(F.col("end_ms") / bucket_ms))
+    inside = Window.partitionBy("user_id", "_bucket").orderBy("end_ms", "current")
+    rows = ends.select("*", F.lag("end_ms").over(inside).alias("_before"), F.row_number().over(inside).alias("_n"))
+    order = Window.partitionBy("user_id").orderBy("_bucket")
+    parts = ends.groupBy("user_id", "_bucket").agg(F.count("*").alias("n"), F.max("end_ms").alias("last"))
+    parts = parts.select("user_id", "_bucket", F.lag("last").over(order).alias("_last"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skipped"))
+    start = F.coalesce("_before", "_last", "started_ms")
+    out = rows.join(parts, ["user_id", "_bucket"]).select("user_id", (F.col("_skipped") + F.col("_n")).cast("int").alias("id"), start.alias("start_ms"), "end_ms", "current")
     days = F.greatest(F.lit(0.0), (F.col("end_ms") - F.col("start_ms")) / F.lit(float(DAY_MS)))
     return out.select("user_id", "id", "start_ms", "end_ms", F.when(~F.col("current"), F.col("end_ms")).alias("relapse_ms"), days.alias("days"), "current")
 

@@ -180,8 +180,7 @@ def _status(s, d):
     cp = o.where(k % 4 != 0).select(k.alias("job_id"), F.when(F.col("o_orderstatus") == "O", "transcribing").when(F.col("o_orderstatus") == "F", "complete").alias("status"), F.when(k % 3 != 0, total).alias("totalChunks"), F.when(F.col("o_orderstatus") == "O", (k % 5).cast("string")).alias("currentChunk"), F.when(k % 6 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.when(k % 9 == 0, "HTTP 503").alias("error"))
     meta = o.where(k % 5 != 0).select(k.alias("job_id"), F.concat(F.lit("https://youtu.be/"), k.cast("string")).alias("source_url"), F.lit("stored").alias("title"), F.lit("2024-01-01").alias("updated_at"))
     man = o.where(k % 2 == 0).select(k.alias("job_id"), (k % 7 + 1).cast("int").alias("total_chunks"))
-    res = _latest(s, d)
-    return J.job_status(jobs, cp, meta, man, res, C.rebuild_transcripts(res))
+    return J.job_status(jobs, cp, meta, man, _latest(s, d))
 
 
 @query

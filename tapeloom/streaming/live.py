@@ -237,11 +237,10 @@ def stream_transcripts(results: DataFrame, totals: DataFrame) -> DataFrame:
     known = held.join(totals.select("job_id", F.coalesce("total_chunks", F.lit(0)).cast("int").alias("total_chunks")), "job_id")
     total = F.col("total_chunks")
     trimmed = F.transform("texts", lambda r: F.struct(r["chunk_idx"].alias("chunk_idx"), js_trim(r["text"]).alias("text")))
-    known = known.withColumn("texts", F.filter(trimmed, lambda r: (r["text"] != "") & ((total == 0) | (r["chunk_idx"] < total))))
-    done = F.transform("texts", lambda r: r["chunk_idx"])
-    missing = F.when(total > 0, F.array_min(F.array_except(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))), done)))
+    known = known.withColumn("texts", F.filter(trimmed, lambda r: r["text"] != ""))
+    completed, last, following = chunks.text_counts(F.col("texts"), total)
     own = F.filter("texts", lambda r: r["chunk_idx"] < total)
-    return known.select("job_id", "total_chunks", F.size("texts").cast("long").alias("completed"), F.array_max(done).alias("last_completed"), missing.alias("next_incomplete"), chunks.transcript_of(own).alias("transcript"))
+    return known.select("job_id", "total_chunks", completed.alias("completed"), last.alias("last_completed"), following.alias("next_incomplete"), chunks.transcript_of(own).alias("transcript"))
 
 
 def stream_progress(results: DataFrame, totals: DataFrame, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:

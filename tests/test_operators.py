@@ -186,3 +186,61 @@ def test_submissions_and_lookups(spark):
     assert job.platform == "youtube" and bad.count() == 2
     req = spark.createDataFrame([(1, job.job_id, None), (2, "nope", "https://youtu.be/1"), (3, None, " https://youtu.be/1"), (4, "", ""), (5, None, "https://youtu.be/2")], "n int, job_id string, url string")
     assert {r.n: r.code for r in jobs.locate_job(req, good).collect()} == {1: 200, 2: 400, 3: 200, 4: 400, 5: 404}
+
+
+def test_rate_is_kept_by_the_clock():
+    class Clock:
+        now = 0.0
+
+        def __call__(self):
+            return self.now
+
+        def sleep(self, s):
+            self.now += s
+
+    clock, times = Clock(), []
+    call = inference.with_retry(inference.Pace(4, clock, clock.sleep).paced(lambda x: times.append(clock.now) or (_ for _ in ()).throw(RuntimeError("429")) if x == "busy" else times.append(clock.now)), sleep=clock.sleep)
+    for x in ["a", "b", "busy", "c"]:
+        call(x)
+    assert len(times) == 6 and all(b - a >= 0.25 - 1e-9 for a, b in zip(times, times[1:]))  # retries count, too
+    clock.sleep(100)
+    call("d")
+    call("e")
+    assert times[-1] - times[-2] == 0.25  # what was not used is not saved up
+
+
+def test_concurrent_calls_keep_their_rows_and_share_the_rate(spark, tmp_path):
+    import time
+
+    log = str(tmp_path / "calls")
+
+    def model(content):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        time.sleep(0.2)
+        return json.dumps({"output": {"text": bytes(content).decode()}})
+
+    rows = [(j, c, bytearray(f"{j}-{c}".encode())) for j in range(4) for c in range(6)]
+    df = spark.createDataFrame(rows, "job_id long, chunk_idx int, content binary")
+    out = inference.transcribe_chunks(df, model, max_parallelism=2, budget=inference.Budget(40, 8))
+    assert {(r.job_id, r.chunk_idx): r.text for r in out.collect()} == {(j, c): f"{j}-{c}" for j, c, _ in rows}
+    times = sorted(map(float, open(log).read().split()))
+    assert len(times) == 24 and max(sum(t <= u < t + 0.5 for u in times) for t in times) <= 24 and times[-1] - times[0] >= 0.4
+    with pytest.raises(ValueError, match="max_parallelism"):
+        inference.transcribe_chunks(df, model, budget=inference.Budget(40))
+
+
+def test_a_hot_user_fills_many_tasks(spark):
+    now, started = 2_000 * 86_400_000, 0
+    rnd = random.Random(8)
+    rows = [("hot", rnd.randrange(1, now)) for _ in range(3000)] + [(f"u{k}", rnd.randrange(1, now)) for k in range(20)]
+    users = spark.createDataFrame([(u, started) for u in sorted({u for u, _ in rows} | {"none"})], "user_id string, started_ms long")
+    rel = spark.createDataFrame(rows, "user_id string, ts_ms long")
+    got = streaks.build_streaks(rel, users, now)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") and "hashpartitioning(user_id" in plan and "_bucket" in plan
+    assert rel.where("user_id = 'hot'").groupBy(F.floor(F.col("ts_ms") / streaks.BUCKET_MS)).count().agg(F.max("count")).first()[0] < 3000 / 20
+    one = streaks.build_streaks(rel, users, now, bucket_ms=10 * now)  # all in one stretch
+    assert sorted(got.collect()) == sorted(one.collect())
+    ends = [0, *sorted({t for u, t in rows if u == "hot"}), now]
+    assert sorted((r.id, r.start_ms, r.end_ms) for r in got.where("user_id = 'hot'").collect()) == [(k + 1, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:]))]

@@ -28,3 +28,8 @@ def test_scans_are_pruned(spark):
 def test_streaks_shuffle_by_user_only(spark):
     plan = queries.QUERIES["streaks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"hashpartitioning\((\w+)#", plan)) == {"user_id"}
+
+
+def test_a_status_page_reads_results_once(spark):
+    plan = queries.QUERIES["job_status"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and len(re.findall(r"Relation \[l_orderkey", plan)) == 1
