@@ -30,8 +30,8 @@ def plan_from_totals(totals: DataFrame) -> DataFrame:
 
 
 def latest_result(results: DataFrame, *order: Column) -> DataFrame:
-    """One row per (job_id, chunk_idx), the last by ``order`` (default ingest_ts): a later result overwrites."""
-    newest = Window.partitionBy("job_id", "chunk_idx").orderBy(*(order or (F.desc("ingest_ts"),)))
+    """One row per (job_id, chunk_idx), the last by ``order`` (default ingest_ts, of equal times the greatest text): a later result overwrites."""
+    newest = Window.partitionBy("job_id", "chunk_idx").orderBy(*(order or (F.desc("ingest_ts"), F.desc("text"))))
     return results.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 

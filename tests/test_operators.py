@@ -244,3 +244,11 @@ def test_a_hot_user_fills_many_tasks(spark):
     assert sorted(got.collect()) == sorted(one.collect())
     ends = [0, *sorted({t for u, t in rows if u == "hot"}), now]
     assert sorted((r.id, r.start_ms, r.end_ms) for r in got.where("user_id = 'hot'").collect()) == [(k + 1, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+
+def test_results_of_one_time_have_an_order(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, t, at) for t in ("b", None, "c", "a")] + [(1, 1, "old", at), (1, 1, "a", at + dt.timedelta(seconds=1))]
+    df = spark.createDataFrame(rows, "job_id long, chunk_idx int, text string, ingest_ts timestamp")
+    for n in (1, 3, 5):
+        assert {r.chunk_idx: r.text for r in chunks.latest_result(df.repartition(n)).collect()} == {0: "c", 1: "a"}
