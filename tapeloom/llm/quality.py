@@ -123,12 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most ``sample`` labelled documents, those with the least hash of their id (a bound, so fixed work at any size).
 
     The bound keeps what reaches the driver to features of ``sample`` documents at any input size. Null labels and ids
-    take no part; of a document's repeated labels the majority counts, a tie as 1; of its repeated rows one is taken.
+    take no part; of a document's repeated labels the majority counts, a tie as 1; of its repeated rows the one with
+    the least hash of its text is taken, so that any partitioning gives the same model.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array(*_extra(metadata)).cast("array<double>").alias("extra"))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "extra", "label")).alias("r")).select("id", "r.text", "r.extra", "r.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -35,3 +35,11 @@ def test_edge_rows_and_no_labels(spark):
     assert all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.classify(docs, labels.where(F.lit(False))).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_give_one_model_at_any_partitioning(spark):
+    rows = [(i, f"{'good plain words' if (i + k) % 2 else 'BUY !!! $$$ now'} {i} {k}", 10 * k) for i in range(1, 41) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    first, *others = (sorted((r.doc_id, r.text, r.score) for r in quality.classify(docs.repartition(n), labels).collect()) for n in (1, 3, 7))
+    assert all(o == first for o in others)
