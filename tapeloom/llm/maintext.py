@@ -28,7 +28,9 @@ ASIDE = frozenset("nav footer aside form dialog menu head button select label da
 NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright dialog disqus disclaimer footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert overlay paywall".split())
 OUTER_NAMES = frozenset("header".split())
 #: Words that may stand beside these in a compound name; any other ("no-sidebar", "has-menu") makes it a name of its own.
-BESIDE = frozenset("main top bottom left right site page primary secondary global mobile box block list section area container wrapper bar".split())
+BESIDE = frozenset("main top bottom left right site page primary secondary global mobile box block list section area container wrapper bar reader readers user users visitor visitors guest post posts article articles story stories slot unit zone item items info thread body text author count inline".split())
+#: Names that a heading or section of an article may have as its id because they are its topic.
+TOPICS = frozenset("ad ads advert adverts advertisement advertising banner consent cookie cookies copyright dialog disclaimer form gdpr login menu navigation newsletter notice notices promo promotion search share sharing social sponsor subscribe subscription tags alert overlay paywall".split())
 #: Frequent function words.
 STOP_WORDS = frozenset(
     "the of and to in is that it for was with as on be by are this from at or an not have which but they has had were all".split()
@@ -38,11 +40,16 @@ STOP_WORDS = frozenset(
 )
 
 
+#: Characters as wide as two, of scripts that need fewer of them.
+WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 @dataclass
 class Block:
     zone: int  # 0 of the page, else the number of the article it is in
     heading: bool
     parts: list[str] = field(default_factory=list)
+    para: bool = False  # a paragraph
     linked: int = 0
     text: str = ""
     kind: str = ""
@@ -65,6 +72,10 @@ def _marked(tag: str, attributes: str, in_article: bool, spare: int = 0) -> int:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape("".join(values)).lower()
         if name in ("class", "id", "role"):
+            if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
+                continue  # a heading is judged by its text
+            if name == "id" and tag == "section" and in_article and value.strip() in TOPICS:
+                continue
             if spare < 2 and _names(value, NAMES if in_article else NAMES | OUTER_NAMES):
                 mark = 1
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -72,10 +83,11 @@ def _marked(tag: str, attributes: str, in_article: bool, spare: int = 0) -> int:
     return mark
 
 
-def blocks_of(html: str, spare: int = 0) -> list[Block]:
+def blocks_of(html: str, spare: int = 0, parts: set[str] | None = None) -> list[Block]:
     """The page's text blocks in order, without those in parts that never hold main text.
 
     spare 1 keeps an article or main element inside such a part, 2 also forms and parts marked by name; hidden parts go.
+    ``parts`` gets the tags of the elements left out; without any, spare changes nothing.
     """
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # tag, in a marked part, article
@@ -88,7 +100,7 @@ def blocks_of(html: str, spare: int = 0) -> list[Block]:
             if block is None:
                 if raw.isspace():
                     return
-                block = Block(stack[-1][2] if stack else 0, any(t[0] in "h1h2h3h4h5h6" and len(t[0]) == 2 for t in stack[-2:]))
+                block = Block(stack[-1][2] if stack else 0, any(t[0] in "h1h2h3h4h5h6" and len(t[0]) == 2 for t in stack[-2:]), para=bool(stack) and stack[-1][0] == "p")
                 out.append(block)
             text = unescape(raw)
             block.parts.append(text)
@@ -126,6 +138,8 @@ def blocks_of(html: str, spare: int = 0) -> list[Block]:
             inside = inside or article
             out_of_text = 0 if spare and out_of_text == 1 else out_of_text
         marked = max(out_of_text, _marked(tag, attributes, bool(inside), spare))
+        if marked and parts is not None:
+            parts.add(tag)
         if marked or tag in BLOCKS:
             if tag in BLOCKS or not attributes.rstrip().endswith("/"):
                 stack.append((tag, marked, inside))
@@ -149,16 +163,25 @@ def _nearest(blocks: list[tuple[int, str]]) -> list[tuple[int, str] | None]:
 def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.3) -> list[Block]:
     """The blocks of the main text.
 
-    First pass, by each block's length, link density and stop-word density: good, bad or not decided (near good, short). Second
+    First pass, by each block's length, link density and stop-word density: good, bad or not decided (near good, short). An
+    article's paragraphs may hold links, but not be one short link. Where no block has a known language's stop words, length and
+    links decide; wide characters count twice. Second
     pass: a block that is not decided takes the label of its nearest decided neighbours in its article, or on the page;
     where they differ the nearer one's, at equal distance the better one's for headings and near good blocks. An article
     whose blocks decide nothing is main text. If some article has main text, the rest of the page has none.
     """
+    seen: list[tuple[Block, float, float, int]] = []
     for b in blocks:
         words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
         density = sum(w in STOP_WORDS for w in words) / len(words)
-        size, linked = len(b.text), b.linked / max(1, len(b.text.replace(" ", "")))
-        if linked > links and not (b.heading and b.zone) or not b.zone and "©" in b.text and size < long or b.linked and size < short and not b.zone:
+        size, linked = len(b.text) + len(WIDE.findall(b.text)), b.linked / max(1, len(b.text.replace(" ", "")))
+        seen.append((b, density, linked, size))
+    known = any(density >= high for _, density, linked, size in seen if linked <= links and size >= short)
+    for b, density, linked, size in seen:
+        if not known and not b.zone:
+            density = high
+        held = b.zone and (b.heading or b.para and (linked < 0.95 or size >= short))
+        if linked > links and not held or not b.zone and "©" in b.text and size < long or b.linked and size < short and not b.zone:
             b.kind = "bad"
         elif size < short:
             b.kind = "short"
@@ -191,17 +214,24 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
     return [b for b in good if b.zone] or good
 
 
+def short_page(blocks: list[Block], links: float = 0.3) -> list[Block]:
+    """The blocks of a page that has short ones only, without links and copyright lines."""
+    return [b for b in blocks if b.linked <= links * len(b.text.replace(" ", "")) and "©" not in b.text]
+
+
 def main_text(html: str | None) -> str:
     """The main text: its blocks joined by an empty line, character references decoded, white space inside a block one blank.
 
     Where no article has text, articles inside marked parts are looked at; where still nothing is main text, forms and parts
-    marked by name are too.
+    marked by name are too. A page of nothing but short blocks keeps those that are no links.
     """
-    good = classify(blocks_of(html or ""))
-    if not any(b.zone for b in good):
+    parts: set[str] = set()
+    blocks = blocks_of(html or "", 0, parts)
+    good = classify(blocks)
+    if parts and not any(b.zone for b in good):
         inner = classify(blocks_of(html or "", 1))
         good = inner if any(b.zone for b in inner) else good or classify(blocks_of(html or "", 2))
-    return "\n\n".join(b.text for b in good)
+    return "\n\n".join(b.text for b in good or short_page(blocks))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

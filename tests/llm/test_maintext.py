@@ -106,3 +106,37 @@ def test_pages_by_the_block_rules_alone():
     for page, head in zip(pages, ("Head line\n\n", "", "Head line\n\n")):
         assert maintext.main_text(page).startswith(f"{head}{text}\n\n{text}") and "Topic" not in maintext.main_text(page) and "Contact" not in maintext.main_text(page)
         assert "Two" not in maintext.main_text(page) and "More" not in maintext.main_text(page)
+
+
+def test_compound_names_of_comments_and_adverts_go():
+    text = " ".join(P.split())
+    for name in ("reader-comments", "user-comments", "post-comments", "comment_list", "related-posts", "ad-slot", "info-notice"):
+        part = f"<section class='{name}'><p>{P}</p></section>"
+        assert maintext.main_text(f"<article><p>{P}</p>{part}</article>") == text, name
+        assert maintext.main_text(f"<body><div><p>{P}</p></div>{part}</body>") == text, name
+
+
+def test_topics_of_an_article_stay():
+    text = " ".join(P.split())
+    for head in ("<h2 id='advertising'>Topic</h2>", "<h2 id=search>Topic</h2>", "<section id='promotion'><h3 class=menu>Topic</h3></section>"):
+        assert maintext.main_text(f"<article><p>{P}</p>{head}<p>{P}</p></article>") == f"{text}\n\nTopic\n\n{text}", head
+    assert maintext.main_text(f"<article><p>{P}</p><section id=comments><p>{P}</p></section></article>") == text
+
+
+def test_paragraphs_with_long_links_stay_in_an_article():
+    text = " ".join(P.split())
+    link = "See <a href=x>the long report of the house by the sea and all its cats</a> for more."
+    assert maintext.main_text(f"<article><p>{P}</p><p>{link}</p><p>{P}</p></article>") == f"{text}\n\nSee the long report of the house by the sea and all its cats for more.\n\n{text}"
+    assert maintext.main_text(f"<article><p>{P}</p><p><a href=x>Read this next</a></p></article>") == text
+
+
+def test_lone_short_pages_and_other_languages():
+    assert maintext.main_text("<body><p>Hello there.</p></body>") == "Hello there."
+    assert maintext.main_text("<body><a href=/>Home</a><p>Hello there.</p><p>© us</p></body>") == "Hello there."
+    russian = "Вчера вечером жители небольшого города собрались на главной площади, чтобы обсудить строительство нового моста через реку. " * 3
+    italian = "Ieri sera gli abitanti del piccolo borgo si sono riuniti nella piazza principale per discutere della costruzione di un nuovo ponte sul fiume. " * 3
+    chinese = "昨天晚上,小镇的居民聚集在中心广场,讨论在河上修建新桥的计划。许多人表示支持,但也有人担心费用过高。" * 3
+    for prose in (russian, italian, chinese):
+        page = f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul><h1>Title</h1><div>{prose}</div><div>{prose}</div><div><a href=/c>More</a></div></body>"
+        text = " ".join(prose.split())
+        assert maintext.main_text(page) == f"Title\n\n{text}\n\n{text}"
