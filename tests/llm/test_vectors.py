@@ -32,8 +32,8 @@ def test_topk_edges(spark):
     for q, a in {i: a for i, a in ok if i % 5 == 0}.items():
         c = sorted((-int(a @ b), i) for i, b in ok if i != q and len(a) == len(b))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(c)]
-    for block in (1024, 7):
-        got = topk.top_inner_products(df, F.col("vec_id") % 5 == 0, block=block)
+    for block, ask in ((1024, 2048), (7, 2048), (7, 4), (1024, 4)):
+        got = topk.top_inner_products(df, F.col("vec_id") % 5 == 0, block=block, ask=ask)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
@@ -80,6 +80,36 @@ def test_threshold_stops_early_where_few_components_dominate():
         topk.Lists(np.arange(1), np.array([[2**40]])).top(5, np.array([2**30]), 1)
 
 
+def test_scores_near_the_end_of_a_long():
+    near = [[2**40, 1], [2**41, -1], [5, 5]], [[2**21, 2**21], [2**20, -3]]
+    apart = [[2**52, -(2**52)], [5, 5]], [[2**52, 2**52]]  # sums pass a long on their way, their result does not
+    for x, queries in (near, apart):
+        for q in queries:
+            _, got = topk.Lists(np.arange(len(x)), np.array(x)).top(9, np.array(q), 1)
+            assert got.tolist() == [max(a * q[0] + b * q[1] for a, b in x)]
+
+
+def test_forest_stops_early_where_neighbours_are_close():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 6000)] + 0.2 * rng.normal(size=(6000, 32))
+    forest, hits = annforest.Forest(np.arange(6000), x, x.mean(0), 64, 48, 7), 0
+    low, high = forest.ranges(x[:100])
+    for q in range(100):
+        ids, far = forest.near(q, x[q], low[:, :, q], high[:, :, q], 10, 0.95, 0)
+        true = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert far.tolist() == true[ids].tolist() and sorted(far) == far.tolist()
+        hits += len(set(np.argsort(true, kind="stable")[1:11]) & set(ids))
+    assert hits >= 900 and forest.scored < 0.1 * 100 * 6000
+
+
+def test_tiles_give_the_same_rows(spark):
+    df = spark.createDataFrame(edge_rows(), SCHEMA)
+    asks = F.col("vec_id") % 5 == 0
+    want = sorted(map(tuple, annforest.nearest(df, asks, share=1.0).collect()))
+    assert sorted(map(tuple, annforest.nearest(df, asks, share=1.0, block=20, ask=3).collect())) == want
+    assert annforest.nearest(df.limit(0), asks).count() == 0
+
+
 def test_rows_of_one_query_id_ask_once(spark):
     rows = [(5, [1.0, 0.0], "s"), (5, [0.0, 1.0], "s"), (1, [1.0, 0.0], "s"), (2, [0.0, 1.0], "s")]
     df = spark.createDataFrame(rows, SCHEMA)
