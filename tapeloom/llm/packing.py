@@ -190,16 +190,22 @@ def _run(spec, end_id: int, capacity: int, group: int, piece: int, slack: int, w
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, group: int = 64, piece: int = 512, slack: int = 4, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, group: int = 64, piece: int = 512, slack: int = 4, with_ids: bool = True, task_bytes: int = 4 << 20) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) the ids as little-endian 32-bit.
 
     ``tokenizer`` is the path of a tokenizers JSON file. One narrow stage: each task packs its own documents, in groups of
-    ``group`` windows, so memory and work do not depend on the table's size and nothing is shuffled. Sequence numbers
+    ``group`` windows, so memory and work do not depend on the table's size and nothing is shuffled. Partitions are
+    coalesced until there is at most one for each ``task_bytes`` of text, since a task's last ids, less than one window, are
+    sequences of powers of two: so these hold under 1 % of a large table's ids however it is partitioned. A full
+    window of a long document is a sequence by itself, with nothing left to even out. Sequence numbers
     start with the task's number; a repeated task with the same input gives the same rows. A null or empty text is one
-    piece with the end id; repeated rows and null ids are packed as rows of their own.
+    piece with the end id; repeated rows and null ids are packed as rows of their own; a text of any length is packed whole.
+    An empty table gives no rows; other columns are ignored, whatever their names.
     """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
     spec = tokens.share(docs.sparkSession, tokenizer)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_run(spec, end_id, capacity, group, piece, slack, with_ids), f"id {kind}, {SCHEMA}")
+    out = texts.coalesce(max(1, size // task_bytes)).mapInArrow(_run(spec, end_id, capacity, group, piece, slack, with_ids), f"id {kind}, {SCHEMA}")
     out = out.withColumnRenamed("id", id_col)
     return out if with_ids else out.drop("ids")

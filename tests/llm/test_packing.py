@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tapeloom.llm import packing, tokens
+from tapeloom.llm import packing, queries, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,3 +69,30 @@ def test_every_id_once_and_little_padding(spark):
         pad += 2048 - at if at & (at - 1) else 0
     assert pad < 0.01 * sum(r.length for r in got)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_query_gives_the_library_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in queries.op10_packing(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert set(got) == {d.doc_id for d in docs}
+    for d in docs:
+        ids, at = np.array(direct(PATH, d.text) + [1], "<u4"), 0
+        for r in sorted(got[d.doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_few_ids_are_in_powers_of_two_at_any_partitioning(spark):
+    docs = spark.range(1500).selectExpr("id doc_id", "repeat(concat('some plain words ', id, ' here and more. '), cast(20 + id % 70 as int)) text")
+    for n in (2, 64, 300):
+        got = packing.pack(docs.repartition(n), PATH, with_ids=False, task_bytes=1 << 20)
+        by_seq = {}
+        for r in got.collect():
+            by_seq[r.sequence_id] = by_seq.get(r.sequence_id, 0) + r.length
+        total = sum(by_seq.values())
+        assert sum(s for s in by_seq.values() if s & (s - 1) == 0 and s < 2048) < 0.01 * total
+        assert sum(2048 - s for s in by_seq.values() if s & (s - 1)) < 0.01 * total
