@@ -176,6 +176,9 @@ def _find(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarr
     return at
 
 
+RESULT = ["text_hash", "n_words", "n_removed", "kept_sha256", "text"]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, chunk_words: int = 1 << 20, bucket_hashes: int = 1 << 17, first: int | None = None) -> DataFrame:
     """One row per document: id, text_hash (xxhash64 of the input text), n_words, n_removed, kept_sha256 and text, the kept
     words joined by blanks.
@@ -190,9 +193,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a third of all documents costs a row per chunk. Levels compare 64-bit hashes, which only chooses candidates; windows
     are removed by 96 bits. A null or empty text has no words; texts of any length are taken whole; a null id keeps its row
     and its words and is not compared; of rows with the same id none is earlier than another at the same place. Repeated
-    rows give a row each. Other columns are ignored, whatever their names. An empty table gives no rows.
+    rows give a row each. Other columns are ignored, whatever their names. An empty table gives no rows. Ids of another type
+    than whole numbers are compared in the order that Spark sorts them in.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        ids = docs.select(F.col(id_col).alias("name")).where("name is not null").distinct().repartitionByRange("name").sortWithinPartitions("name")
+        ids, _ = materialise(ids.select("name", F.monotonically_increasing_id().alias("id")), "ids")  # ascending, with gaps
+        texts = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(ids, "name", "left").drop("name")
+        return remove_repeats(texts, "id", "text", min_words, chunk_words, bucket_hashes, first).join(ids, "id", "left").select(F.col("name").alias(id_col), *RESULT)
     first = first or min_words // 2
     if min_words % first or (min_words // first).bit_count() != 1 or min_words == first:
         raise ValueError("min_words is the first level's length, doubled some times")

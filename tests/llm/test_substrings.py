@@ -53,6 +53,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_ids_that_are_no_numbers(spark):
+    w = [" ".join(f"w{k}-{n}" for k in range(30)) for n in range(4)]
+    rows = [(f"doc{i:02}", w[i % 4] + (f" own{i}" * 25 if i % 3 else "")) for i in range(12)] + [(None, w[0]), ("empty", None), ("\u00e9", w[1])]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id string, text string, name string, id int")
+    for part in (df, df.repartition(5)):
+        got = substrings.remove_repeats(part, chunk_words=100)
+        assert got.columns == ["doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", "text"]
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute(rows, 20)
+    assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_whole_table_matches_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
