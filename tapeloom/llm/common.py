@@ -38,11 +38,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns a, b of one orderable type): root is the component's smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Each is an aggregate with map-side
     combination and an equi-join that Spark can split on a hot node; the driver sees only two counts a round.
+    The rows are read from a table whose path is added to ``paths``, for a caller that discards it.
     """
     spark = edges.sparkSession
     cur, path = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -62,6 +63,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    if paths is not None:
+        paths.append(path)
     stars = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 

@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The bound keeps what reaches the driver to features of ``sample`` documents at any input size. Null labels and ids
     take no part; of a document's repeated labels the majority counts, a tie as 1; of its repeated rows the one with
-    the least hash of its text is taken, so that any partitioning gives the same model.
+    the least hash of its text is taken, so that any partitioning gives the same model. Long texts are taken whole, in the task
+    that has them; an empty table on either side gives the model that scores 0.5.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
@@ -147,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", metadata: Sequence[str] = (), score_col: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` with the model's score (0 to 1) of each whole text; a column of that name is replaced.
 
-    A null or blank text is scored by its statistics. The model is broadcast; its size depends on the slots alone.
+    A null or blank text is scored by its statistics, a text of any length whole; rows with equal text and metadata have
+    equal scores. An empty table gives no rows. The model is broadcast; its size depends on the slots alone.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != score_col]
@@ -175,7 +177,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, metadata: Sequence[str] = ("n_chars",), sample: int = 6_000, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """``docs`` with score and predicted, from a model that has learnt only from labels of rows that are not held out.
 
-    Columns of these names are replaced; metadata columns that ``docs`` lacks are left out.
+    Columns of these names are replaced; metadata columns that ``docs`` lacks are left out. Every row stays, repeated ones and
+    those with a null id or text too; a null id is never learnt from. An empty table gives no rows, no labels a score of 0.5;
+    texts of any length are taken whole.
     """
     given = [c for c in metadata if c in docs.columns]
     model = train(docs, labels.where(~held_out()), metadata=given, sample=sample)

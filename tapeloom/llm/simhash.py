@@ -170,16 +170,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id that links reach. A null or blank text has fingerprint zero and links like any
     other; repeated rows stay and fall in one component; a null id keeps its row and never becomes a component's id,
-    unless no member has one (then null). An empty table gives no rows; other columns are ignored.
+    unless no member has one (then null). A text of any length is taken whole, in one task. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     prints, _ = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("id").alias("first"))
     links, links_path = materialise(near_links(first.select("fp"), radius, tile), "links")
-    nodes, nodes_path = materialise(connected_components(links).join(first, F.col("node") == F.col("fp")).select("fp", "root", "first"), "nodes")
+    paths = [links_path]
+    nodes, nodes_path = materialise(connected_components(links, paths).join(first, F.col("node") == F.col("fp")).select("fp", "root", "first"), "nodes")
     lowest = nodes.groupBy("root").agg(F.min("first").alias("lowest"))
     merged, _ = materialise(nodes.join(lowest, "root").select("fp", "lowest"), "components")
-    discard(spark, links_path, nodes_path)
+    discard(spark, nodes_path, *paths)
     known = first.join(merged, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -187,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; rows with a null id stay.
 
-    Rows that repeat an id stay or go together.
+    Rows that repeat an id stay or go together; texts, empty tables and other columns are as in ``near_duplicates``.
     """
     groups = near_duplicates(docs, id_col, text_col, radius)
     gone = groups.where(F.col(id_col) > F.col("component_id")).select(id_col)

@@ -1,8 +1,9 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
-from tapeloom.llm import common
+from tapeloom.llm import common, nearcopies, simhash
 
 
 def test_connected_components(spark):
@@ -25,6 +26,17 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_that_no_plan_reads_are_deleted(spark):
+    """What stays are the tables that a result reads."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3}") for i in range(12)], "doc_id long, text string")
+    base = Path(common.shared_dir(spark).removeprefix("file:"))
+    for find, stay in ((simhash.near_duplicates, {"fingerprints", "components"}), (nearcopies.groups, {"groups"})):
+        before = set(base.glob("tapeloom-*"))
+        out = find(docs)
+        assert {p.name.split("-")[1] for p in set(base.glob("tapeloom-*")) - before} == stay
+        assert out.count() == 12
+
+
 def test_words_and_mix():
     assert common.words_of("A\x85b\x1c \tC\x0bÉ", lower=True) == ["a\x85b\x1c".encode(), b"c", "É".encode()]
     assert common.words_of(None) == [] == common.words_of(" \r\n")

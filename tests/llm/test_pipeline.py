@@ -1,5 +1,6 @@
 """The corpus pipeline's stages against brute force, each on its own input."""
 
+import hashlib
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_nearcopies import brute as near_copies
 from test_simhash import brute as near_groups
 from test_substrings import brute as repeats
 from tokenizers import Tokenizer
@@ -92,3 +94,28 @@ def test_run_and_empty_tables(spark, docs):
     assert pipeline.run(spark, SF).agg(F.countDistinct("doc_id")).first()[0] > 500
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_matches_brute_force(spark):
+    """All stages over documents: scores of the classifier, then all pairs, all windows and the library's ids."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in scored.where("score >= 0.3").collect()]
+    component, links = near_copies(rows)
+    rows = [(i, t) for i, t in rows if component[i] == i]
+    digest = {i: (n, gone, sha) for i, n, gone, sha in repeats(rows, 20)}
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in pipeline.run(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == {i for i, _ in rows} and links
+    for i, text in rows:
+        ids = np.frombuffer(b"".join(r.ids for r in sorted(pieces[i], key=lambda r: r.start)), "<u4").tolist()
+        assert ids[-1] == 1
+        n, gone, sha = digest[str(i)]
+        if gone:
+            assert hashlib.sha256(t.decode(ids[:-1]).encode()).hexdigest() == sha
+        else:
+            assert ids == t.encode(text or "", add_special_tokens=False).ids + [1]
+    assert sum(1 for _, gone, _ in digest.values() if gone) > 3

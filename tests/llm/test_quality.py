@@ -26,6 +26,25 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_query_scores_by_all_pairs(spark):
+    """Every score of the query against pairwise terms summed one by one, by the model that the allowed labels give."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    allowed = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    m = quality.train(docs, labels.where(F.col("doc_id").isin(sorted(allowed))), metadata=["n_chars"])
+    got = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        slots, x, stats = quality.features(r.text)
+        d = m.dense(np.array([*stats, np.log1p(max(r.n_chars, 0))]))
+        at, xs = np.concatenate([slots, np.arange(len(d)) + quality.WORD_SLOTS]), np.concatenate([x, d])
+        pairs = np.triu((m.factors[at] @ m.factors[at].T) * np.outer(xs, xs), 1).sum()
+        z = m.bias + m.linear[at] @ xs + pairs
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_edge_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, None, "a", 1.5, None), (2, "", "b", 2.5, 3), (3, "word " * 50000, None, 0.0, 4), (None, "x", "c", 1.0, 5), (3, "dup", "d", 1.0, 5)], "doc_id long, text string, lang string, score double, n_chars long")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, None), (None, 1), (3, 1), (6, 0), (7, 1)], "doc_id long, quality int")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from tapeloom.llm import simhash
+from tapeloom.llm import queries, simhash
 
 
 def brute(rows):
@@ -44,6 +44,12 @@ def test_matches_brute_force(spark):
     assert kept == {c for _, c in brute(rows).values()}
 
 
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op1_simhash(spark, sf).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
 def test_repeated_null_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "zz yy")], "doc_id long, text string")
     got = sorted((str(r[0]), str(r[2])) for r in simhash.near_duplicates(df).collect())
