@@ -115,3 +115,148 @@ class History:
             else:
                 self.nodes.removeKey((level, prefix))
         self.changed.clear()
+
+
+class PagedHistory(History):
+    """The same, with the values of up to ``page`` neighbouring numbers in one entry of the state.
+
+    A page over a range of numbers holds its values itself until there are too many; then its sixteen sixteenths become pages, and
+    it says, per field, which of them have values. A batch reads and writes each page that it touches once, so a key with fewer
+    values than a page takes two calls a batch, others a few for each page's worth of values.
+    """
+
+    TOP = 16
+
+    def __init__(self, fields: tuple[str, ...], pages: KeyedState, page: int = 256):
+        self.fields, self.pages, self.page = fields, pages, page
+        self.number = {f: k for k, f in enumerate(fields)}
+        #: a page: values by number if it holds them itself, else a mask of sixteenths per field
+        self.held: dict[tuple[int, int], dict[int, dict[str, Any]] | list[int]] = {}
+        self.changed: set[tuple[int, int]] = set()
+
+    def _page(self, level: int, prefix: int) -> dict[int, dict[str, Any]] | list[int]:
+        key = (level, prefix)
+        if key not in self.held:
+            got = self.pages.getValue(key)
+            held = json.loads(bytes(got[0])) if got is not None else {}
+            self.held[key] = held if isinstance(held, list) else {int(n): v for n, v in held.items()}
+        return self.held[key]
+
+    def _leaf(self, at: int) -> tuple[int, dict[int, dict[str, Any]]]:
+        """The level of the page that holds the values at a number, and these."""
+        level = self.TOP
+        while isinstance(page := self._page(level, at >> 4 * level), list):
+            level -= 1
+        return level, page
+
+    def _mark(self, level: int, at: int, page: dict[int, dict[str, Any]], fields) -> None:
+        """Tells the pages above whether values of these fields are left below."""
+        for f in fields:
+            k, there, up = self.number[f], any(f in v for v in page.values()), level
+            while up < self.TOP:
+                key, bit = (up + 1, at >> 4 * (up + 1)), 1 << ((at >> 4 * up) & 15)
+                masks = self.held[key]
+                before = masks[k]
+                masks[k] = before | bit if there else before & ~bit
+                if masks[k] != before:
+                    self.changed.add(key)
+                if masks[k] == before or (before if there else masks[k]):
+                    break
+                up += 1
+
+    def _split(self, level: int, at: int, page: dict[int, dict[str, Any]]) -> None:
+        while level > 1 and len(page) > self.page:
+            masks, parts = [0] * len(self.fields), {}
+            for n, values in page.items():
+                part = n >> 4 * (level - 1)
+                parts.setdefault(part, {})[n] = values
+                for f in values:
+                    masks[self.number[f]] |= 1 << (part & 15)
+            self.held[level, at >> 4 * level] = masks
+            for part, values in parts.items():
+                self.held[level - 1, part] = values
+                self.changed.add((level - 1, part))
+            level -= 1
+            page = self.held[level, at >> 4 * level]  # only the part of the newest value may be too large still
+
+    def add(self, seq: int, values: dict[str, Any]) -> None:
+        at = seq - LOWEST
+        level, page = self._leaf(at)
+        before = page.get(at)
+        page[at] = values if before is None else before | values
+        self.changed.add((level, at >> 4 * level))
+        if level < self.TOP:
+            above = self.held[level + 1, at >> 4 * (level + 1)]
+            bit = (at >> 4 * level) & 15
+            self._mark(level, at, page, [f for f in values if not above[self.number[f]] >> bit & 1])
+        if len(page) > self.page:
+            self._split(level, at, page)
+
+    def at(self, seq: int) -> dict[str, Any]:
+        return self._leaf(seq - LOWEST)[1].get(seq - LOWEST, {})
+
+    def drop(self, field: str, seq: int) -> None:
+        at = seq - LOWEST
+        level, page = self._leaf(at)
+        values = page.get(at, {})
+        if field not in values:
+            return
+        rest = {f: v for f, v in values.items() if f != field}
+        if rest:
+            page[at] = rest
+        else:
+            del page[at]
+        self.changed.add((level, at >> 4 * level))
+        if level < self.TOP:
+            self._mark(level, at, page, [field])
+
+    def _end(self, field: str, level: int, prefix: int, greatest: bool) -> int | None:
+        """The greatest or least number below a page that has the field."""
+        k = self.number[field]
+        while isinstance(page := self._page(level, prefix), list):
+            bits = page[k]
+            if not bits:
+                return None
+            prefix = prefix << 4 | (bits.bit_length() - 1 if greatest else (bits & -bits).bit_length() - 1)
+            level -= 1
+        return (max if greatest else min)((n for n, v in page.items() if field in v), default=None)
+
+    def _near(self, field: str, at: int, greatest: bool) -> int | None:
+        level, page = self._leaf(at)
+        found = (max if greatest else min)((n for n, v in page.items() if field in v and (n <= at if greatest else n > at)), default=None)
+        while found is None and level < self.TOP:
+            part = (at >> 4 * level) & 15
+            level += 1
+            bits = self.held[level, at >> 4 * level][self.number[field]]
+            bits = bits & ((1 << part) - 1) if greatest else bits >> (part + 1) << (part + 1)
+            if bits:
+                part = bits.bit_length() - 1 if greatest else (bits & -bits).bit_length() - 1
+                found = self._end(field, level - 1, (at >> 4 * level) << 4 | part, greatest)
+        return None if found is None else found + LOWEST
+
+    def last(self, field: str, upto: int = HIGHEST) -> int | None:
+        return self._near(field, upto - LOWEST, True)
+
+    def first(self, field: str, above: int) -> int | None:
+        return self._near(field, above - LOWEST, False)
+
+    def drop_after(self, seq: int) -> None:
+        """Drops every value at a greater number, a page at a time."""
+        for field in self.fields:
+            while (s := self.last(field)) is not None and s > seq:
+                at = s - LOWEST
+                level, page = self._leaf(at)
+                gone = [n for n in page if n + LOWEST > seq]
+                lost = {f for n in gone for f in page.pop(n)}
+                self.changed.add((level, at >> 4 * level))
+                if level < self.TOP:
+                    self._mark(level, at, page, lost)
+
+    def flush(self) -> None:
+        for level, prefix in self.changed:
+            page = self.held[level, prefix]
+            if any(page) if isinstance(page, list) else page:
+                self.pages.updateValue((level, prefix), (json.dumps(page, ensure_ascii=False, separators=(",", ":")).encode(),))
+            else:
+                self.pages.removeKey((level, prefix))
+        self.changed.clear()

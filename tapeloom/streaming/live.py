@@ -13,7 +13,7 @@ from ..functions.jscompat import DAY_MS, js_trim
 from ..operators import chunks, jobs, streaks
 from ..operators.events import DEFAULT_STEP, UNKNOWN_ERROR
 from ..sources.snapshots import Snapshots
-from .history import LOWEST, NODE_KEY, NODE_VALUE, ROW_KEY, ROW_VALUE, History
+from .history import LOWEST, NODE_KEY, NODE_VALUE, ROW_KEY, ROW_VALUE, History, PagedHistory
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "job_id {kind}, message string, progress double, step string, transcript string, transcript_path string, done boolean, error string, last_seq long"
@@ -39,9 +39,12 @@ class _Fold(StatefulProcessor):
         self.rows = handle.getMapState("rows", ROW_KEY, ROW_VALUE)
         self.stop = handle.getValueState("stop", "seq long")
 
+    def _history(self) -> History:
+        return History(FIELDS, self.nodes, self.rows)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = stop = self.stop.get()[0] if self.stop.exists() else None
-        history = History(FIELDS, self.nodes, self.rows)
+        history = self._history()
         for pdf in rows:
             for r in pdf.to_dict("records"):
                 seq = int(r["seq"])
@@ -87,6 +90,17 @@ class _Fold(StatefulProcessor):
         pass
 
 
+class _PagedFold(_Fold):
+    """The same with many values in one entry of the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = handle.getMapState("pages", NODE_KEY, NODE_VALUE)
+        self.stop = handle.getValueState("stop", "seq long")
+
+    def _history(self) -> History:
+        return PagedHistory(FIELDS, self.pages)
+
+
 def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
     """fold_events over a stream, in update mode: a row for each job that a batch touches. Needs the RocksDB state store.
 
@@ -96,7 +110,7 @@ def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
     want = {"type": "string", "step": "string", "message": "string", "progress": "double", "transcript": "string", "transcript_path": "string", "error": "string"}
     rows = events.select("job_id", "seq", *(F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in want.items()))
     kind = events.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").transformWithStateInPandas(_Fold(late), OUT.format(kind=kind), "update", "None")
+    return rows.groupBy("job_id").transformWithStateInPandas(_PagedFold(late), OUT.format(kind=kind), "update", "None")
 
 
 def stream_checkpoints(patches: DataFrame) -> DataFrame:
@@ -141,10 +155,12 @@ class _Streaks(StatefulProcessor):
         self.length_rows = handle.getMapState("length_rows", ROW_KEY, ROW_VALUE)
         self.count = handle.getValueState("count", "started long, n long")
 
+    def _histories(self) -> tuple[History, History]:
+        return History(("at",), self.at_nodes, self.at_rows), History(("n",), self.length_nodes, self.length_rows)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         started, n = self.count.get() if self.count.exists() else (None, 0)
-        at = History(("at",), self.at_nodes, self.at_rows)
-        lengths = History(("n",), self.length_nodes, self.length_rows)
+        at, lengths = self._histories()
 
         def change(length: int, by: int) -> None:
             held = lengths.at(length).get("n", 0) + by
@@ -181,6 +197,18 @@ class _Streaks(StatefulProcessor):
         pass
 
 
+class _PagedStreaks(_Streaks):
+    """The same with many relapses, or lengths, in one entry of the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at_pages = handle.getMapState("at_pages", NODE_KEY, NODE_VALUE)
+        self.length_pages = handle.getMapState("length_pages", NODE_KEY, NODE_VALUE)
+        self.count = handle.getValueState("count", "started long, n long")
+
+    def _histories(self) -> tuple[History, History]:
+        return PagedHistory(("at",), self.at_pages), PagedHistory(("n",), self.length_pages)
+
+
 def stream_streak_stats(relapses: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
     """streak_stats over a stream of relapses (user_id, ts_ms), in update mode: a row for each user that a batch touches.
 
@@ -190,7 +218,7 @@ def stream_streak_stats(relapses: DataFrame, users: DataFrame, now_ms: int) -> D
     relapses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = relapses.schema["user_id"].dataType.simpleString()
     rows = relapses.select("user_id", "ts_ms").join(users.select("user_id", "started_ms"), "user_id")
-    held = rows.groupBy("user_id").transformWithStateInPandas(_Streaks(now_ms), f"user_id {kind}, relapse_count long, current_ms long, best_ms long, total_ms long", "update", "None")
+    held = rows.groupBy("user_id").transformWithStateInPandas(_PagedStreaks(now_ms), f"user_id {kind}, relapse_count long, current_ms long, best_ms long, total_ms long", "update", "None")
     day = F.lit(float(DAY_MS))
     raw = held.select("user_id", "relapse_count", *((F.col(f"{c}_ms") / day).alias(f"{c}_days") for c in ("current", "best")), (F.col("total_ms") / day / (F.col("relapse_count") + 1)).alias("avg_days"))
     return streaks.labelled(raw)  # streaks tile the time from the start to now, so their mean needs their number only
