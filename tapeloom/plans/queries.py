@@ -408,7 +408,10 @@ def stream_chunk_words(s, d):
 def _folders(s, rows: DataFrame, name: str, *keys: str) -> str:
     """A text file for each row, in folders key=value by ``keys``."""
     path = shared_path(s, name)
-    rows.repartition(*keys).write.partitionBy(*keys).text(path)
+    if len(keys) == 1 and (folder := W.local_folder(path)):
+        W.write_text_files(rows.select(*keys, F.lit(0), "value"), folder)
+    else:
+        rows.repartition(*keys).write.partitionBy(*keys).text(path)
     return path
 
 
@@ -422,7 +425,7 @@ def read_json_objects(s, d):
     jobs = _conversations(s, d)
     doc = F.when(F.col("n") % 7 == 0, "{bad").otherwise(F.to_json(F.struct("turns", F.concat(F.lit("title "), F.col("job")).alias("title"))))
     path = _folders(s, jobs.where("n % 5 <> 0").select("job", doc.alias("value")), "documents", "job")
-    return R.read_json_objects(s, f"{path}/*/*", "turns long, title string", R.path_key(r"job=([^/]+)/[^/]+$"), jobs.select(F.col("job").alias("job_id")))
+    return R.read_json_objects(s, path, "turns long, title string", R.path_key(r"job=([^/]+)/[^/]+$"), jobs.select(F.col("job").alias("job_id")))
 
 
 @query
@@ -430,14 +433,16 @@ def read_texts(s, d):
     """S2: the first turn of each conversation as a file; of every fifth it is missing."""
     first = V.t(s, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("job"), "conv_id", F.col("text").alias("value"))
     path = _folders(s, first.where("conv_id % 5 <> 0").drop("conv_id"), "texts", "job")
-    return R.read_texts(s, f"{path}/*/*", R.path_key(r"job=([^/]+)/[^/]+$"), first.select(F.col("job").alias("job_id")))
+    return R.read_texts(s, path, R.path_key(r"job=([^/]+)/[^/]+$"), first.select(F.col("job").alias("job_id")))
 
 
 def _turn_files(s, d) -> str:
     """Each turn as a file whose name has its number: part-<turn>-....txt in the folder of its conversation."""
-    rows = V.t(s, d, "conversations")
+    rows, path = V.t(s, d, "conversations"), shared_path(s, "turns")
+    if folder := W.local_folder(path):
+        W.write_text_files(rows.select(F.col("conv_id").alias("job"), F.col("turn").cast("int"), "text"), folder)
+        return path
     most = rows.agg(F.max("turn")).first()[0] or 0
-    path = shared_path(s, "turns")
     rows.select(F.col("conv_id").alias("job"), "turn", F.col("text").alias("value")).repartitionById(int(most) + 1, F.col("turn").cast("int")).drop("turn").write.partitionBy("job").text(path)
     return path
 
@@ -447,7 +452,9 @@ TURN_FILE, TURN_JOB = r"^part-(\d{3,})-.*\.txt$", r"job=([^/]+)/[^/]+$"
 
 @query
 def list_chunk_files(s, d):
-    files = R.list_chunk_files(s, _turn_files(s, d), TURN_FILE, R.path_key(TURN_JOB))
+    listed = shared_path(s, "listed")  # so that the files are visited once
+    R.list_chunk_files(s, _turn_files(s, d), TURN_FILE, R.path_key(TURN_JOB)).write.parquet(listed)
+    files = s.read.parquet(listed)
     first = R.first_file(files).select("job_id", F.col("file_name").alias("first"))
     return files.join(first, "job_id").select("job_id", "chunk_idx", "bytes", (F.col("file_name") == F.col("first")).alias("is_first"))
 
