@@ -27,7 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; rows with a null doc_id stay.
 
-    Documents are near duplicates from a Jaccard similarity of 0.8 of their five-word shingles on.
+    Documents are near duplicates from a Jaccard similarity of 0.8 of their five-word shingles on. SimHash fingerprints at two or fewer
+    differing bits give the first candidates, each confirmed exactly; prefix filtering adds the pairs that fingerprints miss.
     """
     return nearcopies.keep_first(docs)
 

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates by prefix filtering."""
+"""Near copies by SimHash, confirmed by exact Jaccard similarity of word shingles; prefix filtering finds those that it misses."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialise, mix, words_of
+from .simhash import fingerprint, near_links
 
 #: Two documents are near copies from a Jaccard similarity of LIKE[0] / LIKE[1] on.
 LIKE = (4, 5)
@@ -271,12 +272,23 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, tile: int = 1024, sample: int = 8192, most: int = 1 << 18) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) that SimHash takes for near copies: those of one fingerprint with its first, the first ones of fingerprints that links join."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = near_links(first.select("fp"), radius, tile).toDF("x", "y").distinct()
+    of = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    return same.union(links.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, tile: int = 1024, sample: int = 8192, most: int = 1 << 18, radius: int = 2) -> DataFrame:
     """(id, component_id) of every row whose id is not null: documents link from a Jaccard similarity of 0.8 of their distinct
     word shingles on (A-Z lower-cased), and component_id is the smallest id that links reach.
 
-    No pair is missed: near copies share a shingle of the prefixes that ``prefix`` picks, and rows meet by these shingles.
-    Equal sets are one node before. A sample orders shingles, frequent ones last. Each node first meets the first one of a
+    Equal sets are one node before. Nodes first meet by SimHash: those whose fingerprints are linked at ``radius`` differing bits or fewer are
+    candidates (``simhash.near_links``), and what is confirmed among them is joined. It expects some ten differing bits at a similarity
+    of 0.8, so what it leaves is looked up exactly.
+    No pair is missed: near copies share a shingle of the prefixes that ``prefix`` picks, and rows meet by these shingles. A sample orders shingles, frequent ones last. Each node first meets the first one of a
     shingle and its next ones in a few orders, a frequent shingle's rows in slices of about ``tile``; each row is in one. What is
     confirmed among these is joined. Then nodes of a shingle that are still apart meet: shingles of one component drop out, and by
     exact counts larger ones are dealt as tiles, where only nodes outside the shingle's largest component look for others. So a
@@ -299,7 +311,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             marks = [parities(s).tobytes() for s in sets]
             folded = np.array([brief(m) for m in marks], np.int64).reshape(-1, 4)
             columns = [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary()), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([wide(s) for s in sets], pa.binary()), *(pa.array(x) for x in folded.T.copy())], ["id", "node", "n", "head", "marks", "wide", *short])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([wide(s) for s in sets], pa.binary()), pa.array(np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)), *(pa.array(x) for x in folded.T.copy())], ["id", "node", "n", "head", "marks", "wide", "fp", *short])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = known.value
@@ -316,8 +328,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(np.full(len(key), node)), pa.array(np.full(len(key), n)), pa.array(at), pa.array(key.view(np.int64))], ["cut", "node", "n", "at", "key"])
 
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints, prints_path = materialise(source.mapInArrow(printed, f"id {kind}, node long, n long, head binary, marks binary, wide binary, {', '.join(f'{m} long' for m in short)}"), "prints")
-    nodes, nodes_path = materialise(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("marks").alias("marks"), F.first("wide").alias("wide"), *(F.first(m).alias(m) for m in short)), "sets")
+    prints, prints_path = materialise(source.mapInArrow(printed, f"id {kind}, node long, n long, head binary, marks binary, wide binary, fp long, {', '.join(f'{m} long' for m in short)}"), "prints")
+    nodes, nodes_path = materialise(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("marks").alias("marks"), F.first("wide").alias("wide"), F.min("fp").alias("fp"), *(F.first(m).alias(m) for m in short)), "sets")
     left, right = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("x")), nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("y"))
 
     def links_of(pairs: DataFrame) -> tuple[DataFrame, str]:
@@ -332,10 +344,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         discard(spark, likely_path, sets_path)
         return links, links_path
 
-    # nodes first meet few of their key only, then those that this has not joined meet each other
+    # nodes meet by fingerprint and few of their key only, then those that this has not joined meet each other
     dealt_rows = nodes.select("node", "n", "head").mapInArrow(dealt, "cut long, node long, n long, at long, key long")
     met, met_path = materialise(dealt_rows.repartition("cut").sortWithinPartitions("cut", "n", "node").mapInArrow(_lead, "a long, b long, key long, n long, at long"), "met")
-    led, led_path = links_of(met.where("key is null").select("a", "b").distinct())
+    alike, alike_path = materialise(_by_fingerprint(nodes.select("node", "fp"), radius, tile), "alike")
+    led, led_path = links_of(met.where("key is null").select("a", "b").union(alike).distinct())
     paths: list[str] = []
     stars, stars_path = materialise(connected_components(led, paths), "stars")
     roots = nodes.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -347,7 +360,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     merged = nodes.select("node", "first").join(linked.join(lowest, "root").select("node", "lowest"), "node", "left")
     out, _ = materialise(prints.select("id", "node").join(merged, "node").select(F.col("id").alias(id_col), F.coalesce("lowest", "first").alias("component_id")), "groups")
-    discard(spark, prints_path, nodes_path, met_path, led_path, stars_path, shared_path, rest_path, linked_path, *paths)
+    discard(spark, prints_path, nodes_path, met_path, alike_path, led_path, stars_path, shared_path, rest_path, linked_path, *paths)
     return out
 
 
