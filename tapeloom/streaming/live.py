@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -43,16 +43,18 @@ class _Fold(StatefulProcessor):
         return History(FIELDS, self.nodes, self.rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = stop = self.stop.get()[0] if self.stop.exists() else None
+        yield pd.DataFrame([self._folded(key, (r for pdf in rows for r in pdf.to_dict("records")))])
+
+    def _folded(self, key, rows: Iterable[dict]) -> dict:
+        known = stop = held[0] if (held := self.stop.get()) is not None else None
         history = self._history()
-        for pdf in rows:
-            for r in pdf.to_dict("records"):
-                seq = int(r["seq"])
-                if stop is not None and seq > stop:
-                    continue
-                if r["type"] == "error":
-                    stop = seq
-                history.add(seq, dict(self._values(r)))
+        for r in rows:
+            seq = int(r["seq"])
+            if stop is not None and seq > stop:
+                continue
+            if r["type"] == "error":
+                stop = seq
+            history.add(seq, dict(self._values(r)))
         if stop != known:
             self.stop.update((stop,))
             history.drop_after(stop)
@@ -62,10 +64,10 @@ class _Fold(StatefulProcessor):
         history.flush()
         said = {s: history.at(s) for s in set(best.values())}
         got = lambda f: said[best[f]][f] if f in best else None
-        yield pd.DataFrame([{
+        return {
             "job_id": key[0], "message": got("message"), "progress": float(got("progress")) if "progress" in best else None, "step": got("step"), "transcript": got("transcript"),
             "transcript_path": got("transcript_path"), "done": "done" in best, "error": got("error"), "last_seq": best.get("last"),
-        }])
+        }
 
     @staticmethod
     def _values(r: dict) -> Iterator[tuple[str, str]]:
@@ -101,6 +103,13 @@ class _PagedFold(_Fold):
         return PagedHistory(FIELDS, self.pages)
 
 
+class _RowFold(_PagedFold):
+    """The same on rows: a frame for each job and batch, in and out, takes longer than the job's few events."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield Row(**self._folded(key, (r.asDict() for r in rows)))
+
+
 def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
     """fold_events over a stream, in update mode: a row for each job that a batch touches. Needs the RocksDB state store.
 
@@ -110,7 +119,7 @@ def stream_job_state(events: DataFrame, late: int | None = None) -> DataFrame:
     want = {"type": "string", "step": "string", "message": "string", "progress": "double", "transcript": "string", "transcript_path": "string", "error": "string"}
     rows = events.select("job_id", "seq", *(F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in want.items()))
     kind = events.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").transformWithStateInPandas(_PagedFold(late), OUT.format(kind=kind), "update", "None")
+    return rows.groupBy("job_id").transformWithState(_RowFold(late), OUT.format(kind=kind), "update", "None")
 
 
 def stream_checkpoints(patches: DataFrame) -> DataFrame:
@@ -159,7 +168,10 @@ class _Streaks(StatefulProcessor):
         return History(("at",), self.at_nodes, self.at_rows), History(("n",), self.length_nodes, self.length_rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, n = self.count.get() if self.count.exists() else (None, 0)
+        yield pd.DataFrame([self._counted(key, (r for pdf in rows for r in zip(pdf["ts_ms"].tolist(), pdf["started_ms"].tolist())))])
+
+    def _counted(self, key, rows: Iterable[tuple]) -> dict:
+        started, n = held if (held := self.count.get()) is not None else (None, 0)
         at, lengths = self._histories()
 
         def change(length: int, by: int) -> None:
@@ -169,29 +181,28 @@ class _Streaks(StatefulProcessor):
             else:
                 lengths.drop("n", length)
 
-        for pdf in rows:
-            for ts, start in zip(pdf["ts_ms"].tolist(), pdf["started_ms"].tolist()):
-                started = int(start) if started is None else started
-                if ts != ts or ts is None or not started < int(ts) <= self.now:
-                    continue
-                ts = int(ts)
-                before = at.last("at", ts)
-                if before == ts:
-                    continue
-                begin, end = started if before is None else before, at.first("at", ts)
-                if end is not None:
-                    change(end - begin, -1)
-                    change(end - ts, 1)
-                change(ts - begin, 1)
-                at.add(ts, {"at": 1})
-                n += 1
+        for ts, start in rows:
+            started = int(start) if started is None else started
+            if ts != ts or ts is None or not started < int(ts) <= self.now:
+                continue
+            ts = int(ts)
+            before = at.last("at", ts)
+            if before == ts:
+                continue
+            begin, end = started if before is None else before, at.first("at", ts)
+            if end is not None:
+                change(end - begin, -1)
+                change(end - ts, 1)
+            change(ts - begin, 1)
+            at.add(ts, {"at": 1})
+            n += 1
         at.flush()
         lengths.flush()
         self.count.update((started, n))
         last = at.last("at")
         current = max(0, self.now - (started if last is None else last))
         best = lengths.last("n")
-        yield pd.DataFrame([{"user_id": key[0], "relapse_count": n, "current_ms": current, "best_ms": max(current, best or 0), "total_ms": max(0, self.now - started)}])
+        return {"user_id": key[0], "relapse_count": n, "current_ms": current, "best_ms": max(current, best or 0), "total_ms": max(0, self.now - started)}
 
     def close(self) -> None:
         pass
@@ -209,6 +220,13 @@ class _PagedStreaks(_Streaks):
         return PagedHistory(("at",), self.at_pages), PagedHistory(("n",), self.length_pages)
 
 
+class _RowStreaks(_PagedStreaks):
+    """The same on rows, as ``_RowFold``."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield Row(**self._counted(key, ((r["ts_ms"], r["started_ms"]) for r in rows)))
+
+
 def stream_streak_stats(relapses: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
     """streak_stats over a stream of relapses (user_id, ts_ms), in update mode: a row for each user that a batch touches.
 
@@ -218,7 +236,7 @@ def stream_streak_stats(relapses: DataFrame, users: DataFrame, now_ms: int) -> D
     relapses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = relapses.schema["user_id"].dataType.simpleString()
     rows = relapses.select("user_id", "ts_ms").join(users.select("user_id", "started_ms"), "user_id")
-    held = rows.groupBy("user_id").transformWithStateInPandas(_PagedStreaks(now_ms), f"user_id {kind}, relapse_count long, current_ms long, best_ms long, total_ms long", "update", "None")
+    held = rows.groupBy("user_id").transformWithState(_RowStreaks(now_ms), f"user_id {kind}, relapse_count long, current_ms long, best_ms long, total_ms long", "update", "None")
     day = F.lit(float(DAY_MS))
     raw = held.select("user_id", "relapse_count", *((F.col(f"{c}_ms") / day).alias(f"{c}_days") for c in ("current", "best")), (F.col("total_ms") / day / (F.col("relapse_count") + 1)).alias("avg_days"))
     return streaks.labelled(raw)  # streaks tile the time from the start to now, so their mean needs their number only
