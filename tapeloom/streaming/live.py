@@ -253,17 +253,16 @@ class _Texts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.texts = handle.getMapState("texts", "chunk_idx int", "text string, at string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {k[0]: (v[1], v[0]) for k, v in self.texts.iterator()}  # all are the result's, so none is looked up by itself
         new: dict[int, tuple[str, str]] = {}
-        for pdf in rows:
-            for idx, text, at in zip(pdf["chunk_idx"].tolist(), pdf["text"], pdf["at"]):
-                new[int(idx)] = max(new.get(int(idx), ("", "")), (at or "", text or ""))
+        for r in rows:
+            idx, value = int(r["chunk_idx"]), (r["at"] or "", r["text"] or "")
+            if (known := new.get(idx, held.get(idx))) is None or known < value:
+                new[idx] = value
         for idx, (at, text) in new.items():
-            held = self.texts.getValue((idx,))
-            if held is None or (held[1], held[0]) < (at, text):
-                self.texts.updateValue((idx,), (text, at))
-        texts = sorted((k[0], v[0]) for k, v in self.texts.iterator())
-        yield pd.DataFrame({"job_id": [key[0]], "texts": [[{"chunk_idx": k, "text": v} for k, v in texts]]})
+            self.texts.updateValue((idx,), (text, at))
+        yield Row(job_id=key[0], texts=[Row(chunk_idx=k, text=text) for k, (_, text) in sorted((held | new).items())])
 
     def close(self) -> None:
         pass
@@ -279,7 +278,7 @@ def stream_transcripts(results: DataFrame, totals: DataFrame) -> DataFrame:
     results.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = results.schema["job_id"].dataType.simpleString()
     rows = results.select("job_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), "text", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
-    held = rows.groupBy("job_id").transformWithStateInPandas(_Texts(), f"job_id {kind}, texts array<struct<chunk_idx int, text string>>", "update", "None")
+    held = rows.groupBy("job_id").transformWithState(_Texts(), f"job_id {kind}, texts array<struct<chunk_idx int, text string>>", "update", "None")
     known = held.join(totals.select("job_id", F.coalesce("total_chunks", F.lit(0)).cast("int").alias("total_chunks")), "job_id")
     total = F.col("total_chunks")
     trimmed = F.transform("texts", lambda r: F.struct(r["chunk_idx"].alias("chunk_idx"), js_trim(r["text"]).alias("text")))

@@ -34,3 +34,23 @@ def test_streaks_are_counted_without_frames(monkeypatch):
         (row,) = p.handleInputRows(("u",), iter([Row(ts_ms=t, started_ms=3 * DAY) for t in [*batch, None]]), None)
         marks = [3 * DAY, *sorted(seen), 400 * DAY]
         assert tuple(row) == ("u", len(seen), 400 * DAY - marks[-2], max(b - a for a, b in zip(marks, marks[1:])), 397 * DAY)
+
+
+class Texts(State):
+    def iterator(self):
+        self.asked += 1
+        return iter(list(self.held.items()))
+
+
+def test_texts_are_read_at_once_and_without_frames(monkeypatch):
+    monkeypatch.setattr(live, "pd", None)
+    rnd, p, seen = random.Random(2), live._Texts(), {}
+    p.texts = Texts()
+    for _ in range(40):
+        batch = [(rnd.randrange(6), rnd.choice(["a", "b", "", None]), rnd.choice(["1", "2", None])) for _ in range(4)]
+        for k, text, at in batch:
+            seen[k] = max(seen.get(k, ("", "")), (at or "", text or ""))
+        before = p.texts.asked
+        (row,) = p.handleInputRows(("j",), iter([Row(chunk_idx=k, text=text, at=at) for k, text, at in batch]), None)
+        assert [(r.chunk_idx, r.text) for r in row.texts] == [(k, v[1]) for k, v in sorted(seen.items())]
+        assert p.texts.asked - before <= 1 + len({k for k, *_ in batch})
