@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialise, mix, words_of
+from .common import connected_components, discard, let_go, materialise, mix, words_of
 from .simhash import fingerprint, near_links
 
 #: Two documents are near copies from a Jaccard similarity of LIKE[0] / LIKE[1] on.
@@ -305,6 +305,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     short = [f"m{i}" for i in range(4)]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(1)]
             heads = [prefix(s, *known.value).tobytes() for s in sets]

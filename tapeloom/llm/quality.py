@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_of
+from .common import let_go, words_of
 
 WORD_SLOTS = 1 << 16
 #: Byte classes: 0 other symbol, 1 upper, 2 lower, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 other mark, 8 bar, 9 not ASCII.
@@ -158,6 +158,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", metadata: Seque
     given = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`"), extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m, n = model.value, len(names)
         for b in batches:
             scores = []

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix, words_of
+from .common import discard, let_go, materialise, mix, words_of
 
 CHUNKS = "chunk long, ids binary, marks binary, sizes binary, words binary, codes binary, n_words long"
 
@@ -33,6 +33,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.Rec
     number = TaskContext.get().partitionId() << 32
     ids, marks, sizes, parts, code = [], [], [], [], {}
     total = 0
+    let_go()
 
     def made() -> pa.RecordBatch:
         codes = np.concatenate(parts).astype("<i4") if parts else np.empty(0, "<i4")
@@ -62,14 +63,23 @@ class Chunk:
     """A chunk's words as hashes of 64 bits and of 64 more, and the windows of its documents."""
 
     def __init__(self, ids: bytes, sizes: bytes, words: bytes, codes: bytes):
+        let_go()
         self.ids, self.sizes, self.codes = _unzip(ids, "<i8"), _unzip(sizes, "<i8"), _unzip(codes, "<i4")
         self.words = _unzip(words).split(b" ") if len(self.codes) else []
         both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in self.words]), "<u8").reshape(-1, 2)
         self.end = np.cumsum(self.sizes)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        self.place = np.arange(len(self.codes)) - np.repeat(self.end - self.sizes, self.sizes)
+        self.number = np.int32 if max(len(self.codes), len(self.ids)) < 2**31 - 1 else np.int64  # holds a position, at half the memory if it can
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=self.number), self.sizes)
         self.both, self.known = both, {}
 
+    def id_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the documents of these positions."""
+        return self.ids.take(self.doc.take(at))
+
+    def place_of(self, at: np.ndarray) -> np.ndarray:
+        """These positions, counted from where their documents begin."""
+        return at - (self.end - self.sizes).take(self.doc.take(at))
+
     def _hash(self, k: int, n: int) -> np.ndarray:
         """The k-th hash of the n words from each position on, by doubling; only what n is made of is held."""
         power, size, out, length = self.both[:, k][self.codes], 1, None, 0
@@ -108,18 +118,19 @@ class Chunk:
         while n in found:
             at = self.anchors(n, may)
             keep = at[np.isin(self.hashes(n)[at], found[n])]
-            near = np.zeros(len(self.codes) + 1, np.int64)  # starts of 2n-word windows that hold such an anchor
+            near = np.zeros(len(self.codes) + 1, self.number)  # starts of 2n-word windows that hold such an anchor
             np.add.at(near, np.maximum(keep - n, 0), 1)
             np.add.at(near, keep + 1, -1)
             whole = self.doubled(n, may)
-            may = whole & (np.cumsum(near)[: len(whole)] > 0)
+            may = whole & (np.cumsum(near, out=near)[: len(whole)] > 0)
             n *= 2
         return n, may
 
     def doubled(self, n: int, may: np.ndarray) -> np.ndarray:
         """Where 2n-word windows start whose n-word windows all may repeat."""
         whole = self.inside(2 * n)
-        total = np.append(0, np.cumsum(may))
+        total = np.zeros(len(may) + 1, self.number)
+        np.cumsum(may, out=total[1:])
         return whole & (total[n + 1 : n + 1 + len(whole)] - total[: len(whole)] == n + 1)
 
     def anchors(self, n: int, may: np.ndarray) -> np.ndarray:
@@ -134,14 +145,15 @@ class Chunk:
         if not m:
             return np.empty(0, np.int64)
         h = self.hashes(n)
-        least = _slide(h, span, np.minimum)[:m]
-        best = np.zeros(m + span - 1, np.uint64)
-        best[:m] = np.where(whole, least, 0)
-        best = _slide(np.concatenate([np.zeros(span - 1, np.uint64), best]), span, np.maximum)[: len(h)]
-        total = np.cumsum(np.concatenate([[0], whole.astype(np.int64), np.zeros(span - 1, np.int64)]))
-        p = np.arange(len(h))
-        some = total[np.minimum(p + 1, len(total) - 1)] - total[np.maximum(p - span + 1, 0)] > 0
-        return np.flatnonzero(some & (best == h))
+        best = np.zeros(m + 2 * (span - 1), np.uint64)
+        best[span - 1 : span - 1 + m] = np.where(whole, _slide(h, span, np.minimum)[:m], 0)
+        best = _slide(best, span, np.maximum)[: len(h)] == h
+        total = np.zeros(len(h) + 1, self.number)
+        np.cumsum(whole, out=total[1 : m + 1])
+        total[m + 1 :] = total[m]
+        some = total[1:] > 0
+        some[span - 1 :] = total[span:] > total[:m]
+        return np.flatnonzero(some & best)
 
 
 def _slide(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -243,12 +255,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.concatenate([np.frombuffer(h, kind) for h in pdf[column]]) if len(pdf) else np.empty(0, kind)
 
     def firsts(c: Chunk, at: np.ndarray, checks: np.ndarray):
-        """Distinct windows at these starts, by hash and check, and the start of the earliest of each."""
-        h, check = c.hashes(min_words)[at], checks[at]
-        order = np.lexsort((c.place[at], c.ids[c.doc[at]], check, h))
-        h, check = h[order], check[order]
+        """Distinct windows at these starts, by hash and check, the start of the earliest of each, all starts sorted by windows, and the window's number of each."""
+        if (c.ids[1:] <= c.ids[:-1]).any():
+            at = at[np.lexsort((c.place_of(at), c.id_of(at)))]
+        at = at[np.lexsort((checks.take(at), c.hashes(min_words).take(at)))]  # stable, so the earliest comes first
+        h, check = c.hashes(min_words).take(at), checks.take(at)
         lead = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])) if len(h) else np.empty(0, bool)
-        return h[lead], check[lead], at[order[lead]]
+        return h[lead], check[lead], at[lead], at, np.cumsum(lead, dtype=c.number) - c.number(1)
 
     def wholes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -256,8 +269,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
             n, may = c.may_repeat(levels(right), first)
             if n == min_words:
-                h, check, start = firsts(c, np.flatnonzero(may), c.checks(min_words))
-                rows += _bucketed(r["chunk"], h, buckets, check, c.ids[c.doc[start]], c.place[start].astype("<i4") if c.place.max(initial=0) < 2**31 else c.place[start])
+                h, check, start, _, _ = firsts(c, np.flatnonzero(may), c.checks(min_words))
+                rows += _bucketed(r["chunk"], h, buckets, check, c.id_of(start), c.place_of(start).astype("<i4" if c.sizes.max(initial=0) <= 2**31 else "<i8"))
         return _rows(rows, ["bucket", "chunk", "hashes", "checks", "ids", "places"])
 
     def not_first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -281,19 +294,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = []
         for r in left.to_dict("records"):
             c = Chunk(r["ids"], r["sizes"], r["words"], r["codes"])
-            gone = np.zeros(len(c.codes) + 1, np.int64)
+            gone = np.zeros(len(c.codes) + 1, c.number)
             if len(c.codes) >= min_words:
-                at = np.flatnonzero(c.inside(min_words))
-                checks = c.checks(min_words)
-                h, check, start = firsts(c, at, checks)
-                k = _find(h, check, c.hashes(min_words)[at], checks[at])
-                late = (c.ids[c.doc[at]] != c.ids[c.doc[start[k]]]) | (c.place[at] != c.place[start[k]])
+                h, check, start, at, k = firsts(c, np.flatnonzero(c.inside(min_words)), c.checks(min_words))
                 elsewhere = np.zeros(len(h), bool)
                 elsewhere[_find(h, check, gathered(right), gathered(right, "checks", "<u4"))] = True
-                at = at[late | elsewhere[k]]
+                del h, check
+                late = c.place_of(at) != c.place_of(start).take(k)
+                late |= c.id_of(at) != c.id_of(start).take(k)
+                late |= elsewhere.take(k)
+                at = at[late]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + min_words, -1)
-            keep = np.cumsum(gone)[: len(c.codes)] == 0
+            keep = np.cumsum(gone, out=gone)[: len(c.codes)] == 0
             before = 0
             for key, mark, end in zip(c.ids.tolist(), _unzip(r["marks"], "<i8").tolist(), c.end.tolist()):
                 stay = c.codes[before:end][keep[before:end]]

@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from .common import held
+
 #: Unicode's White_Space, as tokenizers' \s has it (Python's \s has U+001C to U+001F besides).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Where a text may be cut so that its pieces encode as the whole does. For a byte-level BPE whose pre-tokenizer keeps
@@ -26,8 +28,6 @@ DROPS_SPACE = re.compile(f"[{PLAIN}]+(?![^\t-\r {MARKS}])|[^\t-\r ]+")
 _shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _shown)}
 
-_encoders: dict[str, "UnitEncoder"] = {}
-
 
 class UnitCache:
     """Encodes texts unit by unit. Two generations of units are kept; the older goes when the newer holds ``limit``, which bounds memory, not results."""
@@ -178,7 +178,7 @@ def share(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encoder(spec: Broadcast) -> UnitEncoder:
-    """This worker's encoder, kept between its tasks."""
-    if spec.value not in _encoders:
-        _encoders[spec.value] = UnitEncoder(spec.value)
-    return _encoders[spec.value]
+    """This worker's encoder, kept between its tasks until another operator needs the memory."""
+    if spec.value not in held:
+        held[spec.value] = UnitEncoder(spec.value)
+    return held[spec.value]
