@@ -20,7 +20,7 @@ class Snapshots:
     manifest takes its name by a rename that fails if the name is taken, so a version appears at once, a writer that fails
     before leaves the table as it was, and of two writers at a time the second fails and may repeat. Repeated and
     reordered upserts give the same table if ``order`` has no ties; ties fall to the later commit, within one to the greatest row.
-    Columns need types that can be compared.
+    Columns need types that can be compared. Whole numbers that a commit names as ``bits`` are merged by bit_or instead; manifests carry their names.
 
     Folders of like size are merged once there are over ``most`` of them, each row some log(commits) times in all. Folders and
     manifests of the last ``keep`` versions stay for readers that have begun; older ones are deleted.
@@ -81,17 +81,18 @@ class Snapshots:
         if not parts:
             return self.spark.createDataFrame([], schema)
         every = self.spark.read.schema(schema).parquet(*(f"{self.path}/parts/{p['name']}" for p in parts))
-        rest = [c for c in schema.names if c not in (*self.keys, *self.order, COMMIT)]
-        best = every.groupBy(*self.keys).agg(F.max(F.struct(*self.order, COMMIT, *rest)).alias("_best"))
-        return best.select(*(c if c in self.keys else F.col(f"_best.{c}").alias(c) for c in schema.names))
+        bits = manifest.get("bits", [])
+        rest = [c for c in schema.names if c not in (*self.keys, *self.order, COMMIT, *bits)]
+        best = every.groupBy(*self.keys).agg(F.max(F.struct(*self.order, COMMIT, *rest)).alias("_best"), *(F.bit_or(c).alias(c) for c in bits))
+        return best.select(*(c if c in self.keys or c in bits else F.col(f"_best.{c}").alias(c) for c in schema.names))
 
     def read(self) -> DataFrame | None:
         """The newest whole version; None before the first commit."""
         now = self.version()
         return self._rows(now, now["parts"]).drop(COMMIT) if now["number"] else None
 
-    def upsert(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> None:
-        """Commits rows; a batch number of a stream that is committed already is left out."""
+    def upsert(self, rows: DataFrame, stream: str | None = None, batch: int | None = None, bits: tuple[str, ...] = ()) -> None:
+        """Commits rows; a batch number of a stream that is committed already is left out. bits: columns that are merged by bit_or from now on."""
         now = self.version()
         if stream is not None and batch is not None and now["batches"].get(stream, -1) >= batch:
             return
@@ -104,6 +105,7 @@ class Snapshots:
         part = self._part(new)
         batches = now["batches"] | ({stream: batch} if stream is not None and batch is not None else {})
         now = now | {"number": now["number"] + 1, "parts": [*now["parts"], *([part] if part["rows"] else [])], "batches": batches}
+        now["bits"] = sorted({*now.get("bits", []), *bits})
         self._publish(now)
         self._merge(now)
         self._expire()

@@ -129,11 +129,11 @@ def stream_checkpoints(patches: DataFrame) -> DataFrame:
     return last.select("job_id", "key", F.col("m.v.value").alias("value"), F.col("m.seq").alias("seq"))
 
 
-def _upserted(stream: DataFrame, store: Snapshots, checkpoint: str, mode: str, available_now: bool, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+def _upserted(stream: DataFrame, store: Snapshots, checkpoint: str, mode: str, available_now: bool, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, bits: tuple[str, ...] = ()) -> StreamingQuery:
     """Commits each batch to a table at once; a batch that is repeated after a failure changes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        store.upsert(prepare(df), checkpoint, number)
+        store.upsert(prepare(df), checkpoint, number, bits)
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -294,8 +294,9 @@ def stream_progress(results: DataFrame, totals: DataFrame, store: Snapshots, che
 
 
 def stream_chunk_words(results: DataFrame, store: Snapshots, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keeps which chunks of each job are done in ``store`` (keys job_id and word), as chunks.chunk_words; state is 64 chunks a number.
+    """Keeps which chunks of each job are done in ``store`` (keys job_id and word), as chunks.chunk_words: 64 chunks a number.
 
-    A chunk that was done stays done. chunks.word_progress gives the counts of any set of jobs.
+    A chunk that was done stays done. chunks.word_progress gives the counts of any set of jobs. A batch writes the numbers of its own
+    results, which the store merges by bit_or, so batches may come repeated and in any order, and the stream itself holds no state.
     """
-    return _upserted(chunks.chunk_words(results), store, checkpoint, "update", available_now)
+    return _upserted(results, store, checkpoint, "append", available_now, chunks.chunk_words, ("bits",))
