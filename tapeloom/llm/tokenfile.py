@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import held
 from .rangecoder import decode, encode
+from .wordtable import WordTable
 
 ROWS = "part int, seq int, n_ids long, doc_sizes array<long>, record binary, doc_sum long"
 
@@ -22,6 +24,13 @@ def _sum(doc_ids: pa.Array, sizes: list[int]) -> int:
     return zlib.crc32(repr((doc_ids.to_pylist(), sizes)).encode())
 
 
+def _table(spec: Broadcast) -> WordTable:
+    """This worker's table of words, kept as its encoder is."""
+    if (WordTable, spec.value) not in held:
+        held[WordTable, spec.value] = WordTable(tokens.encoder(spec))
+    return held[WordTable, spec.value]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block: int = 2048, segment: int = 6_000_000) -> None:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending id order (null ids first).
 
@@ -34,13 +43,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = tokens.encoder(spec), TaskContext.get().partitionId(), 0
-        end = int(end_id).to_bytes(4, "little")
-        keys, ids, size = [], [], 0
+        table, part, seq = _table(spec), TaskContext.get().partitionId(), 0
+        keys, ids, counts, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            doc_ids, sizes = pa.concat_arrays(keys), [len(x) // 4 for x in ids]
-            row = [part, seq, size // 4, sizes, encode(np.frombuffer(b"".join(ids), "<u4"), block), _sum(doc_ids, sizes)]
+            doc_ids, sizes = pa.concat_arrays(keys), np.concatenate(counts).tolist()
+            row = [part, seq, size, sizes, encode(np.concatenate(ids), block), _sum(doc_ids, sizes)]
             types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, types)), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)], ["part", "seq", "n_ids", "doc_sizes", "record", "doc_sum", "doc_ids"])
 
@@ -48,16 +56,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             for at in range(0, b.num_rows, 128):
                 some = b.slice(at, 128)
                 keys.append(some.column(0))
-                got = [x + end for x in enc.encode(some.column(1).to_pylist())]
-                ids += got
-                size += sum(map(len, got))
-                if size >= 4 * segment:
+                got, sizes = table.encode(some.column(1).to_pylist(), end_id)
+                ids.append(got)
+                counts.append(sizes)
+                size += len(got)
+                if size >= segment:
                     yield made()
-                    keys, ids, size, seq = [], [], 0, seq + 1
+                    keys, ids, counts, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield made()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.xxhash64(text_col).alias("mark"))
     rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text")
     rows.mapInArrow(run, f"{ROWS}, doc_ids array<{kind}>").write.option("compression", "uncompressed").parquet(path)
 

@@ -114,6 +114,7 @@ class UnitEncoder:
         added = [t for t in known.get("added_tokens", []) if not (special_as_text and t["special"])]
         self.whole = any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))  # these look beyond the token
         literals = sorted((re.escape(t["content"]) for t in added), key=len, reverse=True)
+        self.literals = [t["content"].encode() for t in added]
         self.added = re.compile(f"({'|'.join(literals)})") if literals else None
         self.words = Known(self._word, limit)
         self.after_blank = Known(self._after_blank, limit)
