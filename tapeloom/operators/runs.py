@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ PATCHES = "job_id string, seq long, patch map<string,string>"
 
 @dataclass(frozen=True)
 class RunStore:
-    """What runs leave behind, in two append-only tables below ``path``: every answer of the model, and checkpoint patches.
+    """What runs leave behind, in two append-only tables below ``path``: every answer of the model, and checkpoint patches. Beside
+    them each run keeps its plan.
 
     An answer is never changed. A unit of work that is lost before its commit leaves nothing that counts; one that is
     committed twice leaves rows of equal keys, of which the latest with a text counts.
@@ -40,9 +42,15 @@ class RunStore:
     def add(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/{name}")
 
-    def results(self) -> DataFrame:
-        """(job_id, chunk_idx, text) of chunks that have an answer with a text, the latest of each."""
-        kept = self.answers().where("text is not null")
+    def kept_plan(self, plan: DataFrame) -> DataFrame:
+        """The plan as a table of its own, so that a run's steps don't make it again; the run's rows read it, too."""
+        path = f"{self.path}/plan-{uuid.uuid4().hex}"
+        plan.select("job_id", "chunk_idx", "total_chunks").write.parquet(path)
+        return self.spark.read.schema("job_id string, chunk_idx int, total_chunks int").parquet(path)
+
+    def results(self, part: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """(job_id, chunk_idx, text) of chunks that have an answer with a text, the latest of each; ``part`` picks chunks."""
+        kept = part(self.answers()).where("text is not null")
         return chunks.latest_result(kept, F.desc("run"), F.desc("round"), F.desc("text")).select("job_id", "chunk_idx", "text")
 
     def next_run(self) -> int:
@@ -51,19 +59,29 @@ class RunStore:
         return 1 + (last or 0)
 
 
+def _unit(k: int, units: int) -> Callable[[DataFrame], DataFrame]:
+    """Picks a unit's rows of any table of chunks, so that a unit's joins and windows are on its own rows only."""
+    return lambda rows: rows.where(F.pmod(F.xxhash64(F.col("job_id").cast("string"), F.col("chunk_idx").cast("long")), F.lit(units)) == k)
+
+
+def _untried(store: RunStore, run: int, plan: DataFrame, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Planned chunks without a result that this run has not tried."""
+    tried = part(store.answers().where(F.col("run") == run)).select("job_id", "chunk_idx").distinct()
+    return chunks.pending_chunks(part(plan), store.results(part)).join(tried, ["job_id", "chunk_idx"], "left_anti").select("job_id", "chunk_idx")
+
+
 def _called(store: RunStore, run: int, plan: DataFrame, contents: DataFrame, model: Callable, unit_chunks: int, max_parallelism: int | None, sleep: Callable[[float], None], on_unit: Callable[[int, int], None] | None, budget: inference.Budget) -> None:
     """Rounds of units until no planned chunk is without a result that this run has not tried."""
     number = 0
     while True:
-        tried = store.answers().where(F.col("run") == run).select("job_id", "chunk_idx").distinct()
-        todo = chunks.pending_chunks(plan, store.results()).join(tried, ["job_id", "chunk_idx"], "left_anti").select("job_id", "chunk_idx")
-        units = -(-todo.count() // unit_chunks)
+        left = _untried(store, run, plan, lambda rows: rows)
+        units = -(-left.count() // unit_chunks)
         if not units:
             return
-        unit = F.pmod(F.xxhash64("job_id", "chunk_idx"), F.lit(units))
         for k in range(units):
             # what is pending is looked up again for each unit, so that nothing committed meanwhile is called
-            own = todo.where(unit == k).join(contents, ["job_id", "chunk_idx"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+            part = _unit(k, units)
+            own = _untried(store, run, plan, part).join(part(contents), ["job_id", "chunk_idx"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
             got = inference.transcribe_chunks(own, model, max_parallelism, sleep=sleep, budget=budget)
             store.add("answers", got.select("job_id", "chunk_idx", "text", "error", F.col("attempts").cast("int").alias("attempts"), "errors", F.lit(run).cast("long").alias("run"), F.lit(number).alias("round")))
             if on_unit:
@@ -98,7 +116,7 @@ def transcription_run(submissions: DataFrame, media: DataFrame, contents: DataFr
     a valid duration is planned no chunks: its status is "unknown". ``on_unit`` is called after each commit.
     """
     known, _ = jobs.dedupe_submissions(submissions)
-    plan = chunks.plan_chunks(media.join(known, "job_id", "left_semi"), seconds)
+    plan = store.kept_plan(chunks.plan_chunks(media.join(known, "job_id", "left_semi"), seconds))
     run = store.next_run()
     _called(store, run, plan, contents, model, unit_chunks, max_parallelism, sleep, on_unit, budget)
     totals = plan.where("chunk_idx = 0").select("job_id", "total_chunks")

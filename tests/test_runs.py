@@ -90,3 +90,24 @@ def test_a_unit_that_fails_leaves_the_others(spark, tmp_path):
     assert 0 < done < 25
     assert runs.transcription_run(urls, media, contents, model(tmp_path / "b"), store).where("status = 'complete'").count() == 5
     assert sum(calls(tmp_path / "b").values()) == 25 - done
+
+
+def test_a_run_makes_its_plan_once_and_units_pick_their_rows_before_they_join(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    urls, media, contents = inputs(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    store = runs.RunStore(spark, shared_path(spark, "runs"))
+    wide = contents.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+    got = runs.transcription_run(urls, media.mapInPandas(counted, media.schema), wide, model(tmp_path / "calls"), store, unit_chunks=6)
+    assert made.value == len(URLS)
+    texts = {r.source_url: r.transcript for r in got.collect() if r.status == "complete"}
+    assert len(texts) == 5 and all(f"{u.upper()}#4" in t for u, t in texts.items())
+    parts = [[(r.job_id, r.chunk_idx) for r in runs._unit(k, 3)(rows).select("job_id", "chunk_idx").collect()] for rows in (contents, wide) for k in range(3)]
+    assert [sorted(p) for p in parts[:3]] == [sorted(p) for p in parts[3:]] and sum(map(len, parts[:3])) == contents.count()
