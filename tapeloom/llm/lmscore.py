@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix, words_of
+from .common import discard, materialise, mix
 
 #: The end token; no word holds a line end.
 END = b"\n"
@@ -23,17 +23,17 @@ PROBES = 4
 class Tokens:
     """The tokens of some texts: words with A-Z in lower case, and an end after each text."""
 
-    def __init__(self, texts: list[str | None]):
-        code = {END: 0}
-        parts = []
-        for text in texts:
-            words = words_of(text, lower=True)
-            for w in words:
-                if w not in code:
-                    code[w] = len(code)
-            parts.append(np.fromiter(map(code.__getitem__, words), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))
-        self.codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    def __init__(self, texts: pa.Array | list[str | None]):
+        if isinstance(texts, list):
+            texts = pa.array([t and t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+        words = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))  # white space is \x20 and \x09-\x0D; ends give empty words
+        flat = words.flatten()
+        real = pa.compute.greater(pa.compute.binary_length(flat), 0)
+        held = flat.filter(real).dictionary_encode()
+        stops = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        stops = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[stops]
+        self.codes = np.insert(held.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, stops, 0)
+        code = [END, *held.dictionary.cast(pa.binary()).to_pylist()]
         digest = xxhash.xxh3_128_digest
         both = np.frombuffer(b"".join([digest(w) for w in code]), "<u8").reshape(-1, 2)
         self.word, self.check = both[:, 0].copy(), both[:, 1].copy()
@@ -57,22 +57,26 @@ class Tokens:
         before[self.start] = 0
         return mix(self.word[before], self.word[self.codes]), before
 
+    def distinct_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of pairs in ascending order and their counts; numpy sorts when it is to count, which is faster than its hashing."""
+        return np.unique(self.pairs()[0], return_counts=True)
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of batches with about ``chars`` characters."""
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of batches with about ``chars`` characters, and their texts."""
     for b in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(size), 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chars, side="right")))
             part = b.slice(at, to - at)
-            yield part, part.column(column).to_pylist()
+            yield part, part.column(column)
             at = to
 
 
-def _dealt(order: int, keys: np.ndarray, shards: int, *more: np.ndarray) -> Iterator[tuple]:
-    """Rows (order, shard, keys, more ...) of sorted keys, dealt by their leading bits."""
-    own = shard_of(keys, shards)
+def _dealt(order: int, keys: np.ndarray, bins: int, *more: np.ndarray) -> Iterator[tuple]:
+    """Rows (order, bin, keys, more ...) of sorted keys, dealt by their leading bits."""
+    own = shard_of(keys, bins)
     cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(keys) else np.empty(0, np.int64)
     for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
         yield (order, int(own[i]), keys[i:j].tobytes(), *(m[i:j].tobytes() for m in more))
@@ -83,6 +87,37 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
 
 
+def bins_of(shards: int) -> int:
+    """Shards next to each other travel together as one of so many bins, up to eight shards in a bin.
+
+    Every chunk of texts sends a row to every bin, so rows grow with the square of the input; a bin keeps them few.
+    """
+    return shards >> min(3, max(0, shards.bit_length() - 10))
+
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers in all of a column's bytes, end to end."""
+    column = column.cast(pa.binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "<i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, "u1")[ends[0] : ends[-1]].copy().view(kind) if data else np.empty(0, kind)
+
+
+def _bytes(numbers: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """A column of bytes: the numbers up to each stop from the one before it."""
+    ends = np.append(0, stops * numbers.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _runs(b: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows of a batch that follow each other with the same values of some columns."""
+    values = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    if b.num_rows:
+        cut = np.flatnonzero(np.append(True, np.any([v[1:] != v[:-1] for v in values], axis=0))).tolist()
+        for i, j in zip(cut, [*cut[1:], b.num_rows]):
+            yield tuple(v[i].item() for v in values), b.slice(i, j - i)
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     """The quantised count: 1 + floor(log2 c), 0 for 0."""
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
@@ -102,8 +137,8 @@ def _places(keys: np.ndarray, level: int | np.ndarray, bits: np.ndarray | int) -
         low = (low + step) & np.uint64(0xFFFFFFFF)
 
 
-def _shard(pdf: pd.DataFrame, bits_per_entry: float) -> pd.DataFrame:
-    """The counts of one shard's n-grams as a Bloom filter with an entry for each level up to the n-gram's own.
+def _shards(pdf: pd.DataFrame, shards: dict[int, int], bits_per_entry: float) -> pd.DataFrame:
+    """The counts of one bin's n-grams as the filters of its shards.
 
     Words are told apart by 128 bits and have exact counts too; the filter, whose answers are approximate anyway, knows
     n-grams by 64 bits.
@@ -112,10 +147,18 @@ def _shard(pdf: pd.DataFrame, bits_per_entry: float) -> pd.DataFrame:
     keys = np.concatenate([np.frombuffer(k, "<u8") for k in pdf["keys"]])
     counts = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]).astype(np.int64)
     checks = np.concatenate([np.frombuffer(c, "<u8") for c in pdf["checks"]]) if order == 1 else np.zeros(len(keys), np.uint64)
-    at = np.lexsort((checks, keys)) if order == 1 else np.argsort(keys, kind="stable")
+    at = np.lexsort((checks, keys)) if order == 1 else np.argsort(keys)
     keys, checks = keys[at], checks[at]
     lead = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
     keys, checks, counts = keys[lead], checks[lead], np.add.reduceat(counts[at], lead)
+    own = shard_of(keys, shards[order])
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+    rows = [_shard(order, int(own[i]), keys[i:j], checks[i:j], counts[i:j], bits_per_entry) for i, j in zip(cut, [*cut[1:], len(own)])]
+    return pd.DataFrame(rows, columns=FILTER_NAMES)
+
+
+def _shard(order: int, shard: int, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple:
+    """One shard as a Bloom filter with an entry for each level up to the n-gram's own."""
     levels = level_of(counts)
     bits = int(levels.sum() * bits_per_entry + 64)
     if bits >= 1 << 32:
@@ -125,7 +168,7 @@ def _shard(pdf: pd.DataFrame, bits_per_entry: float) -> pd.DataFrame:
         for place in _places(keys[levels >= j], j, bits):
             on[place] = True
     exact = [keys.tobytes(), checks.tobytes(), counts.astype("<i8").tobytes()] if order == 1 else [b"", b"", b""]
-    return pd.DataFrame([(order, int(pdf["shard"].iloc[0]), bits, np.packbits(on, bitorder="little").tobytes(), len(keys), int(counts.sum()), *exact)], columns=FILTER_NAMES)
+    return order, shard, bits, np.packbits(on, bitorder="little").tobytes(), len(keys), int(counts.sum()), *exact
 
 
 FILTER = "ord int, shard int, bits long, filter binary, distinct long, total long, keys binary, checks binary, counts binary"
@@ -176,7 +219,7 @@ def sums(t: Tokens, count: np.ndarray, level: np.ndarray, pair_level: np.ndarray
     history = single[before]
     pair = np.minimum(count_of(pair_level), history)
     flat = (single[t.codes] + 1) / (total + distinct + 1)
-    types = history**power
+    types = (single**power)[before]
     model = np.log10(np.where(history > 0, (pair + types * flat) / np.maximum(history + types, 1e-300), flat))
     return tuple(np.add.reduceat(x, t.start) for x in ((count > 0)[t.codes].astype(np.int64), base, model))
 
@@ -197,7 +240,11 @@ class Whole:
 
     def score(self, t: Tokens, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs, before = t.pairs()
-        return sums(t, exact(t.word, t.check, *self.words), self.levels(1, t.word), self.levels(2, pairs), before, self.total, self.distinct, power)
+        pairs, at = np.unique(pairs, return_inverse=True)  # in ascending order, so one shard after another
+        order = np.argsort(t.word)
+        count, level = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        count[order], level[order] = exact(t.word[order], t.check[order], *self.words), self.levels(1, t.word[order])
+        return sums(t, count, level, self.levels(2, pairs)[at], before, self.total, self.distinct, power)
 
 
 def whole(filters: DataFrame, shards: dict[int, int], total: int, distinct: int) -> Whole:
@@ -218,6 +265,32 @@ def whole(filters: DataFrame, shards: dict[int, int], total: int, distinct: int)
     return Whole(held, exact_counts, total, distinct)
 
 
+class _Bin:
+    """The filters of one bin's shards, and of words their exact counts, from the rows of FILTER."""
+
+    def __init__(self, rows: list[dict], order: int, bin_: int, shards: int, bins: int):
+        each = shards // bins
+        self.order, self.shards, self.lead = order, shards, bin_ * each
+        self.bits, self.first, parts, size = np.zeros(each, np.int64), np.zeros(each, np.int64), [], 0
+        for r in rows:
+            self.bits[r["shard"] - self.lead], self.first[r["shard"] - self.lead] = r["bits"], size
+            parts.append(np.frombuffer(r["filter"], np.uint8))
+            size += len(r["filter"])
+        self.data = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
+        self.words = tuple(np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("keys", "<u8"), ("checks", "<u8"), ("counts", "<i8")))
+
+    def answers(self, keys: np.ndarray, checks: np.ndarray, some: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+        """The level of each key, and of words (key, check) the count; ``some`` at a time, whose arrays stay near the core."""
+        level, count = np.zeros(len(keys), "u1"), np.zeros(len(keys) if self.order == 1 else 0, "<i8")
+        for at in range(0, len(keys), some):
+            k = keys[at : at + some]
+            shard = shard_of(k, self.shards) - self.lead
+            level[at : at + some] = probe(k, self.bits[shard], self.first[shard], self.data)
+            if self.order == 1:
+                count[at : at + some] = exact(k, checks[at : at + some], *self.words)
+        return level, count
+
+
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
@@ -242,19 +315,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     chars = rows.where("learn").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = {1: 1 << max(2, (chars // 48_000_000).bit_length()), 2: 1 << max(3, (chars // 3_000_000).bit_length())}
+    bins = {order: bins_of(n) for order, n in shards.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches, 0, batch_chars):
             t = Tokens(texts)
             order = np.argsort(t.word)
             n = np.bincount(t.codes, minlength=len(t.word)).astype("<u4")
-            out = [*_dealt(1, t.word[order], shards[1], n[order], t.check[order])]
-            pairs, n = np.unique(t.pairs()[0], return_counts=True)
-            out += [(*r, b"") for r in _dealt(2, pairs, shards[2], n.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["ord", "shard", "keys", "counts", "checks"])
+            out = [*_dealt(1, t.word[order], bins[1], n[order], t.check[order])]
+            pairs, n = t.distinct_pairs()
+            out += [(*r, b"") for r in _dealt(2, pairs, bins[2], n.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["ord", "bin", "keys", "counts", "checks"])
 
-    counted = rows.where("learn").select("text").mapInArrow(count, "ord int, shard int, keys binary, counts binary, checks binary")
-    filters, filters_path = materialise(counted.groupBy("ord", "shard").applyInPandas(lambda pdf: _shard(pdf, bits_per_entry), FILTER), "filters", "uncompressed")
+    counted = rows.where("learn").select("text").mapInArrow(count, "ord int, bin int, keys binary, counts binary, checks binary")
+    filters, filters_path = materialise(counted.groupBy("ord", "bin").applyInPandas(lambda pdf: _shards(pdf, shards, bits_per_entry), FILTER), "filters", "uncompressed")
     sizes = {r.ord: r for r in filters.groupBy("ord").agg(F.sum(F.length("filter")).alias("bytes"), F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).collect()}
     total, distinct = (sizes[1].total, sizes[1].distinct) if sizes else (0, 0)
     held = None
@@ -276,6 +350,22 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _answers(batches: Iterator[pa.RecordBatch], shards: dict[int, int], bins: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The levels and counts that chunks ask for, by bin and chunk; all questions of a batch to one bin are looked up at once."""
+    own, mine, held = None, [], None
+    for b in batches:
+        for (order, bin_, asked), part in _runs(b.append_column("asked", pa.compute.greater_equal(b.column("chunk"), 0)), "ord", "bin", "asked"):
+            if own != (order, bin_):  # a bin's filters come before its questions
+                own, mine, held = (order, bin_), [], None
+            if not asked:
+                mine += part.to_pylist()
+                continue
+            held = held or _Bin(mine, order, bin_, shards[order], bins[order])
+            level, count = held.answers(_numbers(part.column("keys"), "<u8"), _numbers(part.column("checks"), "<u8"))
+            stops = np.cumsum(pa.compute.binary_length(part.column("keys")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+            yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("ord"), part.column("bin"), _bytes(level, stops), _bytes(count, stops if order == 1 else 0 * stops)], ["chunk", "ord", "bin", "levels", "counts"])
+
+
 def _asked(rows: DataFrame, filters: DataFrame, shards: dict[int, int], total: int, distinct: int, power: float, chars: int, kind: str) -> DataFrame:
     """Scores by a filter that stays where it is: chunks of texts ask shards for their n-grams' levels."""
 
@@ -289,38 +379,26 @@ def _asked(rows: DataFrame, filters: DataFrame, shards: dict[int, int], total: i
 
     chunks, chunks_path = materialise(rows.mapInArrow(chunked, f"chunk long, ids array<{kind}>, codes binary, words binary, checks binary"), "texts", "zstd")
 
+    bins = {order: bins_of(n) for order, n in shards.items()}
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 t = Tokens.held(r["codes"], r["words"], r["checks"])
                 order = np.argsort(t.word, kind="stable")
-                out = [*_dealt(1, t.word[order], shards[1], t.check[order])]
-                out += [(*x, b"") for x in _dealt(2, np.unique(t.pairs()[0]), shards[2])]
+                out = [*_dealt(1, t.word[order], bins[1], t.check[order])]
+                out += [(*x, b"") for x in _dealt(2, t.distinct_pairs()[0], bins[2])]
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array([r["chunk"]] * len(out)), pa.array(cols[2]), pa.array(cols[3])], ["ord", "shard", "chunk", "keys", "checks"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array([r["chunk"]] * len(out)), pa.array(cols[2]), pa.array(cols[3])], ["ord", "bin", "chunk", "keys", "checks"])
 
-    asks = chunks.select("chunk", "codes", "words", "checks").mapInArrow(ask, "ord int, shard int, chunk long, keys binary, checks binary")
+    asks = chunks.select("chunk", "codes", "words", "checks").mapInArrow(ask, "ord int, bin int, chunk long, keys binary, checks binary")
     none = F.lit(None)
-    theirs = filters.select("ord", "shard", F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "bits", "filter", "counts")
-    both = theirs.unionByName(asks.select("*", none.cast("long").alias("bits"), none.cast("binary").alias("filter"), none.cast("binary").alias("counts")))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size, data, words = None, 0, np.zeros(1, np.uint8), ()
-        for b in batches:
-            for k in range(b.num_rows):  # a shard's filter comes before its questions
-                r = {name: b.column(name)[k].as_py() for name in b.schema.names}
-                keys = np.frombuffer(r["keys"], "<u8")
-                if r["chunk"] < 0:
-                    own, size, data = (r["ord"], r["shard"]), r["bits"], np.frombuffer(r["filter"], np.uint8)
-                    words = keys, np.frombuffer(r["checks"], "<u8"), np.frombuffer(r["counts"], "<i8")
-                    continue
-                n = size if own == (r["ord"], r["shard"]) else 0
-                level = probe(keys, np.full(len(keys), n, np.int64), np.zeros(len(keys), np.int64), data).astype("u1")
-                count = exact(keys, np.frombuffer(r["checks"], "<u8"), *words) if r["ord"] == 1 and n else np.zeros(len(keys) if r["ord"] == 1 else 0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]]), pa.array([r["ord"]], pa.int32()), pa.array([r["shard"]], pa.int32()), pa.array([level.tobytes()]), pa.array([count.astype("<i8").tobytes()])], ["chunk", "ord", "shard", "levels", "counts"])
+    bin_of = F.when(F.col("ord") == 1, F.floor(F.col("shard") / (shards[1] // bins[1]))).otherwise(F.floor(F.col("shard") / (shards[2] // bins[2])))
+    theirs = filters.select("ord", bin_of.cast("int").alias("bin"), F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "shard", "bits", "filter", "counts")
+    both = theirs.unionByName(asks, allowMissingColumns=True)
 
-    told = both.repartition("ord", "shard").sortWithinPartitions("ord", "shard", "chunk").mapInArrow(answer, "chunk long, ord int, shard int, levels binary, counts binary")
-    text = chunks.select("chunk", F.lit(0).alias("ord"), F.lit(0).alias("shard"), none.cast("binary").alias("levels"), none.cast("binary").alias("counts"), "ids", "codes", "words", "checks")
+    told = both.repartition("ord", "bin").sortWithinPartitions("ord", "bin", "chunk", "shard").mapInArrow(lambda batches: _answers(batches, shards, bins), "chunk long, ord int, bin int, levels binary, counts binary")
+    text = chunks.select("chunk", F.lit(0).alias("ord"), F.lit(0).alias("bin"), none.cast("binary").alias("levels"), none.cast("binary").alias("counts"), "ids", "codes", "words", "checks")
     both = text.unionByName(told, allowMissingColumns=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,20 +409,21 @@ def _asked(rows: DataFrame, filters: DataFrame, shards: dict[int, int], total: i
             count, level = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
             count[order], level[order] = np.concatenate(counts), np.concatenate(levels[1])
             pairs, before = t.pairs()
-            pair = np.concatenate(levels[2]).astype(np.int64)[np.searchsorted(np.unique(pairs), pairs)]
+            pair = np.concatenate(levels[2]).astype(np.int64)[np.unique(pairs, return_inverse=True)[1]]
             return pa.RecordBatch.from_arrays([ids, pa.array(t.stop - t.start), *map(pa.array, sums(t, count, level, pair, before, total, distinct, power))], ["id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
-            for k in range(b.num_rows):  # a chunk's texts come before its answers, which are in order of their keys
-                if b.column("ord")[k].as_py() == 0:
+            for (_, order), part in _runs(b, "chunk", "ord"):  # a chunk's texts come before its answers, which are in order of their keys
+                if order == 0:
                     if t is not None:
                         yield made()
-                    ids = b.column("ids")[k].values
-                    t, levels, counts = Tokens.held(*(b.column(c)[k].as_py() for c in ("codes", "words", "checks"))), {1: [], 2: []}, []
+                    ids = part.column("ids")[0].values
+                    t, levels, counts = Tokens.held(*(part.column(c)[0].as_py() for c in ("codes", "words", "checks"))), {1: [], 2: []}, []
                     continue
-                levels[b.column("ord")[k].as_py()].append(np.frombuffer(b.column("levels")[k].as_py(), "u1"))
-                counts.append(np.frombuffer(b.column("counts")[k].as_py(), "<i8"))
+                levels[order].append(_numbers(part.column("levels"), "u1"))
+                if order == 1:
+                    counts.append(_numbers(part.column("counts"), "<i8"))
         if t is not None:
             yield made()
 
-    return both.repartition("chunk").sortWithinPartitions("chunk", "ord", "shard").mapInArrow(finish, f"id {kind}, {SCORES}")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "ord", "bin").mapInArrow(finish, f"id {kind}, {SCORES}")
