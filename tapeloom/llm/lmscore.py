@@ -34,6 +34,8 @@ class Tokens:
         stops = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[stops]
         self.codes = np.insert(held.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, stops, 0)
         code = [END, *held.dictionary.cast(pa.binary()).to_pylist()]
+        del words, flat, real, held
+        pa.default_memory_pool().release_unused()  # else Arrow keeps some 30 MB for the next texts
         digest = xxhash.xxh3_128_digest
         both = np.frombuffer(b"".join([digest(w) for w in code]), "<u8").reshape(-1, 2)
         self.word, self.check = both[:, 0].copy(), both[:, 1].copy()
@@ -261,8 +263,8 @@ def whole(filters: DataFrame, shards: dict[int, int], total: int, distinct: int)
                 words[r.shard] = r["keys"], r["checks"], r["counts"]
         held[order] = bits, first, np.concatenate(parts) if parts else np.zeros(1, np.uint8)
     sorted_words = [b"".join(x) for x in zip(*(words[k] for k in sorted(words)))] or [b""] * 3
-    exact_counts = tuple(map(np.frombuffer, sorted_words, ("<u8", "<u8", "<i8")))
-    return Whole(held, exact_counts, total, distinct)
+    keys, checks, counts = map(np.frombuffer, sorted_words, ("<u8", "<u8", "<i8"))
+    return Whole(held, (keys, checks, counts.astype("<u4") if total < 1 << 32 else counts), total, distinct)
 
 
 class _Bin:
